@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, simhash, substring, toxicity
+from . import decontaminate, licenses, merkle, mixing, quality, simhash, substring, token_counts, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,10 +20,29 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(substring.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality.digest(quality.scores(documents, quality.train(documents, table(spark, sf_dir, "labels"))))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.digest(urls.judge(table(spark, sf_dir, "pages")))
+
+
+def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -34,12 +53,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(toxicity.scores(documents, toxicity.train(documents, table(spark, sf_dir, "labels"))))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_source_mix, op3_substring_dedup, op7_simhash, op8_toxicity, op10_decontamination]
+    own = [op1_source_mix, op2_token_counts, op3_substring_dedup, op4_quality, op5_url_filter, op6_merkle, op7_simhash, op8_toxicity, op9_licenses, op10_decontamination]
     return {f.__name__: f for f in own}
 
 
@@ -47,5 +70,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_source_mix": mixing.taken_sql(),
         "op3_substring_dedup": substring.repeats_sql(),
+        "op5_url_filter": urls.judge_sql(),
         "op10_decontamination": decontaminate.contamination_sql(),
     }
