@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..staging import staged as staged
+
 # Fixed values of the query contracts: the characters that separate words.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -32,24 +32,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(SPACED_WORD)), F.lit(0)).cast("long")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="voxelake-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: later stages
-    survive the loss of executors and never recompute it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/voxelake/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of an Arrow batch, null as the empty text."""
     return [t or "" for t in batch.column(column).to_pylist()]

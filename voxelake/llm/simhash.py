@@ -23,8 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..graph import connected_components
 from .common import ascii_lower, slices, spaced_words, staged, texts
-from .components import connected_components
 
 RADIUS = 4
 SHINGLE_WORDS = 4
