@@ -1,0 +1,289 @@
+"""Operators against brute force on small tables with nulls, ties, empty and repeated rows."""
+
+import hashlib
+import random
+import re
+
+import duckdb
+import pandas as pd
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from voxelake.llm import decontaminate, licenses, merkle, mixing, quality, simhash, substring, token_counts, toxicity, urls
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row int, h string, key long, size int"
+rng = random.Random(5)
+WORDS = [f"w{i}" for i in range(300)]
+SPACED = re.compile(r"[^\x20\x09-\x0D]+").findall
+
+
+def prose(n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    shared, base = prose(60), prose(200)
+    texts = [base, base, prose(150), None, "", "one", prose(19), prose(20), " ".join(["to"] * 90), prose(30) + " " + shared + " " + prose(25), shared, prose(40) + "\n" + shared]
+    texts += [" ".join(w if rng.random() > 0.02 else "edit" for w in base.split()) for _ in range(6)]
+    texts += [prose(rng.randint(1, 120)) for _ in range(25)] + [base + " " + base, "x" * 3000, "Ünïcode Ä " * 15 + " \x0b\x1c mixed"]
+    return [(3 * i, t, "en", None if i % 7 == 0 else f"s{i % 4}", len(t or ""), 1, "h", 5, 6) for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, corpus):
+    return spark.createDataFrame(corpus, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def from_sql(sql, **tables):
+    con = duckdb.connect()
+    for name, rows in tables.items():
+        con.register(name, rows)
+    return con.sql(sql).df()
+
+
+def same(got, want):
+    cols = sorted(want.columns)
+    assert sorted(got.columns) == cols
+    plain = lambda df: sorted((tuple(None if pd.isna(x) else x for x in t) for t in df[cols].astype(object).values.tolist()), key=str)
+    assert plain(got) == plain(want)
+
+
+def frame(corpus):
+    return pd.DataFrame(corpus, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+
+
+def test_mix_meets_sql_and_targets(docs, corpus, empty):
+    mixed = mixing.mix(docs, block_words=16)
+    got = mixing.taken(mixed).toPandas()
+    same(got, from_sql(mixing.taken_sql(), documents=frame(corpus)))
+    assert (got.taken <= 2 * got["size"]).all()
+    per = got.groupby("source", dropna=False).agg(taken=("taken", "sum"), target=("target", "first"))
+    assert ((per.target - per.taken).abs() < 1).all()
+    slots = mixed.where("slot is not null").select("slot", "source").distinct().toPandas()
+    assert slots.slot.is_unique
+    assert mixing.taken(mixing.mix(empty)).count() == 0
+
+
+@pytest.mark.parametrize("share", [0.3, 1.0, 1.9])
+def test_targets_share_and_stop(docs, share):
+    sizes = docs.select("source", mixing.word_count(F.col("text")).alias("size"))
+    t = mixing.source_targets(sizes, share).toPandas()
+    assert (t.target <= 2 * t.source_size + 1e-9).all()
+    assert abs(t.target.sum() - share * t.source_size.sum()) < 1e-6
+    open_ = t[t.target < 2 * t.source_size - 1e-9]
+    assert (open_.target / open_.weight).round(9).nunique() <= 1
+
+
+def test_schedule_is_complete_and_even(spark):
+    targets = spark.createDataFrame([(0, 5000.0), (1, 3000.0), (2, 17.0), (3, 0.0)], "nr int, target double")
+    s = mixing.schedule(targets, 10).orderBy("slot").toPandas()
+    assert s.groupby("nr")["rank"].apply(lambda r: sorted(r) == list(range(len(r)))).all()
+    assert s.groupby("nr").size().to_dict() == {0: 500, 1: 300, 2: 2}
+    half = s[s.slot < s.slot.max() // 2]
+    assert abs((half.nr == 0).sum() - 250) < 12
+    assert (s[s.nr == 0]["rank"].diff().dropna() == 1).all()
+
+
+TOKENIZER = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+
+
+def test_token_counts_match_library(docs, corpus, empty):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(TOKENIZER)
+    got = token_counts.token_counts(docs, TOKENIZER, 50).toPandas().set_index("doc_id")
+    for doc_id, text, *_ in corpus:
+        want = len(lib.encode(text or "", add_special_tokens=False).ids)
+        assert got.n_tokens[doc_id] == want and got.n_bytes[doc_id] == len((text or "").encode())
+        assert got.over_limit[doc_id] == (want > 50)
+    assert token_counts.token_counts(empty, TOKENIZER).count() == 0
+
+
+@pytest.mark.parametrize("text", ["it's  they'll <|endoftext|> a\n\n b", "  c ² Ⅷ \x1c\x1d x 漢字 🙂 don't", "abc" * 9 + "!!?"])
+def test_every_prefix_has_its_count(text):
+    from tokenizers import Tokenizer
+
+    lib, v = Tokenizer.from_file(TOKENIZER), token_counts.vocabulary(TOKENIZER)
+    counts = token_counts.PrefixCounts(v, text)
+    want = [len(lib.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+    assert [counts.at(k) for k in range(len(text) + 1)] == want
+    for budget in range(max(want) + 1):
+        assert counts.longest(budget) == max(k for k, n in enumerate(want) if n <= budget)
+
+
+def test_substring_dedup_meets_sql(docs, corpus, empty):
+    got = substring.digest(substring.remove_repeats(docs)).toPandas()
+    same(got, from_sql(substring.repeats_sql(), documents=frame(corpus)))
+    assert got.n_removed.sum() > 500
+    assert substring.remove_repeats(empty).count() == 0
+
+
+def test_substring_crowded_shards_and_hot_anchors(docs, corpus, monkeypatch):
+    monkeypatch.setattr(substring, "PASSAGES_PER_SHARD", 1)
+    monkeypatch.setattr(substring, "HOT_ROWS", 3)
+    monkeypatch.setattr(substring, "HOT_SHARE", 1_000)
+    same(substring.digest(substring.remove_repeats(docs)).toPandas(), from_sql(substring.repeats_sql(), documents=frame(corpus)))
+
+
+def test_substring_repeated_and_null_ids(spark):
+    a, b = prose(40), prose(40)
+    rows = [(1, a), (1, a), (None, b), (2, b), (2, a + " " + b)]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert sorted(got.n_removed) == [0, 0, 0, 40, 80]
+
+
+def test_automaton_statistics_are_longest_matches():
+    refs = [[rng.choice("abc") for _ in range(30)] for _ in range(4)]
+    auto = substring.SuffixAutomaton()
+    for r in refs:
+        auto.add(r)
+    query = [rng.choice("abcd") for _ in range(60)]
+    inside = lambda s: any(s == r[i : i + len(s)] for r in refs for i in range(len(r)))
+    want = [max(m for m in range(i + 2) if m == 0 or inside(query[i + 1 - m : i + 1])) for i in range(len(query))]
+    assert auto.matching_statistics(query) == want
+
+
+def labelled(n=240):
+    rows, marks = [], []
+    for i in range(n):
+        bad, rude = i % 4 == 0, i % 5 == 0
+        text = " ".join(["Junk!!!"] * 40) if bad else ". ".join(prose(9).capitalize() for _ in range(6)) + "."
+        rows.append((i, text + (" you rotter and scoundrel" if rude else " friend"), "en", "s", len(text), 1, "h", 5, 6))
+        marks.append((i, int(not bad), int(rude)))
+    rows.append((10_000, None, None, None, None, None, None, None, None))
+    rows.append((10_001, "", None, None, None, None, None, None, None))
+    return rows, marks
+
+
+@pytest.mark.parametrize("module, column, cut", [(quality, "quality", 0.5), (toxicity, "toxic", 0.7)])
+def test_classifiers_on_held_out_rows(spark, empty, module, column, cut):
+    rows, marks = labelled()
+    d, labels = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = module.digest(module.scores(d, module.train(d, labels))).toPandas()
+    assert len(got) == len(rows) and got.score.between(0, 1).all() and ((got.score >= cut) == got.predicted.astype(bool)).all()
+    held = got[got.held_out].merge(labels.toPandas(), on="doc_id")
+    assert len(held) > 40 and (held.predicted == held[column]).mean() > 0.95
+    none = module.train(empty, labels)
+    assert module.scores(empty, none).count() == 0 and module.scores(d, none).count() == len(rows)
+
+
+def test_urls_meet_sql(spark):
+    urls_ = ["https://www.example.com/en/a?x#y", "http://a.EXAMPLE.com/en/1", "http://com/x", "ftp://q.net/fr/", "https://spam-farm.example.org/a", "https://x.org/cheap-pills", "https://x.org/cheapest", None, "", "no scheme", "a://b://c/d", "http://notcom/", "http://x.net?/es/", "http://h\n/é?"]
+    rows = [(i, u, "<p>", 1) for i, u in enumerate(urls_)] + [(3, urls_[3], None, 2)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, low int")
+    got = urls.digest(urls.judge(d)).toPandas()
+    same(got, from_sql(urls.judge_sql(), pages=pd.DataFrame(rows, columns=["page_id", "url", "html", "x"])))
+    assert urls.judge(d.limit(0)).count() == 0
+
+
+def test_merkle_edits_and_order(docs, corpus, empty, monkeypatch):
+    monkeypatch.setattr(merkle, "BUCKET_ROWS", 5)
+    got = merkle.fingerprints(docs).toPandas().set_index("doc_id")
+    text = {i: t or "" for i, t, *_ in corpus}
+    order = sorted(text, reverse=True)
+    for k, i in enumerate(order):
+        nxt = text[order[(k + 1) % len(order)]]
+        m = len(text[i]) // 3
+        new = text[i][: len(text[i]) - m] + nxt[:m]
+        row = got.loc[i]
+        assert row.edited_sha256 == hashlib.sha256(new.encode()).hexdigest() and row.n_chars == len(text[i])
+        assert row.fingerprint == merkle.fingerprint(text[i]) and row.edited_fingerprint == merkle.fingerprint(new)
+        assert (row.near_next == 1) == (nxt == text[i])
+    assert merkle.fingerprints(empty).count() == 0
+    assert merkle.fingerprints(docs.where('doc_id = 0')).first().near_next == 1.0
+    twice = merkle.fingerprints(docs.union(docs).union(docs.selectExpr("cast(null as long)", *docs.columns[1:])))
+    assert twice.count() == 3 * len(corpus)
+
+
+def test_merkle_branches_locate_edits():
+    lines = [prose(12) + ".\n" for _ in range(40)]
+    changed = [*lines[:20], "changed " + lines[20], *lines[21:]]
+    a, b = merkle.fingerprint("".join(lines)), merkle.fingerprint("".join(changed))
+    assert len(merkle.differences(a, b)) == 1 and 0.9 < merkle.likeness(a, b) < 1 and merkle.differences(a, a) == []
+
+
+def brute_fingerprint(text):
+    w = SPACED(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(fps):
+    low = dict(enumerate(range(len(fps))))
+    changed = True
+    while changed:
+        changed = False
+        for i, a in enumerate(fps):
+            for j, b in enumerate(fps):
+                if bin(a ^ b).count("1") <= 4 and low[j] < low[i]:
+                    low[i], changed = low[j], True
+    return low
+
+
+def test_simhash_groups(docs, corpus, empty):
+    got = simhash.near_duplicates(docs).select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fp"), "component_id").toPandas().set_index("doc_id")
+    fps = [brute_fingerprint(t) for _, t, *_ in corpus]
+    low = brute_components(fps)
+    for i, (doc_id, *_) in enumerate(corpus):
+        assert int(got.fp[doc_id], 16) == fps[i] and got.component_id[doc_id] == 3 * low[i]
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize("buckets, per_set, at_a_time", [(256, 1 << 25, 1 << 22), (4, 8, 1 << 22), (2, 1 << 25, 64)])
+def test_simhash_ball_hashing_finds_every_link(spark, monkeypatch, buckets, per_set, at_a_time):
+    monkeypatch.setattr(simhash, "VARIANTS_AT_A_TIME", at_a_time)
+    seeds = [rng.getrandbits(64) for _ in range(12)]
+    fps = {s ^ sum(1 << b for b in rng.sample(range(64), k)) for s in seeds for k in (0, 1, 2, 3, 4, 4, 5)} | {0, 1, 31, 2**63}
+    fps = sorted(fps)
+    import numpy as np
+
+    bits = buckets.bit_length() - 1
+    parent = {f: f for f in fps}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for b in range(1 << bits):
+        u, v = simhash.collisions(np.array(fps, np.uint64), b, bits)
+        for x, y in zip(u.tolist(), v.tolist()):
+            parent[find(x)] = find(y)
+    low = brute_components(fps)
+    assert {frozenset(i for i in low if low[i] == r) for r in low.values()} == {frozenset(i for i, f in enumerate(fps) if find(f) == g) for g in map(find, fps)}
+
+
+def test_licenses_base_and_fuzzy(spark, docs, empty):
+    rows = [(1, "Released under the MIT-License. (MIT license)"), (2, "Licensd under the Apache Licence, Version 2.0"), (3, "gnu general public license gnu general public license"), (4, None), (5, "plain"), (6, "permission is hereby granted, free of charg, to any person obtainin a copy"), (7, "CC BY by cc BY")]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")
+    assert got.n_base.to_dict() == {1: 2, 2: 0, 3: 2, 4: 0, 5: 0, 6: 0, 7: 2}
+    assert got.first_word[1] == 3 and got.last_word[1] == 5 and got.last_word[3] == 4 and pd.isna(got.first_word[5])
+    assert got.base_labels.to_dict() == {1: "mit", 2: "", 3: "gpl", 4: "", 5: "", 6: "", 7: "cc-by"}
+    assert "apache-2.0" in got.labels[2] and "mit-notice" in got.labels[6] and got.labels[5] == "" and got.score[5] == 0 and got.score[1] == 1
+    note = got.notices[2][0]
+    assert rows[1][1][note["start"] : note["stop"]].startswith("Licensd") and note["edits"] == 2
+    assert licenses.scan_licenses(docs).count() == docs.count() and licenses.scan_licenses(empty).count() == 0
+
+
+def test_decontamination_meets_sql(spark, docs, corpus, empty):
+    long = corpus[0][1].split()
+    items = [(1, " ".join(long[30:60])), (2, "One"), (3, corpus[2][1].upper()), (10, None), (4, ""), (None, "x"), (11, " ".join(long[5:17]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.digest(decontaminate.contamination(docs, bench)).toPandas()
+    want = from_sql(decontaminate.contamination_sql(), documents=frame(corpus), benchmark=pd.DataFrame([i for i in items if i[0] is not None], columns=["item_id", "text"]).astype({"item_id": "int64"}))
+    same(got, want)
+    assert got.contaminated.sum() >= 3
+    blocks = decontaminate.digest(decontaminate.contamination(docs, bench, block_chars=100)).toPandas()
+    same(blocks, want)
+    assert not decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count() and decontaminate.contamination(empty, bench).count() == 0
+    row = decontaminate.contamination(docs, bench).where("doc_id = 0").first()
+    assert corpus[0][1][row.spans[0].start : row.spans[0].stop].split()[0] == long[row.hits[0]]
