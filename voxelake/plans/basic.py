@@ -26,12 +26,12 @@ q AS (SELECT g.x, g.y, CAST(coalesce(s.v, 0) AS BIGINT) AS v, CAST(coalesce(s.c,
 
 
 def cells(r: Raster) -> DataFrame:
-    """x, y, v of a raster for comparison; v as double, six decimals."""
-    return r.df.select(*[F.col(a).cast("long").alias(a) for a in r.axes], F.round(F.col("v").cast("double"), 6).alias("v"))
+    """x, y, v of a raster for comparison; v as double, six decimals, zero without a sign."""
+    return r.df.select(*[F.col(a).cast("long").alias(a) for a in r.axes], (F.round(F.col("v").cast("double"), 6) + F.lit(0.0)).alias("v"))
 
 
 def cells_sql(value: str, source: str = "q", where: str = "") -> str:
-    return f"{CELLS}\nSELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, round(CAST({value} AS DOUBLE), 6) AS v FROM {source} {where}"
+    return f"{CELLS}\nSELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, round(CAST({value} AS DOUBLE), 6) + 0.0 AS v FROM {source} {where}"
 
 
 def quantity(spark: SparkSession, sf_dir: str, pixel: str = "int32") -> Raster:

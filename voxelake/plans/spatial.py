@@ -33,7 +33,7 @@ w AS (SELECT q.x, q.y, q.v, dx, dy, n.v AS n FROM p q, o, l, p n WHERE n.x = {ix
 
 
 def over_box(value: str, rx: int, ry: int, border: str = "clamp", of: str = "v", where: str = "") -> str:
-    return f"{box(rx, ry, border, of)} SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, round(CAST({value} AS DOUBLE), 6) AS v FROM w {where} GROUP BY x, y"
+    return f"{box(rx, ry, border, of)} SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, round(CAST({value} AS DOUBLE), 6) + 0.0 AS v FROM w {where} GROUP BY x, y"
 
 
 def near(name: str, fn: Callable[[Raster], Raster], sql: str | None, source: Callable = quantity) -> None:

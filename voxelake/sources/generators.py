@@ -62,13 +62,14 @@ def physical_point_source(spark: SparkSession, geometry: Geometry) -> Raster:
 
 
 def xorshift_volume(spark: SparkSession, size: Sequence[int], seed: int = 42, modulus: int = 1000, pixel: str = "float32") -> Raster:
-    """A sequential pseudo-random test volume (xorshift64*), made on the driver for small sizes."""
+    """The sequential pseudo-random volume of the published benchmark (xorshift64*, a fixed rule of
+    shifts 12, 25, 27 and a multiplier), made on the driver: for small test volumes only."""
     state, values = seed, []
     for _ in range(math.prod(size)):
         state ^= state >> 12
         state ^= (state << 25) & (2**64 - 1)
         state ^= state >> 27
-        values.append((state * 0x2545F4914F6CDD1D % 2**64) % modulus)
+        values.append((state * 0x2545F4914F6CDD1D % 2**64 >> 33) % modulus)
     g = Geometry(tuple(size))
     rows = spark.createDataFrame([(0, values)], "image_id long, v array<long>").select("image_id", F.posexplode("v").alias("pos", "v"))
     at, out = F.col("pos"), []
