@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import diffusion as dif
 from ..operators import geometry as geo
 from ..operators import growing as gr
 from ..operators import noise
@@ -78,6 +79,28 @@ table("fast_marching", lambda s, d: cells(gr.fast_marching(real(s, d).map(lambda
 for _name, _fn in {"additive_gaussian_noise": noise.additive_gaussian_noise, "salt_and_pepper_noise": noise.salt_and_pepper_noise, "speckle_noise": noise.speckle_noise, "shot_noise": noise.shot_noise}.items():
     table(_name, lambda s, d, f=_fn: cells(f(real(s, d))), None)
 
+# Iterated filters
+def box_kernel(spark, sf_dir):
+    """A 3-voxel mean along x, centred on voxel 0."""
+    q = real(spark, sf_dir)
+    return q.with_rows(q.df.withColumn("v", F.when((F.col("y") == 0) & F.col("x").isin(0, 1, 11), 1 / 3).otherwise(0.0)))
+
+
+table("fft_convolution", lambda s, d: cells(dif.fft_convolution(real(s, d), box_kernel(s, d)).map(lambda v: F.round(v, 4), "float64")),
+      CELLS + " SELECT CAST(a.x AS BIGINT) AS x, CAST(a.y AS BIGINT) AS y, round(sum(b.v) / 3.0::DOUBLE, 4) AS v FROM q a JOIN q b ON a.y = b.y AND (b.x - a.x + 13) % 12 IN (0, 1, 2) GROUP BY a.x, a.y")
+table("histogram_matching", lambda s, d: cells(dif.histogram_matching(real(s, d), quantity(s, d).map(lambda v: v * 2))), cells_sql("2 * v"))
+for _name, _fn in {
+    "gradient_anisotropic_diffusion": lambda q: dif.gradient_anisotropic_diffusion(q, iterations=2), "curvature_anisotropic_diffusion": lambda q: dif.curvature_anisotropic_diffusion(q, iterations=2),
+    "min_max_curvature_flow": lambda q: dif.min_max_curvature_flow(q, iterations=2), "canny_edge_detection": lambda q: dif.canny_edge_detection(q, 1.0, 40, 80),
+    "adaptive_histogram_equalization": lambda q: dif.adaptive_histogram_equalization(q, (2, 2)), "objectness_measure": dif.objectness_measure,
+    "zero_crossing_based_edge_detection": dif.zero_crossing_based_edge_detection,
+}.items():
+    table(_name, lambda s, d, f=_fn: cells(f(real(s, d))), None)
+for _name, _fn in {"wiener_deconvolution": dif.wiener_deconvolution, "tikhonov_deconvolution": dif.tikhonov_deconvolution, "richardson_lucy_deconvolution": lambda a, b: dif.richardson_lucy(a, b, 2), "landweber_deconvolution": lambda a, b: dif.landweber(a, b, 0.5, 2)}.items():
+    table(_name, lambda s, d, f=_fn: cells(f(real(s, d), box_kernel(s, d))), None)
+table("demons_registration", lambda s, d: cells(component(dif.demons(*blobs(s, (1, 0)), iterations=3), 0)), None)
+table("level_set", lambda s, d: cells(dif.level_set(gen.generate(s, Geometry((16, 16)), lambda p: F.sqrt(F.pow(p[0] - 8, 2) + F.pow(p[1] - 8, 2)) - 3), gen.constant_image(s, Geometry((16, 16)), 1.0), iterations=3)), None)
+
 # Generators
 POINTS = "SELECT i * 0.5 - 1 AS px, j * 2 + 3 AS py, i, j FROM (SELECT unnest(range(16)) AS i), (SELECT unnest(range(9)) AS j)"
 GRID = Geometry((16, 9), (0.5, 2.0), (-1.0, 3.0))
