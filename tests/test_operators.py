@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxelake.operators import geometry, growing, labels, lines, morphology, noise, pixelwise, reduce, registration, resample, window
+from voxelake.operators import geometry, growing, labels, lines, morphology, noise, optimizers, pixelwise, reduce, registration, resample, window
 from voxelake.raster import PIXELS, Geometry, from_table
 from voxelake.sources import generators, images
 
@@ -190,3 +190,32 @@ def test_noise_is_repeatable_and_has_its_moments(spark):
 def test_published_test_volume(spark):
     v = generators.xorshift_volume(spark, (4, 2, 1)).df.orderBy("y", "x").limit(5).toPandas()["v"].astype(int).tolist()
     assert v == [59, 641, 384, 121, 923]
+
+
+def test_interpolators_reproduce_smooth_rasters(spark):
+    x = np.arange(24)
+    a = raster(spark, np.tile(np.sin(x / 4), (1, 1)))
+    points = spark.createDataFrame([(0, k, 8 + k / 10) for k in range(60)], "image_id long, point_id long, p double")
+    for name, error in {"linear": 0.01, "bspline": 1e-4, "lanczos": 5e-3, "hamming": 5e-3, "welch": 5e-3, "cosine": 5e-3, "blackman": 5e-3, "gaussian": 0.05}.items():
+        for row in resample.sample(a, points, [F.col("p"), F.lit(0.0)], name).collect():
+            assert row.s == pytest.approx(np.sin(row.p / 4), abs=error), name
+
+
+@pytest.mark.parametrize("name", ["gradient_descent", "amoeba", "powell", "one_plus_one"])
+def test_optimizers_find_a_minimum(name):
+    at, value = getattr(optimizers, name)(lambda p: (p[0] - 1.5) ** 2 + 2 * (p[1] + 0.5) ** 2 + 0.3 * p[0] * p[1], (0.0, 0.0), **({"rate": 0.2} if name == "gradient_descent" else {"rounds": 400} if name == "one_plus_one" else {}))
+    best = np.linalg.solve([[2, 0.3], [0.3, 4]], [3, -2])
+    assert at == pytest.approx(tuple(best), abs=0.05)
+
+
+def test_transform_text_round_trip():
+    t = resample.euler_2d(0.3, (1, 2), (4, 5))
+    assert resample.read_transform(resample.write_transform(t)).point((7, 8)) == pytest.approx(t.point((7, 8)))
+
+
+def test_thinning_keeps_one_component(spark):
+    a = np.zeros((9, 15))
+    a[2:7, 1:14] = 1
+    thin = array(morphology.binary_thinning(raster(spark, a, "uint8")))
+    assert 0 < thin.sum() < 16 and (thin <= a).all()
+    assert array(labels.connected_component(raster(spark, thin, "uint8"), True)).max() == 1

@@ -231,3 +231,60 @@ def binary_grind_peak(r: Raster, foreground: int = 1, background: int = 0) -> Ra
 def binary_reconstruction(marker: Raster, mask: Raster, foreground: int = 1) -> Raster:
     """Components of the mask that the marker meets."""
     return reconstruction(marker.map(lambda v: F.when(v == foreground, 1).otherwise(0)), mask.map(lambda v: F.when(v == foreground, 1).otherwise(0)))
+
+
+def geodesic_dilate(marker: Raster, mask: Raster, shape: str = "cross") -> Raster:
+    """One step: the marker's dilation held under the mask."""
+    grown = grayscale_dilate(marker, [1] * marker.dim, shape)
+    return mask.with_rows(mask.zip(grown).withColumn("v", F.least("v0", "v1")))
+
+
+def geodesic_erode(marker: Raster, mask: Raster, shape: str = "cross") -> Raster:
+    shrunk = grayscale_erode(marker, [1] * marker.dim, shape)
+    return mask.with_rows(mask.zip(shrunk).withColumn("v", F.greatest("v0", "v1")))
+
+
+def regional_extrema(r: Raster, maxima: bool = True, fully_connected: bool = False) -> Raster:
+    """1 on flat zones without a higher (``maxima``) or lower neighbour."""
+    from .labels import _components
+
+    zones = _components(r, r.df, F.col("v") == F.col("w"), fully_connected)
+    shape = "box" if fully_connected else "cross"
+    edge = (grayscale_dilate if maxima else grayscale_erode)(r, [1] * r.dim, shape)
+    rows = zones.select(*r.keys, "v", "root").join(edge.df.withColumnRenamed("v", "e"), r.keys)
+    top = rows.groupBy("root").agg(F.bool_and(F.col("e") == F.col("v")).alias("top"))
+    return r.with_rows(rows.join(top, "root").withColumn("v", F.when(F.col("top"), 1).otherwise(0)), pixel="uint8")
+
+
+def connected_opening(r: Raster, seed: Sequence[int], closing: bool = False) -> Raster:
+    """What is connected to the seed at its own height (``closing``: depth)."""
+    at = reduce(lambda a, b: a & b, [F.col(x) == i for x, i in zip(r.axes, seed)])
+    ends = r.df.groupBy("image_id").agg((F.max("v") if closing else F.min("v")).alias("end"))
+    marker = r.with_rows(r.df.join(ends, "image_id").withColumn("v", F.when(at, F.col("v")).otherwise(F.col("end"))))
+    return reconstruction(marker, r, "erosion" if closing else "dilation")
+
+
+def simple_contour_extractor(r: Raster, radius: Sequence[int], foreground: int = 1, background: int = 0) -> Raster:
+    """Foreground voxels with background in their box (edge repeated)."""
+    n = len(element("box", radius))
+    return _filter(r, radius, lambda w: F.when((F.element_at(w, n // 2 + 1) == foreground) & F.exists(w, lambda x: x == background), foreground).otherwise(background))
+
+
+def binary_thinning(r: Raster) -> Raster:
+    """Skeleton of a 2-D mask: rounds of two passes that peel boundary voxels whose removal keeps the
+    topology (one 0-1 change around, 2 to 6 neighbours), until nothing changes."""
+    now = r.map(lambda v: F.when(v != 0, 1).otherwise(0), "uint8")
+    order = [(0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1)]  # clockwise from above
+    while True:
+        before = now
+        for turn in (0, 1):
+            box = taps(now, (1, 1), "constant", 0).df
+            p = [F.element_at("v", (dy + 1) * 3 + dx + 2) for dx, dy in order]
+            count = reduce(lambda a, b: a + b, p)
+            changes = reduce(lambda a, b: a + b, [((p[k] == 0) & (p[(k + 1) % 8] == 1)).cast("int") for k in range(8)])
+            up, right, down, left = p[0], p[2], p[4], p[6]
+            free = ((up * right * down == 0) & (right * down * left == 0)) if turn == 0 else ((up * right * left == 0) & (up * down * left == 0))
+            goes = (F.element_at("v", 5) == 1) & count.between(2, 6) & (changes == 1) & free
+            now = now.with_rows(staged(box.select(*now.keys, F.when(goes, 0).otherwise(F.element_at("v", 5)).alias("v"))))
+        if not before.zip(now).where("v0 <> v1").limit(1).count():
+            return now

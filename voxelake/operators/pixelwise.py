@@ -251,3 +251,37 @@ def label_to_rgb(r: Raster, palette: list[tuple[int, int, int]], background: flo
     colours = F.array(*[F.array(*[F.lit(c) for c in rgb]) for rgb in palette])
     rgb = F.element_at(colours, F.pmod(F.col("v"), F.lit(len(palette))).cast("int") + 1)
     return Raster(r.df.select(*r.keys, F.when(F.col("v") == background, F.array(F.lit(0), F.lit(0), F.lit(0))).otherwise(rgb).alias("v")), r.geometry, PIXELS["uint8"])
+
+
+def _ramp(low: float, high: float) -> Callable[[Column], Column]:
+    return lambda t: F.lit(low) + (high - low) * t
+
+
+#: Colour maps on [0, 1]: red, green and blue, held in [0, 1].
+COLORMAPS: dict[str, tuple[Callable[[Column], Column], ...]] = {
+    "grey": (_ramp(0, 1),) * 3, "red": (_ramp(0, 1), _ramp(0, 0), _ramp(0, 0)), "green": (_ramp(0, 0), _ramp(0, 1), _ramp(0, 0)), "blue": (_ramp(0, 0), _ramp(0, 0), _ramp(0, 1)),
+    "hot": (lambda t: t * 63 / 26 - 1 / 13, lambda t: t * 63 / 26 - 11 / 13, lambda t: t * 4.5 - 3.5), "cool": (_ramp(0, 1), _ramp(1, 0), _ramp(1, 1)),
+    "spring": (_ramp(1, 1), _ramp(0, 1), _ramp(1, 0)), "summer": (_ramp(0, 1), lambda t: t * 0.5 + 0.5, _ramp(0.4, 0.4)), "autumn": (_ramp(1, 1), _ramp(0, 1), _ramp(0, 0)),
+    "winter": (_ramp(0, 0), _ramp(0, 1), lambda t: 1 - t * 0.5), "copper": (lambda t: t * 1.2, lambda t: t * 0.8, lambda t: t * 0.5),
+    "jet": (lambda t: 1.5 - F.abs(t * 3.95 - 2.9625), lambda t: 1.5 - F.abs(t * 3.95 - 1.975), lambda t: 1.5 - F.abs(t * 3.95 - 0.9875)),
+}
+
+
+def scalar_to_rgb(r: Raster, colormap: str = "grey") -> Raster:
+    """Colours of the values between the image's extremes, as arrays of three bytes."""
+    ends = r.df.groupBy("image_id").agg(F.min("v").cast("double").alias("lo"), F.max("v").cast("double").alias("hi"))
+    t = F.when(F.col("hi") == F.col("lo"), 0.0).otherwise((F.col("v").cast("double") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)))
+    byte = lambda f: F.floor(F.least(F.greatest(f(t), F.lit(0.0)), F.lit(1.0)) * 255 + 0.5).cast("smallint")
+    rows = r.df.join(ends, "image_id").select(*r.keys, F.array(*[byte(f) for f in COLORMAPS[colormap]]).alias("v"))
+    return Raster(rows, r.geometry, PIXELS["uint8"])
+
+
+def label_overlay(r: Raster, labels: Raster, palette: list[tuple[int, int, int]], opacity: float = 0.5, background: float = 0) -> Raster:
+    """Grey values blended with the palette colour of their label; the background stays grey."""
+    rows = r.zip(labels)
+    colours = F.array(*[F.array(*[F.lit(float(c)) for c in rgb]) for rgb in palette])
+    rgb = F.element_at(colours, F.pmod(F.col("v1"), F.lit(len(palette))).cast("int") + 1)
+    grey = F.col("v0").cast("double")
+    mixed = F.transform(rgb, lambda c: F.floor(c * opacity + grey * (1 - opacity)))
+    value = F.when(F.col("v1") == background, F.array(*[F.floor(grey)] * 3)).otherwise(mixed)
+    return Raster(rows.select(*r.keys, value.alias("v")), r.geometry, PIXELS["uint8"])

@@ -2,7 +2,8 @@
 
 A transform maps physical points to physical points as column expressions.  Resampling
 computes, for every output voxel, a continuous index of the input and joins the voxels
-around it (one for nearest, 2**dim for linear) by integer index.
+around it (one for nearest, 2**dim for linear, 4**dim for cubic splines, 10**dim for
+windowed sincs) by integer index.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..raster import AXES, PIXELS, Geometry, Raster, grid
+from ..raster import PIXELS, Geometry, Raster, grid
 
 
 @dataclass(frozen=True)
@@ -99,11 +100,56 @@ def index_columns(g: Geometry, p: Sequence[Column]) -> list[Column]:
     return [reduce(lambda s, j: s + (p[j] - float(g.origin[j])) * float(inverse[i][j]), range(d), F.lit(0.0)) / g.spacing[i] for i in range(d)]
 
 
+def _sinc(window) -> tuple[int, object]:
+    """Windowed sinc of radius 5."""
+    inside = lambda d: F.sin(math.pi * d) / (math.pi * d) * window(d / 5)
+    return 5, lambda d: F.when(F.abs(d) < 1e-12, 1.0).when(F.abs(d) >= 5, 0.0).otherwise(inside(F.when(F.abs(d) < 1e-12, 1.0).otherwise(d)))
+
+
+def _cubic(d: Column) -> Column:
+    """The cubic B-spline."""
+    a = F.abs(d)
+    return F.when(a < 1, (4 - 6 * a * a + 3 * a * a * a) / 6).when(a < 2, (2 - a) * (2 - a) * (2 - a) / 6).otherwise(0.0)
+
+
+#: Interpolators as (radius in voxels, weight of a voxel at a distance); ``bspline`` works on coefficients.
+KERNELS = {
+    "linear": (1, lambda d: 1 - F.abs(d)),
+    "gaussian": (3, lambda d: F.exp(-d * d / (2 * 0.8**2))),
+    "bspline": (2, _cubic),
+    "hamming": _sinc(lambda t: 0.54 + 0.46 * F.cos(math.pi * t)),
+    "cosine": _sinc(lambda t: F.cos(math.pi * t / 2)),
+    "welch": _sinc(lambda t: 1 - t * t),
+    "lanczos": _sinc(lambda t: F.sin(math.pi * t) / (math.pi * t)),
+    "blackman": _sinc(lambda t: 0.42 + 0.5 * F.cos(math.pi * t) + 0.08 * F.cos(2 * math.pi * t)),
+}
+
+
+def bspline_coefficients(r: Raster) -> Raster:
+    """Coefficients whose cubic B-spline passes through the voxels (edges repeated), by solving the
+    tridiagonal system of each line along each axis."""
+    from .lines import along
+
+    def solve(lines: np.ndarray) -> np.ndarray:
+        n = lines.shape[1]
+        m = np.eye(n) * 4
+        m += np.eye(n, k=1) + np.eye(n, k=-1)
+        m[0, 0] += 1
+        m[-1, -1] += 1
+        return np.linalg.solve(m / 6, lines.T).T
+
+    for a in r.axes:
+        r = along(r, a, solve)
+    return r
+
+
 def sample(r: Raster, points: DataFrame, coordinates: Sequence[Column], interpolator: str = "linear") -> DataFrame:
     """``points`` with ``s``: the raster's value at physical coordinates; rows outside are dropped.
 
     ``points`` has image_id and a unique ``point_id``.
     """
+    if interpolator == "bspline":
+        r = bspline_coefficients(r)
     index = index_columns(r.geometry, coordinates)
     ci = [f"c_{a}" for a in r.axes]
     rows = points.select("*", *[c.alias(n) for c, n in zip(index, ci)])
@@ -114,16 +160,17 @@ def sample(r: Raster, points: DataFrame, coordinates: Sequence[Column], interpol
     if interpolator == "nearest":
         near = rows.select("*", *[F.floor(F.col(n) + 0.5).cast("int").alias(f"i_{a}") for n, a in zip(ci, r.axes)])
         return near.join(values, keys).drop(*ci, *keys[1:])
-    corners = F.array(*[F.array(*map(F.lit, c)) for c in itertools.product((0, 1), repeat=r.dim)])
+    radius, kernel = KERNELS[interpolator]
+    corners = F.array(*[F.array(*map(F.lit, c)) for c in itertools.product(range(1 - radius, radius + 1), repeat=r.dim)])
     each = rows.withColumn("corner", F.explode(corners))
     weight, places = F.lit(1.0), []
     for k, (n, a) in enumerate(zip(ci, r.axes)):
         low, step = F.floor(n), F.col("corner")[k]
-        part = F.col(n) - low
-        weight = weight * F.when(step == 1, part).otherwise(1 - part)
+        weight = weight * kernel(F.col(n) - low - step)
         places.append(F.least(F.greatest(low + step, F.lit(0)), F.lit(r.size(a) - 1)).cast("int").alias(f"i_{a}"))
-    each = each.select("image_id", "point_id", weight.alias("w"), *places).where("w > 0")
-    summed = each.join(values, keys).groupBy("image_id", "point_id").agg(F.sum(F.col("w") * F.col("s")).alias("s"))
+    each = each.select("image_id", "point_id", weight.alias("w"), *places).where("w <> 0")
+    value = F.sum(F.col("w") * F.col("s"))
+    summed = each.join(values, keys).groupBy("image_id", "point_id").agg((value / F.sum("w") if interpolator == "gaussian" else value).alias("s"))
     return rows.drop(*ci).join(summed, ["image_id", "point_id"])
 
 
@@ -165,5 +212,17 @@ def jacobian_determinant(field: Raster) -> Raster:
     return Raster(rows.select(*field.keys, value.alias("v")), field.geometry, PIXELS["float64"])
 
 
-def image_axes(dim: int) -> tuple[str, ...]:
-    return AXES[:dim]
+def write_transform(t: Affine) -> str:
+    """The legacy text form of an affine transform."""
+    d = len(t.translation)
+    text = lambda v: " ".join(repr(float(x)) for x in v)
+    return f"#Insight Transform File V1.0\n#Transform 0\nTransform: AffineTransform_double_{d}_{d}\nParameters: {text([*(x for row in t.matrix for x in row), *t.translation])}\nFixedParameters: {text(t.centre or (0.0,) * d)}\n"
+
+
+def read_transform(text: str) -> Affine:
+    fields = dict(line.split(": ", 1) for line in text.splitlines() if ": " in line and not line.startswith("#"))
+    centre = tuple(map(float, fields["FixedParameters"].split()))
+    d, p = len(centre), list(map(float, fields["Parameters"].split()))
+    if not fields["Transform"].startswith("AffineTransform"):
+        raise ValueError("only affine transforms are read")
+    return Affine(tuple(tuple(p[k * d : (k + 1) * d]) for k in range(d)), tuple(p[d * d :]), centre)

@@ -193,3 +193,18 @@ WITH s AS (SELECT hour(ts) AS x, user_id AS y FROM events GROUP BY 1, 2 HAVING c
 r AS (WITH RECURSIVE reach(x, y, p) AS (SELECT x, y, x + 24 * y FROM s UNION SELECT n.x, n.y, r.p FROM reach r JOIN s n ON abs(n.x - r.x) + abs(n.y - r.y) = 1) SELECT x, y, min(p) AS root FROM reach GROUP BY x, y)
 SELECT CAST(gx AS BIGINT) AS x, CAST(gy AS BIGINT) AS y, CAST(coalesce(label, 0) AS DOUBLE) AS v FROM (SELECT unnest(range(24)) AS gx), (SELECT unnest(range((SELECT max(user_id) + 1 FROM events))) AS gy)
 LEFT JOIN (SELECT x, y, dense_rank() OVER (ORDER BY root) AS label FROM r) c ON c.x = gx AND c.y = gy""")
+
+# More morphology and colours
+near("regional_maxima", mo.regional_extrema, CELLS + """, r AS (WITH RECURSIVE reach(x, y, v, p) AS (SELECT x, y, v, x + 12 * y FROM q UNION SELECT n.x, n.y, n.v, r.p FROM reach r JOIN q n ON abs(n.x - r.x) + abs(n.y - r.y) = 1 AND n.v = r.v)
+  SELECT x, y, any_value(v) AS v, min(p) AS root FROM reach GROUP BY x, y),
+h AS (SELECT DISTINCT r.root FROM r JOIN q n ON abs(n.x - r.x) + abs(n.y - r.y) = 1 AND n.v > r.v)
+SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CASE WHEN h.root IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM r LEFT JOIN h USING (root)""")
+QUERIES["regional_minima"] = (lambda s, d: cells(mo.regional_extrema(quantity(s, d), maxima=False)), QUERIES["regional_maxima"][1].replace("n.v > r.v", "n.v < r.v"))
+table("grayscale_geodesic_dilate", lambda s, d: cells(mo.geodesic_dilate(quantity(s, d).map(lambda v: v - 50), quantity(s, d))), over_box("least(any_value(v), max(n) - 50)", 1, 1, "crop", where="WHERE dx = 0 OR dy = 0"))
+table("grayscale_geodesic_erode", lambda s, d: cells(mo.geodesic_erode(quantity(s, d).map(lambda v: v + 50), quantity(s, d))), over_box("greatest(any_value(v), min(n) + 50)", 1, 1, "crop", where="WHERE dx = 0 OR dy = 0"))
+near("grayscale_connected_opening", lambda r: mo.connected_opening(r, (4, 5)), None)
+near("grayscale_connected_closing", lambda r: mo.connected_opening(r, (4, 5), closing=True), None)
+near("simple_contour_extractor", lambda r: mo.simple_contour_extractor(r, (1, 1)), over_box("CASE WHEN any_value(v) = 1 AND min(n) = 0 THEN 1 ELSE 0 END", 1, 1, "clamp", HIGH), high)
+near("binary_thinning", mo.binary_thinning, None, high)
+near("scalar_to_rgb_colormap", lambda r: px.component(px.scalar_to_rgb(r, "hot"), 0), cells_sql("floor(least(greatest((v - lo) / CAST(hi - lo AS DOUBLE) * 63 / 26 - 1 / 13.0::DOUBLE, 0), 1) * 255 + 0.5)", "(SELECT q.*, (SELECT min(v) FROM q) AS lo, (SELECT max(v) FROM q) AS hi FROM q)"))
+table("label_overlay", lambda s, d: cells(px.component(px.label_overlay(quantity(s, d).map(lambda v: v % 256), shades(s, d), [(255, 0, 0), (0, 205, 0), (0, 0, 255)]), 1)), cells_sql("CASE v % 4 WHEN 0 THEN v % 256 WHEN 1 THEN floor(205 * 0.5 + (v % 256) * 0.5) ELSE floor((v % 256) * 0.5) END"))

@@ -39,6 +39,10 @@ table("warp", lambda s, d: cells(rs.warp(quantity(s, d), rs.displacement_field(q
 table("displacement_jacobian", lambda s, d: cells(rs.jacobian_determinant(rs.displacement_field(quantity(s, d), rs.scale((2, 3)))).map(lambda v: F.round(v, 4), "float64")),
       CELLS + LIMITS + " SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, round((1 + CASE WHEN x IN (0, nx - 1) THEN 0.5 ELSE 1 END) * (1 + CASE WHEN y IN (0, ny - 1) THEN 1 ELSE 2 END), 4)::DOUBLE AS v FROM q, l")
 
+for _name in rs.KERNELS:
+    if _name != "linear":
+        table(f"resample_{_name}", lambda s, d, n=_name: cells(rs.resample(real(s, d), transform=rs.translation((0.0, 0.0)) if n == "bspline" else rs.translation((0.25, 0.5)), interpolator=n).map(lambda v: F.round(v, 4), "float64")), cells_sql("v") if _name == "bspline" else None)
+
 # Registration
 table("metric_mean_squares", lambda s, d: reg.mean_squares(real(s, d), real(s, d), rs.translation((1, 0))).select(F.round("value", 4).alias("value"), "points"),
       CELLS + " SELECT round(avg(pow(a.v - b.v, 2)), 4) AS value, count(*) AS points FROM q a JOIN q b ON b.x = a.x + 1 AND b.y = a.y")
