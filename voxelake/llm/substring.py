@@ -150,20 +150,24 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if copy.any():
             yield out(rows[copy], 0)
         kept = rows[~copy]
-        edges = np.flatnonzero(np.concatenate(([True], kept.key[1:] != kept.key[:-1])))[: len(kept)]
-        groups = np.split(kept, edges[1:]) if len(kept) else []
-        many = [g for g in groups[1:-1] if 1 < len(g) <= PASSAGES_PER_SHARD]
-        if many:
-            yield out(np.concatenate(many), 1)
-        for g in [g for i, g in enumerate(groups) if i in (0, len(groups) - 1) or len(g) > PASSAGES_PER_SHARD]:
-            if g.key[0] != held_key:
-                yield from settle()
-                held, held_key, crowded = [], g.key[0], False
-            held.append(g)
-            if crowded or sum(map(len, held)) > PASSAGES_PER_SHARD:
-                crowded = True
-                yield out(np.concatenate(held), 2)
-                held = []
+        if len(kept):
+            edges = np.append(np.flatnonzero(np.concatenate(([True], kept.key[1:] != kept.key[:-1]))), len(kept))
+            size = np.diff(edges)
+            inner = np.ones(len(size), bool)
+            inner[[0, -1]] = False
+            many = np.repeat(inner & (size > 1) & (size <= PASSAGES_PER_SHARD), size)
+            if many.any():
+                yield out(kept[many], 1)
+            for g in np.flatnonzero(~inner | (size > PASSAGES_PER_SHARD)):
+                group = kept[edges[g] : edges[g + 1]]
+                if group.key[0] != held_key:
+                    yield from settle()
+                    held, held_key, crowded = [], group.key[0], False
+                held.append(group)
+                if crowded or sum(map(len, held)) > PASSAGES_PER_SHARD:
+                    crowded = True
+                    yield out(np.concatenate(held), 2)
+                    held = []
         if first[-1] >= 0:
             last = rows[first[-1]]
     yield from settle()
