@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batch import TextBatch
-from .common import held_out, slices, texts
+from .common import held_out, slices, staged, texts
 
 #: Hashed terms, the length of each term's factor, and the terms that keep weights.
 BUCKETS = 1 << 20
@@ -69,26 +69,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
 
-def fit(owner: np.ndarray, bucket: np.ndarray, x: np.ndarray, y: np.ndarray, steps: int = STEPS, rate: float = 0.05, l2: float = 1e-4, seed: int = 11) -> Model:
+def fit(owner: np.ndarray, active: np.ndarray, bucket: np.ndarray, x: np.ndarray, y: np.ndarray, steps: int = STEPS, rate: float = 0.05, l2: float = 1e-4, seed: int = 11) -> Model:
     """Adam on the logistic loss over all rows, both classes weighted alike.
 
-    ``owner``, ``bucket``, ``x`` are the terms of the rows whose classes are ``y``.
+    ``owner``, ``bucket``, ``x`` are the terms of the rows whose classes are ``y``; ``active``
+    are the sorted buckets that get weights.
     """
     none = np.zeros(0, np.int64)
     positive = int(y.sum())
     if not 0 < positive < len(y):
         return Model(30.0 if positive else -30.0, none, np.zeros(0), np.zeros((0, FACTORS)))
-    seen = [np.bincount(bucket[y[owner] == c], minlength=BUCKETS) for c in (0, 1)]
-    share = [(s + 0.5) / (n + 1) for s, n in zip(seen, (len(y) - positive, positive))]
-    tells = np.abs(np.log(share[1] / share[0])) * np.sqrt(seen[0] + seen[1])
-    tells[seen[0] + seen[1] < 2] = 0
-    active = np.sort(np.argsort(-tells, kind="stable")[:ACTIVE])
-    active = active[tells[active] > 0]
-    at = np.full(BUCKETS, -1)
-    at[active] = np.arange(len(active))
     dense = np.zeros((len(y), len(active)), np.float32)
-    known = at[bucket] >= 0
-    dense[owner[known], at[bucket[known]]] = x[known]
+    dense[owner, np.searchsorted(active, bucket)] = x
     square = dense**2
     rng = np.random.default_rng(seed)
     p = [np.zeros(1, np.float32), np.zeros(len(active), np.float32), rng.normal(0, 0.02, (len(active), FACTORS)).astype(np.float32)]
@@ -125,19 +117,30 @@ def labelled(labels: DataFrame, column: str, sample: int) -> DataFrame:
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled rows of each class; only their hashed terms reach the
-    driver.
+    """Fit on at most ``sample`` labelled rows of each class.
+
+    The terms that tell the classes apart are chosen by an aggregation over the sample; only
+    these terms of the sampled rows, and the rows' classes, reach the driver.
 
     Null texts are empty; a doc_id that occurs several times counts once for each distinct
     text; without rows of both classes the score is constant (1 if all rows are toxic, else 0).
     """
     chosen = F.broadcast(labelled(labels, "toxic", sample))  # at most 2 * sample ids
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").distinct()
-    rows = docs.mapInArrow(_extract, "doc_id long, label int, at array<int>, x array<float>").orderBy("doc_id").toArrow()
-    flat = [rows.column(c).combine_chunks() for c in ("at", "x")]
-    flat = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in flat] if rows.num_rows else [pa.array([], pa.list_(t)) for t in (pa.int32(), pa.float32())]
-    owner = np.repeat(np.arange(rows.num_rows), flat[0].value_lengths().to_numpy(zero_copy_only=False))
-    return fit(owner, flat[0].flatten().to_numpy(), flat[1].flatten().to_numpy(), rows.column("label").to_numpy())
+    rows = staged(docs.mapInArrow(_extract, "doc_id long, label int, at array<int>, x array<float>").withColumn("row", F.monotonically_increasing_id()))
+    y = rows.select("doc_id", "row", "label").orderBy("doc_id", "row").toArrow()
+    terms = rows.select("row", "label", F.explode(F.arrays_zip("at", "x")).alias("t")).select("row", "label", F.col("t.at").alias("bucket"), F.col("t.x").alias("x"))
+    n = [int((y.column("label").to_numpy() == c).sum()) for c in (0, 1)]
+    seen = terms.groupBy("bucket").agg(F.count_if(F.col("label") == 0).alias("s0"), F.count_if(F.col("label") == 1).alias("s1")).where("s0 + s1 > 1")
+    share = lambda c: (F.col(f"s{c}") + 0.5) / (n[c] + 1)
+    tells = F.abs(F.log(share(1) / share(0))) * F.sqrt(F.col("s0") + F.col("s1"))
+    active = seen.orderBy(tells.desc(), "bucket").limit(ACTIVE).select("bucket")  # at most ACTIVE rows
+    kept = terms.join(F.broadcast(active), "bucket").select("row", "bucket", "x").toArrow()
+    ids = y.column("row").to_numpy()
+    by_id = np.argsort(ids)
+    owner = by_id[np.searchsorted(ids, kept.column("row").to_numpy(), sorter=by_id)] if len(ids) else ids
+    bucket = kept.column("bucket").to_numpy()
+    return fit(owner, np.unique(bucket), bucket, kept.column("x").to_numpy(), y.column("label").to_numpy())
 
 
 def _scorer(model):
