@@ -71,6 +71,13 @@ def test_mix_meets_sql_and_targets(docs, corpus, empty):
     assert mixing.taken(mixing.mix(empty)).count() == 0
 
 
+def test_mix_keeps_repeated_rows(spark):
+    rows = [(1, "a b", "s"), (1, "a b", "s"), (2, "", "s"), (2, "", "s"), (2, None, "s"), (None, "c", None), (None, None, None)]
+    got = mixing.taken(mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))).toPandas()
+    same(got, from_sql(mixing.taken_sql(), documents=pd.DataFrame(rows, columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"})))
+    assert len(got) == len(rows)
+
+
 @pytest.mark.parametrize("share", [0.3, 1.0, 1.9])
 def test_targets_share_and_stop(docs, share):
     sizes = docs.select("source", mixing.word_count(F.col("text")).alias("size"))

@@ -72,7 +72,8 @@ def _levels(rows: int) -> int:
 
 
 def stream_offsets(rows: DataFrame, levels: int) -> DataFrame:
-    """Add ``start``: the words of the same source that come earlier in its shuffled order.
+    """Add ``start``: the words of the same source that come earlier in its shuffled order, and
+    ``seat``, which tells repeated rows without words apart.
 
     ``rows`` has ``nr``, ``h`` (hex hash), ``doc_id``, ``size``.  Documents are grouped by
     the first ``2 * levels`` hex digits of the hash; every tree node has at most 256
@@ -81,7 +82,7 @@ def stream_offsets(rows: DataFrame, levels: int) -> DataFrame:
     prefix = lambda depth: F.substring("h", 1, 2 * depth)
     order = ["h", F.col("doc_id").asc_nulls_first(), "size"]
     leaf = Window.partitionBy("nr", "leaf").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = rows.withColumn("leaf", prefix(levels)).withColumn("start", F.sum("size").over(leaf) - F.col("size"))
+    out = rows.withColumn("leaf", prefix(levels)).withColumn("start", F.sum("size").over(leaf) - F.col("size")).withColumn("seat", F.row_number().over(leaf))
     nodes = rows.groupBy("nr", prefix(levels).alias("node")).agg(F.sum("size").alias("size"))
     base = None
     for depth in range(levels, 0, -1):
@@ -157,13 +158,13 @@ def mix(documents: DataFrame, seed: str = "mix", block_words: int = BLOCK_WORDS,
     pieces = passes.withColumn("rank", F.explode(F.coalesce(block, F.array(-1 - F.col("start")))))  # unreached rows spread over ranks that no slot has
     pieces = pieces.withColumn("from_word", F.greatest("lo", F.col("rank") * block_words) - F.col("lo")).withColumn("to_word", F.least("hi", (F.col("rank") + 1) * block_words) - F.col("lo"))
     slots = schedule(targets, block_words)
-    return pieces.join(slots, ["nr", "rank"], "left").select("slot", "rank", "doc_id", "source", "start", "size", "source_size", "target", "from_word", "to_word")
+    return pieces.join(slots, ["nr", "rank"], "left").select("slot", "rank", "doc_id", "source", "start", "seat", "size", "source_size", "target", "from_word", "to_word")
 
 
 def taken(mixed: DataFrame) -> DataFrame:
     """Words that a mix takes of each document: doc_id, source, size, source_size, target, taken."""
     words = F.when(F.col("slot").isNotNull(), F.col("to_word") - F.col("from_word"))
-    return mixed.groupBy("doc_id", "source", "start", "size", "source_size", "target").agg(F.coalesce(F.sum(words), F.lit(0)).cast("long").alias("taken")).drop("start")
+    return mixed.groupBy("doc_id", "source", "start", "seat", "size", "source_size", "target").agg(F.coalesce(F.sum(words), F.lit(0)).cast("long").alias("taken")).drop("start", "seat")
 
 
 def taken_sql(documents: str = "documents", seed: str = "mix") -> str:
