@@ -219,3 +219,51 @@ def test_thinning_keeps_one_component(spark):
     thin = array(morphology.binary_thinning(raster(spark, a, "uint8")))
     assert 0 < thin.sum() < 16 and (thin <= a).all()
     assert array(labels.connected_component(raster(spark, thin, "uint8"), True)).max() == 1
+
+
+def levels_of_area(a, area):
+    """For each voxel the highest level whose face-connected component of levels above holds ``area`` voxels."""
+    out = np.full(a.shape, a.min())
+    for t in np.unique(a):
+        left = {tuple(i) for i in np.argwhere(a >= t)}
+        while left:
+            todo = part = [left.pop()]
+            while todo:
+                near = {n for y, x in todo for n in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)) if n in left}
+                left -= near
+                todo = list(near)
+                part = part + todo
+            if len(part) >= area:
+                for i in part:
+                    out[i] = t
+    return out
+
+
+def test_area_opening_meets_levels(spark):
+    a = rng.integers(0, 4, (5, 6)).astype(float)
+    assert np.array_equal(array(morphology.area_opening(raster(spark, a), 3)), levels_of_area(a, 3))
+    assert np.array_equal(array(morphology.area_closing(raster(spark, a, "uint8"), 3)), -levels_of_area(-a, 3))
+
+
+def test_smooth_and_local_metrics(spark):
+    a, b = rng.random((7, 8)), rng.random((7, 8))
+    f, m, still = raster(spark, a), raster(spark, b), resample.identity(2)
+    bins = 12
+    place = lambda v: (v - v.min()) / ((v.max() - v.min()) / (bins - 4)) + 2
+    i, at = np.clip(np.floor(place(a)), 2, bins - 3).astype(int), place(b)
+    d = np.abs(at[..., None] - np.arange(bins))
+    w = np.where(d < 1, (4 - 6 * d**2 + 3 * d**3) / 6, np.where(d < 2, (2 - d) ** 3 / 6, 0))
+    p = np.zeros((bins, bins))
+    np.add.at(p, i.ravel(), w.reshape(-1, bins))
+    p /= p.sum()
+    terms = p * np.log(np.where(p > 0, p, 1) / np.where(p > 0, p.sum(1, keepdims=True) * p.sum(0), 1))
+    got = registration.mattes(f, m, still, bins).first()
+    assert got.value == pytest.approx(-terms.sum(), abs=1e-9) and got.points == a.size
+    local = []
+    for y in range(7):
+        for x in range(8):
+            box = np.s_[max(y - 1, 0) : y + 2, max(x - 2, 0) : x + 3]
+            local.append(np.corrcoef(a[box].ravel(), b[box].ravel())[0, 1] ** 2)
+    got = registration.neighborhood_correlation(f, m, still, (2, 1)).first()
+    assert got.value == pytest.approx(-np.mean(local), abs=1e-9) and got.points == a.size
+    assert registration.neighborhood_correlation(f, raster(spark, 2 * a + 3), still, (1, 1)).first().value == pytest.approx(-1)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..graph import connected_components
 from ..raster import AXES, PIXELS, Raster, grid
 from ..staging import staged
+from .pixelwise import label_overlay, label_to_rgb
 
 
 def _number(rows: DataFrame, r: Raster, by: str) -> DataFrame:
@@ -235,6 +236,23 @@ def relabel_label_map(runs: DataFrame, background: int = 0) -> DataFrame:
     return runs.join(new, ["image_id", "label"]).withColumn("label", F.col("new")).drop("k", "new")
 
 
+def label_map_to_rgb(runs: DataFrame, like: Raster, palette: list[tuple[int, int, int]]) -> Raster:
+    """The palette's colour of each object, black elsewhere."""
+    return label_to_rgb(from_label_map(runs, like), palette)
+
+
+def label_map_overlay(runs: DataFrame, feature: Raster, palette: list[tuple[int, int, int]], opacity: float = 0.5) -> Raster:
+    """Objects blended over the feature."""
+    return label_overlay(feature, from_label_map(runs, feature), palette, opacity)
+
+
+def label_map_contour_overlay(runs: DataFrame, feature: Raster, palette: list[tuple[int, int, int]], opacity: float = 0.5, fully_connected: bool = False) -> Raster:
+    """Only the objects' contours blended over the feature."""
+    from .morphology import label_contour
+
+    return label_overlay(feature, label_contour(from_label_map(runs, feature), fully_connected), palette, opacity)
+
+
 def label_map_mask(runs: DataFrame, feature: Raster, label: int, negated: bool = False, background: float = 0) -> Raster:
     """The feature inside one object (``negated``: outside it)."""
     inside = from_label_map(runs.where(F.col("label") == label), feature)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -264,6 +265,35 @@ def connected_opening(r: Raster, seed: Sequence[int], closing: bool = False) ->
     return reconstruction(marker, r, "erosion" if closing else "dilation")
 
 
+def area_opening(r: Raster, area: float, use_spacing: bool = True, fully_connected: bool = False, closing: bool = False) -> Raster:
+    """Peaks (``closing``: pits) smaller than ``area`` are levelled until they are as large.
+
+    A round levels every too small regional extremum to its nearest neighbouring value.  It
+    then holds at least one voxel more, so the rounds number at most the voxels of ``area``.
+    A zone that fills its image stays.
+    """
+    from .labels import _components
+
+    voxel = math.prod(r.geometry.spacing) if use_spacing else 1.0
+    shape = element("box" if fully_connected else "cross", [1] * r.dim)
+    value = F.col("v")
+    while True:
+        zones = _components(r, r.df, value == F.col("w"), fully_connected).select(*r.keys, "v", "root")
+        box = taps(r, [1] * r.dim, "null").df.select(*r.keys, _pick(value, shape).alias("near"))
+        rows = zones.join(box, r.keys)
+        ahead = F.exists("near", lambda x: x < value if closing else x > value)
+        beside = F.filter("near", lambda x: x > value if closing else x < value)
+        zone = rows.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.coalesce(ahead, F.lit(False))).alias("slope"), (F.min(F.array_min(beside)) if closing else F.max(F.array_max(beside))).alias("to"))
+        small = staged(zone.where(~F.col("slope") & (F.col("n") * voxel < area) & F.col("to").isNotNull()).select("root", "to"))
+        if small.isEmpty():
+            return r
+        r = r.with_rows(staged(rows.join(small, "root", "left").select(*r.keys, F.coalesce("to", "v").alias("v"))))
+
+
+def area_closing(r: Raster, area: float, use_spacing: bool = True, fully_connected: bool = False) -> Raster:
+    return area_opening(r, area, use_spacing, fully_connected, closing=True)
+
+
 def simple_contour_extractor(r: Raster, radius: Sequence[int], foreground: int = 1, background: int = 0) -> Raster:
     """Foreground voxels with background in their box (edge repeated)."""
     n = len(element("box", radius))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..raster import Raster
-from .resample import Affine, euler_2d, point_columns, resample, sample, translation
+from .resample import Affine, _cubic, euler_2d, point_columns, resample, sample, translation
 from .window import gradient
 
 TransformOf = Callable[[Sequence[float]], Affine]
@@ -51,7 +51,43 @@ def mutual_information(fixed: Raster, moving: Raster, transform: Affine, bins: i
     return rows.agg((-F.sum(p * F.log(F.col("count") * F.col("n") / (F.col("n_a") * F.col("n_b"))))).alias("value"), F.max("n").alias("points"))
 
 
-METRICS = {"mean_squares": mean_squares, "correlation": correlation, "mutual_information": mutual_information}
+def mattes(fixed: Raster, moving: Raster, transform: Affine, bins: int = 50) -> DataFrame:
+    """Negative mutual information of a smooth joint histogram: a pair counts in one bin of the fixed
+    value and, by a cubic spline, in four of the moving value; two bins at each end are spare."""
+    limits = lambda r: r.df.agg(F.min("v").cast("double"), F.max("v").cast("double")).first()
+    (flo, fhi), (mlo, mhi) = limits(fixed), limits(moving)
+    place = lambda c, lo, hi: (c - lo) / (max(hi - lo, 1e-12) / (bins - 4)) + 2
+    held = lambda c: F.greatest(F.least(F.floor(c), F.lit(bins - 3)), F.lit(2))
+    near = _pairs(fixed, moving, transform).select(held(place(F.col("f").cast("double"), flo, fhi)).alias("a"), place(F.col("s"), mlo, mhi).alias("at"))
+    near = near.withColumn("b", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1, 2))), lambda k: k + held(F.col("at")))))
+    joint = near.groupBy("a", "b").agg(F.sum(_cubic(F.col("at") - F.col("b"))).alias("w"), F.count(F.lit(1)).alias("c"))  # at most bins * bins rows
+    side = lambda c: joint.groupBy(c).agg(F.sum("w").alias(f"w_{c}"))
+    rows = joint.join(side("a"), "a").join(side("b"), "b").join(F.broadcast(joint.agg(F.sum("w").alias("n"))))  # one row
+    p = F.col("w") / F.col("n")
+    term = F.when(F.col("w") > 0, p * F.log(F.col("w") * F.col("n") / (F.col("w_a") * F.col("w_b")))).otherwise(0.0)
+    return rows.agg((-F.sum(term)).alias("value"), (F.sum("c") / 4).cast("long").alias("points"))
+
+
+def neighborhood_correlation(fixed: Raster, moving: Raster, transform: Affine, radius: Sequence[int]) -> DataFrame:
+    """Negative mean, over valid points, of the squared correlation within boxes (1 in a flat box).
+
+    The box sums are running frames along each axis, over all six moments at once.
+    """
+    found = _pairs(fixed, moving, transform).select(*fixed.keys, "s")
+    f, s = F.col("v").cast("double"), F.col("s")
+    moments = {"n": F.lit(1.0), "f": f, "m": s, "ff": f * f, "mm": s * s, "fm": f * s}
+    rows = fixed.df.join(found, fixed.keys, "left").select(*fixed.keys, s.isNotNull().alias("valid"), *[F.when(s.isNotNull(), c).otherwise(0.0).alias(k) for k, c in moments.items()])
+    for a, k in zip(fixed.axes, radius):
+        box = fixed.line(a).rowsBetween(-k, k)
+        rows = rows.select(*fixed.keys, "valid", *[F.sum(c).over(box).alias(c) for c in moments])
+    n = F.col("n")
+    part = lambda both, x, y: F.col(both) - F.col(x) * F.col(y) / n
+    spread = part("ff", "f", "f") * part("mm", "m", "m")
+    local = F.when(F.abs(spread) > 2**-52, F.pow(part("fm", "f", "m"), 2) / F.nullif(spread, F.lit(0.0))).otherwise(1.0)
+    return rows.where("valid").agg((-F.avg(local)).alias("value"), F.count(F.lit(1)).alias("points"))
+
+
+METRICS = {"mean_squares": mean_squares, "correlation": correlation, "mutual_information": mutual_information, "mattes": mattes}
 
 
 def exhaustive(fixed: Raster, moving: Raster, transform_of: TransformOf, grid: Sequence[Sequence[float]], metric: str = "mean_squares") -> tuple[tuple[float, ...], float]:

@@ -207,4 +207,11 @@ near("grayscale_connected_closing", lambda r: mo.connected_opening(r, (4, 5), cl
 near("simple_contour_extractor", lambda r: mo.simple_contour_extractor(r, (1, 1)), over_box("CASE WHEN any_value(v) = 1 AND min(n) = 0 THEN 1 ELSE 0 END", 1, 1, "clamp", HIGH), high)
 near("binary_thinning", mo.binary_thinning, None, high)
 near("scalar_to_rgb_colormap", lambda r: px.component(px.scalar_to_rgb(r, "hot"), 0), cells_sql("floor(least(greatest((v - lo) / CAST(hi - lo AS DOUBLE) * 63 / 26 - 1 / 13.0::DOUBLE, 0), 1) * 255 + 0.5)", "(SELECT q.*, (SELECT min(v) FROM q) AS lo, (SELECT max(v) FROM q) AS hi FROM q)"))
-table("label_overlay", lambda s, d: cells(px.component(px.label_overlay(quantity(s, d).map(lambda v: v % 256), shades(s, d), [(255, 0, 0), (0, 205, 0), (0, 0, 255)]), 1)), cells_sql("CASE v % 4 WHEN 0 THEN v % 256 WHEN 1 THEN floor(205 * 0.5 + (v % 256) * 0.5) ELSE floor((v % 256) * 0.5) END"))
+PALETTE = [(255, 0, 0), (0, 205, 0), (0, 0, 255)]
+table("label_overlay", lambda s, d: cells(px.component(px.label_overlay(quantity(s, d).map(lambda v: v % 256), shades(s, d), PALETTE), 1)), cells_sql("CASE v % 4 WHEN 0 THEN v % 256 WHEN 1 THEN floor(205 * 0.5 + (v % 256) * 0.5) ELSE floor((v % 256) * 0.5) END"))
+table("label_map_to_rgb", lambda s, d: cells(px.component(lab.label_map_to_rgb(lab.to_label_map(shades(s, d)), quantity(s, d), PALETTE), 1)), cells_sql("CASE v % 4 WHEN 1 THEN 205 ELSE 0 END"))
+table("label_map_overlay", lambda s, d: cells(px.component(lab.label_map_overlay(lab.to_label_map(shades(s, d)), quantity(s, d).map(lambda v: v % 256), PALETTE), 1)), QUERIES["label_overlay"][1])
+table("label_map_contour_overlay", lambda s, d: cells(px.component(lab.label_map_contour_overlay(lab.to_label_map(shades(s, d)), quantity(s, d).map(lambda v: v % 256), PALETTE), 1)), over_box(
+    "CASE WHEN any_value(v) % 4 <> 0 AND bool_or(n % 4 <> v % 4) THEN floor(CASE any_value(v) % 4 WHEN 1 THEN 102.5 ELSE 0 END + (any_value(v) % 256) * 0.5) ELSE any_value(v) % 256 END", 1, 1, "crop", where="WHERE dx = 0 OR dy = 0"))
+near("area_opening", lambda r: mo.area_opening(r, 3), None)
+near("area_closing", lambda r: mo.area_closing(r, 3), None)

@@ -14,7 +14,7 @@ from ..operators.pixelwise import component
 from ..raster import Geometry
 from ..sources import generators as gen
 from ..sources import images
-from .basic import CELLS, LIMITS, cells, cells_sql, moved, quantity, real
+from .basic import CELLS, LIMITS, cells, cells_sql, moved, quantity, real, rows
 
 QUERIES: dict = {}
 
@@ -48,7 +48,10 @@ table("metric_mean_squares", lambda s, d: reg.mean_squares(real(s, d), real(s, d
       CELLS + " SELECT round(avg(pow(a.v - b.v, 2)), 4) AS value, count(*) AS points FROM q a JOIN q b ON b.x = a.x + 1 AND b.y = a.y")
 table("metric_correlation", lambda s, d: reg.correlation(real(s, d), real(s, d), rs.translation((0, 1))).select(F.round("value", 6).alias("value"), "points"),
       CELLS + " SELECT round(-pow(corr(a.v, b.v), 2), 6) AS value, count(*) AS points FROM q a JOIN q b ON b.x = a.x AND b.y = a.y + 1")
-table("metric_mutual_information", lambda s, d: reg.mutual_information(real(s, d), real(s, d), rs.translation((0, 0)), 16).select(F.round("value", 6).alias("value"), "points"), None)
+table("metric_mattes", lambda s, d: reg.mattes(real(s, d), rows(s, d, "float64"), rs.translation((0, 0)), 20).select(F.round("value", 6).alias("value"), "points"), None)
+table("metric_neighborhood_correlation", lambda s, d: reg.neighborhood_correlation(real(s, d), rows(s, d, "float64"), rs.translation((0, 0)), (1, 1)).select(F.round("value", 6).alias("value"), "points"),
+      CELLS + ", b AS (SELECT a.x, a.y, corr(n.v, n.c) AS r FROM q a JOIN q n ON abs(n.x - a.x) <= 1 AND abs(n.y - a.y) <= 1 GROUP BY a.x, a.y) SELECT round(-avg(r * r), 6) AS value, count(*) AS points FROM b")
+table("metric_mutual_information",lambda s, d: reg.mutual_information(real(s, d), real(s, d), rs.translation((0, 0)), 16).select(F.round("value", 6).alias("value"), "points"), None)
 
 
 def best_shift(spark, sf_dir):
