@@ -245,6 +245,11 @@ def test_simhash_groups(docs, corpus, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("text", ["a\x00b c d e f g", "\x00 one two three four five", "x " * 9 + "\x00\x00 y\x00 the end of it", "é\x00 " * 7 + "Z"])
+def test_simhash_words_may_hold_nul(text):
+    assert simhash.fingerprint(text) == brute_fingerprint(text)
+
+
 @pytest.mark.parametrize("buckets, per_set, at_a_time", [(256, 1 << 25, 1 << 22), (4, 8, 1 << 22), (2, 1 << 25, 64)])
 def test_simhash_ball_hashing_finds_every_link(spark, monkeypatch, buckets, per_set, at_a_time):
     monkeypatch.setattr(simhash, "VARIANTS_AT_A_TIME", at_a_time)

@@ -43,7 +43,7 @@ def fingerprint(text: str, n: int = SHINGLE_WORDS) -> int:
         return 0
     if len(words) <= n:
         return xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"), SEED)
-    data = "\x00".join(words).replace("\x00", " ").encode("utf-8", "surrogatepass")
+    data = " ".join(words).encode("utf-8", "surrogatepass")
     ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
     starts = np.concatenate(([0], ends + 1))[: len(words) - n + 1].tolist()
     stops = np.concatenate((ends, [len(data)]))[n - 1 :].tolist()
