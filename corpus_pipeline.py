@@ -23,12 +23,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id stays of each SimHash component; of repeated rows, one."""
-    groups = simhash.near_duplicates(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select(COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return rows.dropDuplicates(["doc_id"]) if repeated else rows
+    """One row stays of each SimHash component: of smallest id (null last), then of least digest
+    of its columns.  Rows equal in all columns are one row."""
+    digest = F.unhex(F.sha2(F.concat_ws(",", *[F.coalesce(F.sha2(F.col(c).cast("string"), 256), F.lit("-")) for c in COLUMNS]), 256))
+    groups = staged(simhash.near_duplicates(docs, {"digest": digest}).select("doc_id", "digest", "root"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest"))
+    kept = groups.groupBy("root").agg(first.alias("first")).select("first.digest")
+    rows = docs.select(*COLUMNS, digest.alias("digest"))
+    if not groups.groupBy("digest").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["digest"])
+    return rows.join(kept, "digest", "left_semi").select(COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,3 +57,19 @@ def test_odd_rows_pass_every_stage(spark):
         docs = stage(spark, docs, SF)
     assert docs.columns == corpus_pipeline.COLUMNS
     assert 1 <= corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() <= 4
+
+
+def test_near_duplicates_keep_one_row_of_each_group(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcdef"}
+    apart = [(None, text["a"]), (None, text["b"]), (1, text["c"]), (1, text["d"]), (2, text["e"])]
+    gone = [(None, text["e"]), (3, text["d"]), (None, text["b"].upper())]
+    again = [(1, text["c"]), (None, text["a"]), (None, text["a"])]
+    rows = [(i, t, "en", None, 0) for i, t in [*gone, *apart, *again, (None, None), (5, ""), (4, None)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for part in (docs, docs.repartition(5)):
+        out = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, part.select("*"), SF).collect()]
+        b = [r for r in out if r in ((None, text["b"]), (None, text["b"].upper()))]
+        assert len(b) == 1
+        assert sorted(map(str, set(out) - set(b))) == sorted(map(str, [*(r for r in apart if r[1] != text["b"]), (4, None)])) and len(out) == 6
+    one = docs.where("doc_id is null and text is not null")
+    assert corpus_pipeline.drop_near_duplicates(spark, one, SF).count() == 3

@@ -59,12 +59,16 @@ def fingerprint(text: str, n: int = SHINGLE_WORDS) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         fps = np.array([fingerprint(t) for t in texts(b)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+        rest = [n for n in b.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in rest), pa.array(fps)], names=[*rest, "fp"])
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
-    """``doc_id``, ``fp`` (the 64 bits as a signed long) of every row; null text as empty, fp 0."""
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(documents: DataFrame, columns: dict[str, Column] | None = None) -> DataFrame:
+    """``doc_id``, ``columns`` by name, ``fp`` (the 64 bits as a signed long) of every row; null
+    text as empty, fp 0."""
+    rest = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(n) for n, c in (columns or {}).items()], F.col("text"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest.schema if f.name != "text")
+    return rest.mapInArrow(_fingerprints, f"{kinds}, fp long")
 
 
 def fingerprint_hex(fp: Column) -> Column:
@@ -200,20 +204,21 @@ def _deal(bits: int):
     return deal
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """``doc_id``, ``fp``, ``component_id`` for every row of ``documents``.
+def near_duplicates(documents: DataFrame, columns: dict[str, Column] | None = None) -> DataFrame:
+    """``doc_id``, ``columns`` by name, ``fp``, ``root``, ``component_id`` for every row of ``documents``.
 
-    component_id is the smallest doc_id reachable over links of RADIUS or fewer differing
+    root is the smallest fingerprint of the row's component, and tells components apart
+    whatever their ids; component_id is the smallest doc_id reachable over links of RADIUS or fewer differing
     bits.  Null and empty texts have fingerprint 0 and link like any other; repeated rows
     are kept; rows with a null doc_id are kept, take part in links, and lend their component
     no id (a component of such rows only has a null id).  Other columns are ignored.  An
     empty table gives an empty result.
     """
-    fps = staged(fingerprints(documents))
+    fps = staged(fingerprints(documents, columns))
     lowest = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
     distinct = staged(lowest)
     comps = connected_components(fingerprint_links(distinct.select("fp")))
     grouped = distinct.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_fp = grouped.join(ids, "root").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_fp = grouped.join(ids, "root").select("fp", "root", "component_id")
+    return fps.join(of_fp, "fp").select("doc_id", *(columns or {}), "fp", "root", "component_id")
