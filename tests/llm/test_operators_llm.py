@@ -286,6 +286,16 @@ def test_licenses_base_and_fuzzy(spark, docs, empty):
     assert licenses.scan_licenses(docs).count() == docs.count() and licenses.scan_licenses(empty).count() == 0
 
 
+def test_licenses_adjacent_and_repeated_notices():
+    gpl, bsd = "licensed under the gnu general public license version", "redistribution and use in source and binary forms"
+    scan = lambda text: [(f["label"], f["edits"], f["first"], f["last"]) for f in licenses.Scanner().scan(text.split())[1]]
+    assert sorted(scan(f"{gpl} 3 {gpl} 2")) == [("gpl-2.0", 0, 9, 17), ("gpl-3.0", 0, 0, 8)]
+    assert sorted(scan(f"{gpl} 2 {gpl} 3 {gpl} 2")) == [("gpl-2.0", 0, 0, 8), ("gpl-2.0", 0, 18, 26), ("gpl-3.0", 0, 9, 17)]
+    assert scan(" ".join([bsd] * 7)) == [("bsd", 0, 8 * i, 8 * i + 7) for i in range(7)]
+    assert scan(f"{bsd[:-3]} {bsd} x{bsd[2:]} {bsd}") == [("bsd", e, 8 * i, 8 * i + 7) for i, e in enumerate((3, 0, 2, 0))]
+    assert len(scan(" ".join([bsd, bsd.replace("source", "sourse")] * 400))) == 800
+
+
 def test_decontamination_meets_sql(spark, docs, corpus, empty):
     long = corpus[0][1].split()
     items = [(1, " ".join(long[30:60])), (2, "One"), (3, corpus[2][1].upper()), (10, None), (4, ""), (None, "x"), (11, " ".join(long[5:17]))]

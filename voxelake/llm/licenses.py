@@ -9,7 +9,10 @@ k errors in the stretch that can hold it, and reports the edits and the span.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from heapq import heappop, heappush
+from itertools import count
 
 import ahocorasick
 import numpy as np
@@ -51,12 +54,13 @@ class Scanner:
         seeds: dict[str, list] = {}
         for phrase in base:
             seeds.setdefault(f" {phrase} ", []).append((-1, phrase, 0))
-        self.patterns = []
+        self.patterns, self.errors = [], []
         for k, (notice, _) in enumerate(self.notices):
             errors = min(MOST_ERRORS, len(notice) // CHARS_PER_ERROR)
             cuts = [round(i * len(notice) / (errors + 1)) for i in range(errors + 2)]
             for a, z in zip(cuts, cuts[1:]):
                 seeds.setdefault(notice[a:z], []).append((k, errors, a))
+            self.errors.append(errors)
             self.patterns.append(regex.compile(rf"(?b)(?:{regex.escape(notice, literal_spaces=True)}){{e<={errors}}}"))
         for seed, owners in seeds.items():
             self.trie.add_word(seed, (len(seed), owners))
@@ -80,20 +84,40 @@ class Scanner:
                     wanted.setdefault(k, []).append((max(0, at - offset - x), at - offset + size + x))
         for k, windows in sorted(wanted.items()):
             notice, label = self.notices[k]
-            seen, last = set(), -1
-            for a, z in sorted(set(windows)):
-                if a < last:
-                    continue  # inside what was just found
-                m = self.patterns[k].search(line, a, z)
-                if m and m.span() not in seen:
-                    seen.add(m.span())
-                    last = m.end() - 1
-                    if starts is None:
-                        starts = _word_starts(line)
-                    first, stop = (int(np.searchsorted(starts, i, side="right")) - 1 for i in (m.start() + (line[m.start()] == " "), max(m.start(), m.end() - 1)))
-                    found.append({"label": label, "edits": sum(m.fuzzy_counts), "length": len(notice), "first": first, "last": stop})
+            for m in self._apart(k, line, windows):
+                if starts is None:
+                    starts = _word_starts(line)
+                first, stop = (int(np.searchsorted(starts, i, side="right")) - 1 for i in (m.start() + (line[m.start()] == " "), max(m.start(), m.end() - 1)))
+                found.append({"label": label, "edits": sum(m.fuzzy_counts), "length": len(notice), "first": first, "last": stop})
+        by_first = sorted(found, key=lambda f: f["first"])
+        firsts, widest = [f["first"] for f in by_first], max((f["last"] - f["first"] for f in found), default=0)
+        near = lambda f: by_first[bisect_left(firsts, f["first"] - widest) : bisect_right(firsts, f["last"])]
         better = lambda f, g: g["edits"] < f["edits"] and g["first"] <= f["last"] and f["first"] <= g["last"]
-        return sorted(base), [f for f in found if not any(better(f, g) for g in found)]
+        return sorted(base), [f for f in found if not any(better(f, g) for g in near(f))]
+
+    def _apart(self, k: int, line: str, windows: list[tuple[int, int]]) -> list[regex.Match]:
+        """Matches of notice ``k`` in the windows, in order, none overlapping: fewest edits go
+        first, and a match that runs into one is sought again in what is left of its window."""
+        shortest = len(self.notices[k][0]) - self.errors[k]
+        wait, starts, found, nr = [], [], [], count()
+        more = set(windows)
+        while more or wait:
+            for a, z in sorted(more):
+                m = self.patterns[k].search(line, a, z) if min(z, len(line)) - a >= shortest else None
+                if m:
+                    heappush(wait, (sum(m.fuzzy_counts), m.start(), m.end(), next(nr), a, z, m))
+            more = set()
+            if wait:
+                *_, a, z, m = heappop(wait)
+                i = bisect_right(starts, m.start())
+                if i and found[i - 1].end() > m.start():
+                    more = {(a, found[i - 1].start()), (found[i - 1].end(), z)}
+                elif i < len(starts) and starts[i] < m.end():
+                    more = {(a, starts[i]), (found[i].end(), z)}
+                else:
+                    starts.insert(i, m.start())
+                    found.insert(i, m)
+        return found
 
 
 def _word_starts(line: str) -> np.ndarray:
