@@ -78,6 +78,13 @@ def test_mix_keeps_repeated_rows(spark):
     assert len(got) == len(rows)
 
 
+def test_mix_repeats_more_than_twice(docs):
+    got = mixing.taken(mixing.mix(docs, block_words=16, share=3.0, max_repeat=3.5)).toPandas()
+    per = got.groupby("source", dropna=False).agg(taken=("taken", "sum"), target=("target", "first"))
+    assert ((per.target - per.taken).abs() < 1).all()
+    assert (got.taken <= 4 * got["size"]).all() and (got.taken > 3 * got["size"]).any()
+
+
 @pytest.mark.parametrize("share", [0.3, 1.0, 1.9])
 def test_targets_share_and_stop(docs, share):
     sizes = docs.select("source", mixing.word_count(F.col("text")).alias("size"))

@@ -152,7 +152,8 @@ def mix(documents: DataFrame, seed: str = "mix", block_words: int = BLOCK_WORDS,
     keyed = sizes.join(side.withColumnRenamed("source", "its_source"), F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source", "weight").withColumn("h", h)
     placed = stream_offsets(keyed, _levels(rows)).drop("h")
     limit = F.floor("target")
-    again = F.when((F.col("size") > 0) & (limit > F.col("start") + F.col("source_size")), F.array(F.lit(0), F.lit(1))).when((F.col("size") > 0) & (limit > F.col("start")), F.array(F.lit(0))).otherwise(F.array(F.lit(None).cast("int")))
+    last_turn = F.floor((limit - F.col("start") - 1) / F.greatest("source_size", F.lit(1))).cast("int")
+    again = F.when((F.col("size") > 0) & (limit > F.col("start")), F.sequence(F.lit(0), last_turn)).otherwise(F.array(F.lit(None).cast("int")))
     passes = placed.withColumn("turn", F.explode(again)).withColumn("lo", F.col("start") + F.col("turn") * F.col("source_size")).withColumn("hi", F.least(F.col("lo") + F.col("size"), limit))
     block = F.when(F.col("turn").isNotNull(), F.sequence(F.floor(F.col("lo") / block_words), F.floor((F.col("hi") - 1) / block_words)))
     pieces = passes.withColumn("rank", F.explode(F.coalesce(block, F.array(-1 - F.col("start")))))  # unreached rows spread over ranks that no slot has
