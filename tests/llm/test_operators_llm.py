@@ -316,3 +316,12 @@ def test_decontamination_meets_sql(spark, docs, corpus, empty):
     assert not decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count() and decontaminate.contamination(empty, bench).count() == 0
     row = decontaminate.contamination(docs, bench).where("doc_id = 0").first()
     assert corpus[0][1][row.spans[0].start : row.spans[0].stop].split()[0] == long[row.hits[0]]
+
+
+@pytest.mark.parametrize("block_chars", [decontaminate.BLOCK_CHARS, 100])
+def test_decontamination_by_items_without_id(spark, docs, corpus, block_chars):
+    long = corpus[0][1].split()
+    items = [(None, " ".join(long[30:60])), (None, "One"), (1, " ".join(long[50:70])), (None, None)]
+    got = decontaminate.digest(decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string"), block_chars=block_chars)).toPandas()
+    same(got, from_sql(decontaminate.contamination_sql(), documents=frame(corpus), benchmark=pd.DataFrame(items, columns=["item_id", "text"]).astype({"item_id": "Int64"})))
+    assert (got.contaminated & (got.n_items == 0)).any()

@@ -35,15 +35,18 @@ def windows(text: str, n: int = WINDOW) -> list[str]:
 
 
 class Automaton:
-    """All windows of some benchmark items; ``items`` are (id as text, text) pairs."""
+    """All windows of some benchmark items; ``items`` are (id as text, text) pairs; items
+    of null id are hit but never named."""
 
-    def __init__(self, items: list[tuple[str, str]], n: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str]], n: int = WINDOW):
         by_window: dict[str, list[int]] = {}
-        self.ids = sorted({i for i, _ in items})
+        self.ids = sorted({i for i, _ in items if i is not None})
         number = {i: k for k, i in enumerate(self.ids)}
         for item, text in items:
             for w in windows(text, n):
-                by_window.setdefault(w, []).append(number[item])
+                owners = by_window.setdefault(w, [])
+                if item is not None:
+                    owners.append(number[item])
         self.trie = ahocorasick.Automaton()
         for w, owners in by_window.items():
             self.trie.add_word(f" {w} ", (len(w) + 1, w.count(" ") + 1, tuple(set(owners))))
@@ -81,10 +84,10 @@ def character_spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[str, str]]]:
+def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[str | None, str]]]:
     """The benchmark's items in blocks of bounded size, streamed through the driver one at a time."""
     block, size = [], 0
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null and item is not null").orderBy("item", "text")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null").orderBy("item", "text")
     for r in items.toLocalIterator():
         if block and size + len(r.text) > block_chars:
             yield block
@@ -110,9 +113,9 @@ def _scan(items, n: int):
                 hit[old_hits] = True
                 names = sorted({*old_items, *(automaton.ids[k] for k in numbers)})
                 n_words.append(len(words))
-                hits.append(np.flatnonzero(hit).astype(np.int32) if names else [])
+                hits.append(np.flatnonzero(hit).astype(np.int32))
                 found.append(names)
-                spans.append([{"start": a, "stop": z} for a, z in character_spans(text, hit)] if names else [])
+                spans.append([{"start": a, "stop": z} for a, z in character_spans(text, hit)] if hit.any() else [])
             cols = [pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string())), pa.array(spans, kind)]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("text"), *cols], names=["row", "text", "n_words", "hits", "items", "spans"])
 
@@ -125,7 +128,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, columns: list[str]
     ``n_hit``, ``contaminated``.
 
     Contaminated: at least one word and at least a twentieth of the words are hit.  Null and
-    empty texts have no words and are clean; null items or item ids are ignored; an empty
+    empty texts have no words and are clean; null items are ignored; an
+    item of null id counts in hits but has no place in items; an empty
     benchmark hits nothing; repeated rows give repeated rows; other columns are ignored.  A
     benchmark above ``block_chars`` is scanned in blocks, one pass over the documents and
     one automaton of bounded size for each, and a document's hits are united.
