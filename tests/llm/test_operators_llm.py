@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 import pandas as pd
@@ -132,6 +133,38 @@ def test_every_prefix_has_its_count(text):
         assert counts.longest(budget) == max(k for k, n in enumerate(want) if n <= budget)
 
 
+def test_prefixes_of_random_texts_have_their_counts():
+    from tokenizers import Tokenizer
+
+    lib, v = Tokenizer.from_file(TOKENIZER), token_counts.vocabulary(TOKENIZER)
+    parts = ["a", "b", "the", "  ", " ", "\n", "\t", "'s", "'re", "'", "é", "漢", "🙂", "<|endoftext|>", "1", "23", "!", "??", "\x1c", "\x85", "Z", "don't"]
+    own = random.Random(1)
+    for _ in range(60):
+        text = "".join(own.choice(parts) for _ in range(own.randint(1, 25)))
+        counts = token_counts.PrefixCounts(v, text)
+        want = [len(lib.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+        assert [counts.at(k) for k in range(len(text) + 1)] == want
+        for budget in range(max(want) + 1):
+            assert counts.longest(budget) == max(k for k, n in enumerate(want) if n <= budget), (text, budget)
+
+
+@pytest.mark.parametrize("unit", [" ", "x", "é", "'", " \n", " x", "漢"])
+def test_token_counts_of_long_runs_are_linear(unit):
+    from tokenizers import Tokenizer
+
+    lib, v = Tokenizer.from_file(TOKENIZER), token_counts.vocabulary(TOKENIZER)
+    text, began = unit * (300_000 // len(unit)) + "a", time.perf_counter()
+    k = token_counts.PrefixCounts(v, text).longest(1024)
+    assert time.perf_counter() - began < 20 and v.stored_bytes <= token_counts.STORED_BYTES
+    tokens = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    assert tokens(text[:k]) <= 1024 < tokens(text[: k + 1])
+
+
+def test_token_counts_of_repeated_and_null_rows(spark):
+    got = token_counts.token_counts(spark.createDataFrame([(None, "a b"), (None, "a b"), (1, None), (1, "")], "doc_id long, text string"), TOKENIZER)
+    assert sorted((r.doc_id is None, r.n_bytes, r.n_tokens, r.over_limit) for r in got.collect()) == [(False, 0, 0, False)] * 2 + [(True, 3, 2, False)] * 2
+
+
 def test_substring_dedup_meets_sql(docs, corpus, empty):
     got = substring.digest(substring.remove_repeats(docs)).toPandas()
     same(got, from_sql(substring.repeats_sql(), documents=frame(corpus)))

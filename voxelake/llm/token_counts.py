@@ -13,8 +13,9 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -25,8 +26,11 @@ from pyspark.sql import functions as F
 from .common import slices, texts
 
 LIMIT = 1024
-#: Pre-tokens whose prefix counts a worker keeps.
-STORED = 600_000
+#: Bytes of prefix counts that a worker keeps, with what an entry costs beside its text and
+#: counts; pre-tokens longer than LONG bytes are counted where they stand and not kept.
+STORED_BYTES = 160 << 20
+ENTRY_BYTES = 200
+LONG = 1024
 
 # Fixed value: the pre-tokenization pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -36,6 +40,10 @@ _pieces_any = regex.compile(PATTERN).findall
 _latin = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ɏ]*").fullmatch
 _pieces_latin = re.compile(r" ?[^\t\n\r !-@\[-`{-~]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[!-/:-@\[-`{-~]+|\s+(?!\S)|\s+").findall
 
+# The pattern's first alternatives: cut short, they are a sign and letters.
+CONTRACTIONS = {"'s", "'t", "'re", "'ve", "'m", "'ll", "'d"}
+_white = regex.compile(r"\s+").fullmatch
+
 
 def pieces(text: str) -> list[str]:
     """The pre-tokens of a text, in order; together they are the text."""
@@ -73,6 +81,7 @@ class Vocabulary:
         self.split_added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))).split if self.added else lambda t: [t]
         self.fits: dict[tuple[bytes, bytes], bool] = {}
         self.stored: dict[str, bytes | array] = {}
+        self.stored_bytes = 0
 
     def encode(self, data: bytes) -> list[bytes]:
         """Merge by rank, the plain way (for short pieces)."""
@@ -131,12 +140,17 @@ class Vocabulary:
         return bytes(count) if len(data) < 256 else array("I", count)
 
     def counts(self, piece: str) -> bytes | array:
-        """Stored prefix counts of a pre-token, by bytes."""
+        """Prefix counts of a pre-token, by bytes; those of short ones are stored."""
         got = self.stored.get(piece)
         if got is None:
-            if len(self.stored) >= STORED:
-                self.stored.clear()
-            self.stored[piece] = got = self.prefix_counts(piece.encode("utf-8", "surrogatepass"))
+            got = self.prefix_counts(piece.encode("utf-8", "surrogatepass"))
+            if len(got) <= LONG:
+                cost = ENTRY_BYTES + 2 * len(got)
+                if self.stored_bytes + cost > STORED_BYTES:
+                    self.stored.clear()
+                    self.stored_bytes = 0
+                self.stored[piece] = got
+                self.stored_bytes += cost
         return got
 
     def count(self, text: str) -> int:
@@ -159,19 +173,43 @@ class PrefixCounts:
         added = re.findall("|".join(map(re.escape, sorted(vocabulary.added, key=len, reverse=True))), text) if vocabulary.added else []
         for k, part in enumerate(vocabulary.split_added(text)):
             if k:
-                self._add(at, total, None, at)
+                self._add(at, total, None, len(self.start))
                 at, total = at + len(added[k - 1]), total + 1
-            begin = at
+            first = len(self.start)
             for piece in pieces(part):
-                self._add(at, total, piece, begin)
+                self._add(at, total, piece, first)
                 at, total = at + len(piece), total + vocabulary.counts(piece)[-1]
         self.total = total
+        self.run_at: tuple[int, int, str] = (-1, 0, "")
+        self.looked_at: tuple[str, bytes | array | list[int]] = ("", b"\0")
 
-    def _add(self, at: int, total: int, piece: str | None, part: int) -> None:
+    def _add(self, at: int, total: int, piece: str | None, first: int) -> None:
+        """A pre-token (None: an added token) and the first one of the stretch it belongs to."""
         self.start.append(at)
         self.before.append(total)
         self.piece.append(piece)
-        self.part.append(part)
+        self.part.append(first)
+
+    def _by_character(self, piece: str) -> bytes | array | list[int]:
+        """Prefix counts at every character of a pre-token; those looked at last are at hand."""
+        if self.looked_at[0] is not piece:
+            counts = self.v.counts(piece)
+            if not piece.isascii():
+                counts = [counts[0], *(counts[i] for i in accumulate(len(c.encode("utf-8", "surrogatepass")) for c in piece))]
+            self.looked_at = (piece, counts)
+        return self.looked_at[1]
+
+    def _run(self, j: int) -> tuple[int, str]:
+        """The whole run of white space that reaches into pre-token ``j``: its first pre-token, its
+        characters.  A run is at most two pre-tokens, as its last character may stand apart."""
+        if self.run_at[0] == j:
+            return self.run_at[1:]
+        first = j - 1 if j > self.part[j] and _white(self.piece[j - 1]) else j
+        run = "".join(self.piece[first:j]) + (self.piece[j] if _white(self.piece[j]) else self.piece[j][0])
+        if first == j and j + 1 < len(self.start) and self.part[j + 1] == self.part[j] and _white(self.piece[j]) and _white(self.piece[j + 1][0]):
+            run += self.piece[j + 1] if _white(self.piece[j + 1]) else self.piece[j + 1][0]
+        self.run_at = (j, first, run)
+        return first, run
 
     def at(self, k: int) -> int:
         """Tokens of ``text[:k]``."""
@@ -184,28 +222,30 @@ class PrefixCounts:
         if piece is None:  # inside an added token's string, which a cut makes ordinary text
             if k == (self.start[j + 1] if j + 1 < len(self.start) else len(self.text)):
                 return self.before[j] + 1
-            first = next((i for i in range(j) if self.part[i] == self.part[j - 1]), j) if j and self.piece[j - 1] is not None else j
+            first = self.part[j - 1] if j and self.piece[j - 1] is not None else j
             return self.before[first] + self.v.count(self.text[self.start[first] : k])
-        if self.text[k - 1].isspace():  # trailing white space is one pre-token
-            run = k
-            while run > self.part[j] and self.text[run - 1].isspace():
-                run -= 1
-            i = bisect_right(self.start, run) - 1
-            return self.before[i] + self.v.count(self.text[run:k])
-        cut = self.text[s:k]
-        if piece.startswith("'"):
-            return self.before[j] + self.v.count(cut)
-        return self.before[j] + self.v.counts(piece)[len(cut.encode("utf-8", "surrogatepass"))]
+        if _white(self.text[k - 1]):  # trailing white space is one pre-token
+            first, run = self._run(j)
+            return self.before[first] + self._by_character(run)[k - self.start[first]]
+        if piece in CONTRACTIONS:
+            return self.before[j] + self.v.count(self.text[s:k])
+        return self.before[j] + self._by_character(piece)[k - s]
 
     def longest(self, budget: int) -> int:
-        """Length of the longest prefix of at most ``budget`` tokens."""
+        """Length of the longest prefix of at most ``budget`` tokens.
+
+        Only the pre-token in which the budget is spent is searched, and the white space
+        and added token behind it, which may join it; every look-up there is into one array of counts.
+        """
         if self.total <= budget:
             return len(self.text)
-        k = len(self.text)
-        j = bisect_right(self.before, budget) - 1
-        k = min(k, self.start[j + 1] if j + 1 < len(self.start) else k)
-        while j + 1 < len(self.start) and self.text[k : k + 1].isspace():
-            k += 1  # white space may join the run before it
+        j = max(0, bisect_left(self.before, budget) - 1)
+        k = self.start[j + 1] if j + 1 < len(self.start) else len(self.text)
+        while k < len(self.text) and _white(self.text[k]):
+            k += 1
+        i = bisect_left(self.start, k)
+        if i < len(self.start) and self.piece[i] is None:  # cut short, it may take a blank before it
+            k = self.start[i + 1] - 1 if i + 1 < len(self.start) else len(self.text) - 1
         while k and self.at(k) > budget:
             k -= 1
         return k
