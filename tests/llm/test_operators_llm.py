@@ -4,8 +4,10 @@ import hashlib
 import random
 import re
 import time
+import zlib
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 import xxhash
@@ -221,6 +223,61 @@ def test_classifiers_on_held_out_rows(spark, empty, module, column, cut):
     assert module.scores(empty, none).count() == 0 and module.scores(d, none).count() == len(rows)
 
 
+def test_toxicity_learns_what_only_a_pair_tells(monkeypatch):
+    """Toxic if one of two terms stands in the text, but not both: no weight of one term tells."""
+    own, letters = random.Random(3), "abcdefghijklmnopqrstuvwxyz"
+    terms, texts, y = ["".join(own.choices(letters, k=6)) for _ in range(300)], [], []
+    for _ in range(4000):
+        a, b = own.random() < 0.5, own.random() < 0.5
+        texts.append(" ".join(own.sample(terms, 10) + ["insult"] * a + ["folk"] * b))
+        y.append(int(a != b))
+    owner, bucket, x = toxicity.features(texts[:3000])
+    right = lambda m: ((m.scores(texts[3000:]) > 0.5) == np.array(y[3000:])).mean()
+    model = toxicity.fit(owner, bucket, x, np.array(y[:3000]))
+    assert right(model) > 0.9
+    monkeypatch.setattr(toxicity, "LINEAR_PASSES", toxicity.PASSES)
+    assert right(toxicity.fit(owner, bucket, x, np.array(y[:3000]))) < 0.6
+    # The value of the machine is the sum over pairs, written out.
+    k, b, v = toxicity.features(texts[:4])
+    for i, score in enumerate(model.scores(texts[:4])):
+        xs = v[k == i].astype(float)
+        at = [int(np.flatnonzero(model.buckets == c)[0]) for c in b[k == i]]
+        scale = min(1.0, toxicity.PAIR_NORM / (xs**2).sum())
+        raw = model.bias + sum(model.w[p] * c for p, c in zip(at, xs))
+        raw += sum(model.v[at[p]] @ model.v[at[q]] * xs[p] * xs[q] * scale for p in range(len(at)) for q in range(p))
+        assert score == pytest.approx(1 / (1 + np.exp(-raw)))
+
+
+def test_quality_density_by_the_formula(spark):
+    """The score is the difference of two normal log-densities, computed by plain inverse and determinant."""
+    rows, marks = labelled()
+    model = quality.train(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    kept = [(r[1], m[1]) for r, m in zip(rows, marks) if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    x, y = quality.statistics([t for t, _ in kept]), np.array([q for _, q in kept])
+    centre, scale = x.mean(0), np.sqrt(np.maximum(x.var(0), 1e-6))
+    z = (x - centre) / scale
+    pooled = sum(np.cov(z[y == c].T, bias=True) * (y == c).mean() for c in (0, 1))
+    query = (quality.statistics([r[1] or "" for r in rows]) - centre) / scale
+    logs = []
+    for c in (0, 1):
+        s = 0.9 * np.cov(z[y == c].T, bias=True) + 0.1 * pooled
+        s = 0.95 * s + 0.05 * np.diag(np.diag(s)) + 0.01 * np.eye(len(s))
+        d = query - z[y == c].mean(0)
+        logs.append(-0.5 * (np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d) + np.log(np.linalg.det(s))))
+    want = 1 / (1 + np.exp(-np.clip((logs[1] - logs[0]) / np.sqrt(quality.FEATURES), -30, 30)))
+    assert model.scores(quality.statistics([r[1] or "" for r in rows])) == pytest.approx(want, abs=1e-6)
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_classifiers_take_repeated_null_and_very_long_rows(spark, module):
+    rows, marks = labelled(60)
+    rows += [rows[5], rows[5], (None, "x", *rows[5][2:]), (None, None, *rows[5][2:]), (7, "clash", *rows[5][2:]), (20_000, "word " * 200_000, *rows[5][2:]), (20_001, "x" * 1_000_000, *rows[5][2:])]
+    d, labels = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([*marks, (None, 1, 1), (3, None, None), (3, 1, 1)], "doc_id long, quality int, toxic int")
+    got = module.digest(module.scores(d, module.train(d, labels))).toPandas()
+    assert len(got) == len(rows) and got.score.between(0, 1).all() and not got.held_out[got.doc_id.isna()].any()
+    assert got.score[got.doc_id == rows[5][0]].nunique() == 1
+
+
 def test_urls_meet_sql(spark):
     urls_ = ["https://www.example.com/en/a?x#y", "http://a.EXAMPLE.com/en/1", "http://com/x", "ftp://q.net/fr/", "https://spam-farm.example.org/a", "https://x.org/cheap-pills", "https://x.org/cheapest", None, "", "no scheme", "a://b://c/d", "http://notcom/", "http://x.net?/es/", "http://h\n/é?"]
     rows = [(i, u, "<p>", 1) for i, u in enumerate(urls_)] + [(3, urls_[3], None, 2)]

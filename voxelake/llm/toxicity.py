@@ -3,9 +3,12 @@
 score(x) = sigmoid(b + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j), where the x_i are
 hashed terms of the text: each word and its leading letters, so that a stem is known
 whatever ending it takes.  The pairwise part learns combinations (an insult next to a
-group) that the linear part cannot weigh.  The machine is fitted on the hashed terms that
-tell the classes of a bounded labelled sample apart; all others have weight and factor
-zero.
+group) that the linear part cannot weigh.  In the pairwise part a long text's terms are
+scaled to a bounded norm, so that thousands of chance pairs do not drown the few that tell.
+
+The machine is fitted on every hashed term that at least two rows of a bounded labelled
+sample hold: none is dropped for what it tells on its own, as a term may tell only in
+company.  Weights are kept sparse by a proximal step instead, factors by decay.
 """
 
 from __future__ import annotations
@@ -20,13 +23,16 @@ from pyspark.sql import functions as F
 from .batch import TextBatch
 from .common import held_out, slices, staged, texts
 
-#: Hashed terms, the length of each term's factor, and the terms that keep weights.
+#: Hashed terms, the length of each term's factor, and the squared norm of a text's terms in pairs.
 BUCKETS = 1 << 20
 FACTORS = 4
-ACTIVE = 2048
+PAIR_NORM = 64.0
 #: Labelled rows of each class that the model is fitted on, at most (by hash order of the id).
 SAMPLE = 5000
-STEPS = 150
+#: Passes over the sample at most, those before the factors join, and the loss that ends them.
+PASSES = 12
+LINEAR_PASSES = 4
+LOSS = 0.03
 STEMS = (4, 5)
 REJECT = 0.7
 
@@ -46,57 +52,91 @@ def features(batch_texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return key // BUCKETS, key % BUCKETS, (1 + 0.5 * np.log(np.maximum(count, 1))).astype(np.float32)
 
 
+def _in_pairs(owner: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """The values as the pairwise part takes them."""
+    return x * np.sqrt(PAIR_NORM / np.maximum(PAIR_NORM, np.bincount(owner, x * x, n)))[owner]
+
+
+def _raw(bias: float, w: np.ndarray, v: np.ndarray, owner: np.ndarray, x: np.ndarray, pair: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The machine's value of each row before the sigmoid, the factor sums of the rows, and
+    ``v * x`` of the terms; ``w`` and ``v`` are those of each term."""
+    vx = v * pair[:, None]
+    sums = np.stack([np.bincount(owner, vx[:, f], n) for f in range(v.shape[1])], 1)
+    return bias + np.bincount(owner, w * x, n) + 0.5 * ((sums**2).sum(1) - np.bincount(owner, (vx**2).sum(1), n)), sums, vx
+
+
 class Model:
-    """Bias, and weights and factors of the active buckets; row 0 stands for all others."""
+    """Bias, and weights and factors of the sorted ``buckets``; all others have none.  At most
+    BUCKETS of them, so the model has a bounded size."""
 
     def __init__(self, bias: float, buckets: np.ndarray, w: np.ndarray, v: np.ndarray):
-        self.bias = bias
-        self.row = np.zeros(BUCKETS, np.int32)
-        self.row[buckets] = np.arange(1, len(buckets) + 1)
-        self.w = np.concatenate((np.zeros(1), w))
-        self.v = np.concatenate((np.zeros((1, FACTORS)), v))
+        self.bias, self.buckets, self.w, self.v = bias, buckets, w, v
+        self.row = np.full(BUCKETS, -1, np.int32)
+        self.row[buckets] = np.arange(len(buckets))
 
     def scores(self, batch_texts: list[str]) -> np.ndarray:
         """Probability of toxicity of each text."""
         owner, bucket, x = features(batch_texts)
-        row = self.row[bucket]
-        owner, x, row = owner[row > 0], x[row > 0], row[row > 0]
-        n = len(batch_texts)
-        raw = self.bias + np.bincount(owner, self.w[row] * x, n)
-        for f in range(FACTORS):
-            vx = self.v[row, f] * x
-            raw += 0.5 * (np.bincount(owner, vx, n) ** 2 - np.bincount(owner, vx * vx, n))
+        n, x = len(batch_texts), x.astype(float)
+        pair = _in_pairs(owner, x, n)
+        at = self.row[bucket]
+        known = at >= 0
+        owner, x, pair, at = owner[known], x[known], pair[known], at[known]
+        raw, _, _ = _raw(self.bias, self.w[at], self.v[at], owner, x, pair, n)
         return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
 
-def fit(owner: np.ndarray, active: np.ndarray, bucket: np.ndarray, x: np.ndarray, y: np.ndarray, steps: int = STEPS, rate: float = 0.05, l2: float = 1e-4, seed: int = 11) -> Model:
-    """Adam on the logistic loss over all rows, both classes weighted alike.
+def fit(owner: np.ndarray, bucket: np.ndarray, x: np.ndarray, y: np.ndarray, rows: int = 128, factors: int = FACTORS, seed: int = 11) -> Model:
+    """Stochastic gradient on the logistic loss, both classes weighted alike.
 
-    ``owner``, ``bucket``, ``x`` are the terms of the rows whose classes are ``y``; ``active``
-    are the sorted buckets that get weights.
+    ``owner``, ``bucket``, ``x`` are the terms of the rows whose classes are ``y``.  Each step
+    touches only the terms of its rows.  Weights follow the regularised leader (a weight
+    stays zero until its evidence passes ``sparse``), factors follow adaptive steps with
+    decay.  The factors join after LINEAR_PASSES, to explain what the weights leave.
     """
-    none = np.zeros(0, np.int64)
-    positive = int(y.sum())
-    if not 0 < positive < len(y):
-        return Model(30.0 if positive else -30.0, none, np.zeros(0), np.zeros((0, FACTORS)))
-    dense = np.zeros((len(y), len(active)), np.float32)
-    dense[owner, np.searchsorted(active, bucket)] = x
-    square = dense**2
+    alpha, sparse, rate, decay, start = 0.15, 10.0, 0.05, 0.05, 0.03
+    n, positive = len(y), int(y.sum())
+    if not 0 < positive < n:
+        return Model(30.0 if positive else -30.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, factors)))
+    order = np.argsort(owner, kind="stable")
+    owner, bucket, x = owner[order], bucket[order], x[order].astype(float)
+    pair = _in_pairs(owner, x, n)
+    buckets, at = np.unique(bucket, return_inverse=True)
+    cuts = np.searchsorted(owner, np.arange(n + 1))
     rng = np.random.default_rng(seed)
-    p = [np.zeros(1, np.float32), np.zeros(len(active), np.float32), rng.normal(0, 0.02, (len(active), FACTORS)).astype(np.float32)]
-    m, s = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
-    weight = np.where(y == 1, 0.5 / positive, 0.5 / (len(y) - positive)).astype(np.float32)
-    for step in range(1, steps + 1):
-        b, w, v = p
-        vx = dense @ v
-        raw = b[0] + dense @ w + 0.5 * ((vx**2).sum(1) - (square @ (v**2)).sum(1))
-        g = weight * (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y).astype(np.float32)
-        gv = dense.T @ (g[:, None] * vx) - v * (square.T @ g)[:, None]
-        for k, d in enumerate((np.array([g.sum()], np.float32), dense.T @ g + l2 * w, gv + l2 * v)):
-            m[k] += 0.1 * (d - m[k])
-            s[k] += 0.001 * (d * d - s[k])
-            p[k] = p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
-    return Model(float(p[0][0]), active, p[1].astype(float), p[2].astype(float))
+    weight = np.where(y == 1, 0.5 * n / positive, 0.5 * n / (n - positive))
+    bias, bias_seen = 0.0, 1.0
+    z, seen = np.zeros(len(buckets)), np.zeros(len(buckets))
+    v, v_seen = np.zeros((len(buckets), factors)), np.full((len(buckets), factors), 0.01)
+    weights = lambda i: -np.sign(z[i]) * np.maximum(np.abs(z[i]) - sparse, 0) * alpha / (1 + np.sqrt(seen[i]))
+    for step in range(PASSES):
+        loss, shuffled = 0.0, rng.permutation(n)
+        if step == LINEAR_PASSES:
+            v = rng.normal(0, start, v.shape)
+        for a in range(0, n, rows):
+            r = shuffled[a : a + rows]
+            size = cuts[r + 1] - cuts[r]
+            own = np.repeat(np.arange(len(r)), size)
+            idx = np.arange(len(own)) + np.repeat(cuts[r] - np.cumsum(size) + size, size)
+            ids, j = np.unique(at[idx], return_inverse=True)
+            w = weights(ids)
+            raw, sums, vx = _raw(bias, w[j], v[ids][j], own, x[idx], pair[idx], len(r))
+            loss += (weight[r] * np.logaddexp(0, np.where(y[r] == 1, -raw, raw))).sum()
+            g = weight[r] * (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[r])
+            gw = np.bincount(j, g[own] * x[idx], len(ids))
+            more = seen[ids] + gw * gw
+            z[ids] += gw - (np.sqrt(more) - np.sqrt(seen[ids])) / alpha * w
+            seen[ids] = more
+            if step >= LINEAR_PASSES:
+                gp = g[own] * pair[idx]
+                gv = np.stack([np.bincount(j, gp * (sums[own, f] - vx[:, f]), len(ids)) for f in range(factors)], 1) / len(r) + decay * v[ids]
+                v_seen[ids] += gv * gv
+                v[ids] -= rate * gv / np.sqrt(v_seen[ids])
+            bias_seen += g.mean() ** 2
+            bias -= 0.1 * g.mean() / np.sqrt(bias_seen)
+        if step >= LINEAR_PASSES and loss < LOSS * n:
+            break
+    return Model(float(bias), buckets, weights(np.arange(len(buckets))), v)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,28 +159,23 @@ def labelled(labels: DataFrame, column: str, sample: int) -> DataFrame:
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` labelled rows of each class.
 
-    The terms that tell the classes apart are chosen by an aggregation over the sample; only
-    these terms of the sampled rows, and the rows' classes, reach the driver.
+    Only the hashed terms of the sampled rows, and the rows' classes, reach the driver: at
+    most 2 * sample rows, whose texts have at most BUCKETS different terms each.
 
-    Null texts are empty; a doc_id that occurs several times counts once for each distinct
-    text; without rows of both classes the score is constant (1 if all rows are toxic, else 0).
+    Null texts are empty; of rows with one doc_id the one of least text counts; without
+    rows of both classes the score is constant (1 if all rows are toxic, else 0).
     """
     chosen = F.broadcast(labelled(labels, "toxic", sample))  # at most 2 * sample ids
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").distinct()
-    rows = staged(docs.mapInArrow(_extract, "doc_id long, label int, at array<int>, x array<float>").withColumn("row", F.monotonically_increasing_id()))
-    y = rows.select("doc_id", "row", "label").orderBy("doc_id", "row").toArrow()
-    terms = rows.select("row", "label", F.explode(F.arrays_zip("at", "x")).alias("t")).select("row", "label", F.col("t.at").alias("bucket"), F.col("t.x").alias("x"))
-    n = [int((y.column("label").to_numpy() == c).sum()) for c in (0, 1)]
-    seen = terms.groupBy("bucket").agg(F.count_if(F.col("label") == 0).alias("s0"), F.count_if(F.col("label") == 1).alias("s1")).where("s0 + s1 > 1")
-    share = lambda c: (F.col(f"s{c}") + 0.5) / (n[c] + 1)
-    tells = F.abs(F.log(share(1) / share(0))) * F.sqrt(F.col("s0") + F.col("s1"))
-    active = seen.orderBy(tells.desc(), "bucket").limit(ACTIVE).select("bucket")  # at most ACTIVE rows
-    kept = terms.join(F.broadcast(active), "bucket").select("row", "bucket", "x").toArrow()
-    ids = y.column("row").to_numpy()
-    by_id = np.argsort(ids)
-    owner = by_id[np.searchsorted(ids, kept.column("row").to_numpy(), sorter=by_id)] if len(ids) else ids
-    bucket = kept.column("bucket").to_numpy()
-    return fit(owner, np.unique(bucket), bucket, kept.column("x").to_numpy(), y.column("label").to_numpy())
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
+    docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    rows = staged(docs.mapInArrow(_extract, "doc_id long, label int, at array<int>, x array<float>"))
+    y = rows.select("doc_id", "label").orderBy("doc_id").toArrow()
+    terms = rows.select("doc_id", F.explode(F.arrays_zip("at", "x")).alias("t")).select("doc_id", F.col("t.at").alias("bucket"), F.col("t.x").alias("x"))
+    shared = terms.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")  # at most BUCKETS rows
+    kept = terms.join(F.broadcast(shared), "bucket").toArrow()
+    owner = np.searchsorted(y.column("doc_id").to_numpy(), kept.column("doc_id").to_numpy())
+    order = np.lexsort((kept.column("bucket").to_numpy(), owner))  # rows arrive in no fixed order
+    return fit(owner[order], kept.column("bucket").to_numpy()[order].astype(np.int64), kept.column("x").to_numpy()[order], y.column("label").to_numpy())
 
 
 def _scorer(model):
