@@ -347,15 +347,17 @@ def test_simhash_words_may_hold_nul(text):
     assert simhash.fingerprint(text) == brute_fingerprint(text)
 
 
-@pytest.mark.parametrize("buckets, per_set, at_a_time", [(256, 1 << 25, 1 << 22), (4, 8, 1 << 22), (2, 1 << 25, 64)])
-def test_simhash_ball_hashing_finds_every_link(spark, monkeypatch, buckets, per_set, at_a_time):
+@pytest.mark.parametrize("bits, at_a_time", [(8, 1 << 22), (2, 1 << 22), (13, 1 << 22), (8, 64)])
+def test_simhash_ball_hashing_finds_every_link(spark, monkeypatch, bits, at_a_time):
+    import pyarrow as pa
+
     monkeypatch.setattr(simhash, "VARIANTS_AT_A_TIME", at_a_time)
     seeds = [rng.getrandbits(64) for _ in range(12)]
     fps = {s ^ sum(1 << b for b in rng.sample(range(64), k)) for s in seeds for k in (0, 1, 2, 3, 4, 4, 5)} | {0, 1, 31, 2**63}
     fps = sorted(fps)
-    import numpy as np
-
-    bits = buckets.bit_length() - 1
+    batch = pa.RecordBatch.from_arrays([pa.array(np.array(fps, np.uint64).view(np.int64))], names=["fp"])
+    dealt = pa.Table.from_batches(simhash._deal(bits)([batch])).sort_by("bucket")
+    assert sum(len(x) for x in dealt.column("fps")) == len(fps) * (1 + bits + bits * (bits - 1) // 2)
     parent = {f: f for f in fps}
 
     def find(x):
@@ -363,14 +365,26 @@ def test_simhash_ball_hashing_finds_every_link(spark, monkeypatch, buckets, per_
             x = parent[x]
         return x
 
-    for b in range(1 << bits):
-        u, v = simhash.collisions(np.array(fps, np.uint64), b, bits)
-        for x, y in zip(u.tolist(), v.tolist()):
+    for links in simhash._bucket_links(bits)(dealt.to_batches(7)):
+        for x, y in zip(*(links.column(c).to_numpy().view(np.uint64).tolist() for c in "uv")):
             parent[find(x)] = find(y)
     low = brute_components(fps)
     assert {frozenset(i for i in low if low[i] == r) for r in low.values()} == {frozenset(i for i, f in enumerate(fps) if find(f) == g) for g in map(find, fps)}
 
 
+def test_simhash_buckets_grow_evenly():
+    assert [simhash.bucket_bits(n) for n in (0, 1, 10**6, 10**7, 10**9, 10**11)] == [8, 8, 8, 12, 18, 25]
+    assert [len(simhash._steps(k)) for k in (8, 12, 18, 25)] == [37, 79, 172, 326]
+
+
+def test_simhash_repeated_null_and_very_long_rows(spark):
+    long = "alpha beta gamma delta " * 100_000
+    rows = [(9, long), (9, long), (None, long.upper()), (4, None), (None, ""), (None, "only null ids here"), (None, "only null ids here"), (3, "x" * 1_000_000)]
+    got = simhash.near_duplicates(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, fp int, root int")).toPandas()
+    assert len(got) == len(rows) and set(got.fp[got.doc_id == 9]) == {np.uint64(brute_fingerprint(long[:92000])).view(np.int64)}
+    assert sorted(got.component_id.fillna(-1)) == [-1, -1, 3, 4, 4, 9, 9, 9]
+
+
 def test_licenses_base_and_fuzzy(spark, docs, empty):
     rows = [(1, "Released under the MIT-License. (MIT license)"), (2, "Licensd under the Apache Licence, Version 2.0"), (3, "gnu general public license gnu general public license"), (4, None), (5, "plain"), (6, "permission is hereby granted, free of charg, to any person obtainin a copy"), (7, "CC BY by cc BY")]
     got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")

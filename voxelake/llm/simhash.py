@@ -5,11 +5,15 @@ bits of both.  So every distinct fingerprint stands for its ball of 2081 variant
 64 one-bit and 2016 two-bit flips), fingerprints whose balls share a variant are linked,
 and every link found this way is a true one.
 
-The shuffle on variants sends no variants: a linear (XOR) hash over bits deals the ball of
-a fingerprint over buckets, and since the hash of ``f ^ m`` is the XOR of the hashes of
-``f`` and of the flip ``m``, a bucket knows which flips of ``f`` fall into it.  A bucket
-thus gets each fingerprint once, makes its own share of the variants, sorts them, and
-returns a spanning forest of the collisions rather than their pairs.
+The shuffle on variants sends no variants.  The 64 bits are dealt into k groups, and a
+bucket is named by the k parities of a value's groups.  One flip changes one parity, so the
+2081 variants of a fingerprint fall into no more than 1 + k + k(k-1)/2 of the 2**k buckets,
+and the XOR of two bucket names tells which flips lead from one to the other.  A
+fingerprint is sent once to each of these buckets, which makes its own share of the
+variants, sorts them, and returns a spanning forest of the collisions rather than their
+pairs.  k grows with the logarithm of the number of fingerprints, so a bucket's share stays
+small (about a million fingerprints for 10**11 of them) while the rows sent for a fingerprint
+grow with k squared only: 37 at k = 8, 79 at k = 12, 326 at k = 25.
 """
 
 from __future__ import annotations
@@ -29,9 +33,11 @@ from .common import ascii_lower, slices, spaced_words, staged, texts
 RADIUS = 4
 SHINGLE_WORDS = 4
 SEED = 42
-#: Buckets up to this many distinct fingerprints; beyond it buckets grow in proportion.
-BUCKETS = 256
-FINGERPRINTS_PER_BUCKET_SET = 1 << 25
+#: Fingerprints for each bucket: there are ``2**k`` buckets for up to ``2**k`` times as many.
+BUCKET_FINGERPRINTS = 4096
+LEAST_BITS, MOST_BITS = 8, 32
+#: Bytes that a task of the bucket shuffle should read.
+TASK_BYTES = 32 << 20
 #: Variants that a bucket holds and sorts at a time.
 VARIANTS_AT_A_TIME = 1 << 22
 
@@ -77,14 +83,23 @@ def fingerprint_hex(fp: Column) -> Column:
 
 @lru_cache(8)
 def _flips(bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The 2081 flips, and the fixed hash of each of the 64 bits and of each flip in ``bits`` bits."""
+    """The 2081 flips, and the linear hash of each of the 64 bits and of each flip: its low
+    ``bits`` are the parities that name buckets, the others are mixed."""
     one = np.uint64(1) << np.arange(64, dtype=np.uint64)
     a, b = np.triu_indices(64, 1)
     flips = np.concatenate(([np.uint64(0)], one, one[a] | one[b]))
-    column = np.array([xxhash.xxh64_intdigest(f"bit {i}", 7) & ((1 << bits) - 1) for i in range(64)], np.uint64)
+    parity = np.array([1 << (i * bits // 64) for i in range(64)], np.uint64)
+    mixed = np.array([xxhash.xxh64_intdigest(f"bit {i}", 7) for i in range(64)], np.uint64) >> np.uint64(bits)
+    column = parity | (mixed << np.uint64(bits))
     return flips, column, np.concatenate(([np.uint64(0)], column, column[a] ^ column[b]))
 
 
+@lru_cache(8)
+def _steps(bits: int) -> np.ndarray:
+    """The XORs that lead from a fingerprint's own bucket to those of its variants."""
+    return np.unique(_flips(bits)[2] & np.uint64((1 << bits) - 1))
+
+
 def _hashes(values: np.ndarray, column: np.ndarray) -> np.ndarray:
     """The linear hash of each value, by a table for each byte."""
     out = np.zeros(len(values), np.uint64)
@@ -119,9 +134,8 @@ def collisions(fps: np.ndarray, bucket: int, bits: int) -> tuple[np.ndarray, np.
     stays at VARIANTS_AT_A_TIME however many fingerprints there are.
     """
     fps = np.unique(fps)
-    flips, column, flip_hash = _flips(32)
-    low = np.uint64((1 << bits) - 1)
-    portions = max(1, -(-len(fps) * len(flips) // (VARIANTS_AT_A_TIME << bits)))
+    flips, column, flip_hash = _flips(bits)
+    portions = max(1, -(-len(fps) * len(flips) // (VARIANTS_AT_A_TIME * len(_steps(bits)))))
     more = (portions - 1).bit_length()
     fp_hash = _hashes(fps, column)
     order = np.argsort(fp_hash & np.uint64((1 << (bits + more)) - 1), kind="stable")
@@ -164,44 +178,67 @@ def collisions(fps: np.ndarray, bucket: int, bits: int) -> tuple[np.ndarray, np.
     return fps[nodes[apart]], fps[nodes[root[apart]]]
 
 
+def _deal(bits: int):
+    """Each fingerprint to the buckets of its variants; those of a batch that meet in a bucket
+    travel as one row."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, column, _ = _flips(bits)
+        steps, mask = _steps(bits), np.uint64((1 << bits) - 1)
+        for b in slices(batches, 8192):
+            fps = b.column("fp").to_numpy().view(np.uint64)
+            bucket = ((_hashes(fps, column) & mask)[:, None] ^ steps[None, :]).ravel().view(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            names, first = np.unique(bucket[order], return_index=True)
+            offsets = pa.array(np.append(first, len(order)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.ListArray.from_arrays(offsets, pa.array(fps.view(np.int64)[order // len(steps)]))], names=["bucket", "fps"])
+
+    return deal
+
+
 def _bucket_links(bits: int):
-    def links(table: pa.Table) -> pa.Table:
-        fps = table.column("fp").to_numpy().view(np.uint64)
-        u, v = collisions(fps, table.column("bucket")[0].as_py(), bits) if table.num_rows else (fps[:0], fps[:0])
-        return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
+    """Rows sorted by bucket: only the fingerprints of one bucket are held."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            u, v = collisions(np.concatenate(held), bucket, bits)
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+
+        for b in batches:
+            for name, fps in zip(b.column("bucket").to_numpy().tolist(), b.column("fps")):
+                if name != bucket and held:
+                    yield from settle()
+                    held = []
+                bucket = name
+                held.append(fps.values.to_numpy().view(np.uint64))
+        if held:
+            yield from settle()
 
     return links
 
 
+def bucket_bits(n: int) -> int:
+    """k for ``n`` distinct fingerprints."""
+    return min(MOST_BITS, max(LEAST_BITS, (max(n - 1, 0) // BUCKET_FINGERPRINTS).bit_length()))
+
+
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
     """Edges ``u``, ``v`` whose closure links all fingerprints at RADIUS or fewer differing bits.
 
     ``distinct`` has one row per fingerprint, column ``fp``.  A spanning forest is returned
-    for each bucket, so a group of ``g`` near copies costs at most ``g`` rows a bucket.
+    for each bucket, so a group of ``g`` near copies costs at most ``g`` rows a bucket.  No
+    bucket is hot by copies, as fingerprints are distinct and a ball holds 2081 values.
     """
-    n = distinct.count()
-    bits = (BUCKETS - 1).bit_length()
-    while n > FINGERPRINTS_PER_BUCKET_SET << (bits - 8) and bits < 32:
-        bits += 1
-    if 1 << bits <= BUCKETS:
-        dealt = distinct.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit((1 << bits) - 1))))
-    else:
-        dealt = distinct.mapInArrow(_deal(bits), "fp long, bucket int")
-    return dealt.groupBy("bucket").applyInArrow(_bucket_links(bits), "u long, v long").distinct()
-
-
-def _deal(bits: int):
-    """For more buckets than flips: each fingerprint goes only to the buckets of its variants."""
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, column, flip_hash = _flips(32)
-        kinds = np.unique(flip_hash & np.uint64((1 << bits) - 1))
-        for b in slices(batches, 1024):
-            fps = b.column("fp").to_numpy().view(np.uint64)
-            bucket = (_hashes(fps, column) & np.uint64((1 << bits) - 1))[:, None] ^ kinds[None, :]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(fps.view(np.int64), len(kinds))), pa.array(bucket.ravel().astype(np.int64).astype(np.int32))], names=["fp", "bucket"])
-
-    return deal
+    spark, n = distinct.sparkSession, distinct.count()
+    bits = bucket_bits(n)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * n * len(_steps(bits)) // TASK_BYTES)
+    tasks = min(tasks, 1 << bits)
+    dealt = distinct.mapInArrow(_deal(bits), "bucket long, fps array<long>")
+    ordered = dealt.repartitionById(tasks, (F.col("bucket") % tasks).cast("int")).sortWithinPartitions("bucket")
+    return ordered.mapInArrow(_bucket_links(bits), "u long, v long").distinct()
 
 
 def near_duplicates(documents: DataFrame, columns: dict[str, Column] | None = None) -> DataFrame:
