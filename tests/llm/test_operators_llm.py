@@ -422,10 +422,40 @@ def test_decontamination_meets_sql(spark, docs, corpus, empty):
     assert corpus[0][1][row.spans[0].start : row.spans[0].stop].split()[0] == long[row.hits[0]]
 
 
-@pytest.mark.parametrize("block_chars", [decontaminate.BLOCK_CHARS, 100])
+@pytest.mark.parametrize("block_chars", [decontaminate.AUTOMATON_CHARS, 100])
 def test_decontamination_by_items_without_id(spark, docs, corpus, block_chars):
     long = corpus[0][1].split()
     items = [(None, " ".join(long[30:60])), (None, "One"), (1, " ".join(long[50:70])), (None, None)]
     got = decontaminate.digest(decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string"), block_chars=block_chars)).toPandas()
     same(got, from_sql(decontaminate.contamination_sql(), documents=frame(corpus), benchmark=pd.DataFrame(items, columns=["item_id", "text"]).astype({"item_id": "Int64"})))
     assert (got.contaminated & (got.n_items == 0)).any()
+
+
+def test_decontamination_scan_against_all_windows():
+    """Texts of few words repeat in every way; windows are compared one by one."""
+    own = random.Random(9)
+    for _ in range(60):
+        items = [(str(k), " ".join(own.choices("abc", weights=(8, 1, 1), k=own.choice([1, 5, 12, 13, 14, 21, 22, 40])))) for k in range(6)]
+        words = own.choices("abc", weights=(8, 1, 1), k=60) + items[0][1].split() + ["z"] + items[1][1].split()
+        hit, found = decontaminate.Automaton(items).scan(words)
+        want, names = np.zeros(len(words), bool), set()
+        for name, text in items:
+            w = text.split()
+            n = min(13, len(w))
+            windows = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+            for i in range(len(words) - n + 1):
+                if tuple(words[i : i + n]) in windows:
+                    want[i : i + n] = True
+                    names.add(int(name))
+        assert (hit == want).all() and found == names
+
+
+def test_decontamination_of_repeated_null_and_very_long_rows(spark):
+    item = " ".join(f"q{i}" for i in range(30))
+    rows = [(1, item), (1, item), (None, item), (None, None), (2, ""), (3, "same " * 100_000), (4, "x" * 1_000_000)]
+    docs = spark.createDataFrame([(*r, 1, "c") for r in rows], "doc_id long, text string, n_words int, hits string")
+    bench = spark.createDataFrame([("a", item), ("a", item), ("b", "same " * 300), (None, None)], "item_id string, text string")
+    began = time.perf_counter()
+    got = decontaminate.digest(decontaminate.contamination(docs, bench)).collect()
+    assert time.perf_counter() - began < 60
+    assert sorted((r.doc_id or 0, r.n_hit, r.n_items, r.contaminated) for r in got) == sorted([(1, 30, 1, True)] * 2 + [(0, 30, 1, True), (0, 0, 0, False), (2, 0, 0, False), (3, 100_000, 1, True), (4, 0, 0, False)])

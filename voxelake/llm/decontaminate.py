@@ -1,58 +1,74 @@
-"""Benchmark decontamination with one Aho-Corasick automaton over benchmark windows.
+"""Benchmark decontamination with one Aho-Corasick automaton over the benchmark's words.
 
-Benchmark items are normalised to words and cut into windows of 13 words (a shorter item
-is one window).  All windows of a block of items form one automaton; a document is
-normalised once, scanned once, and hits come back as word and character positions of the
-original text.
+A window is 13 consecutive words of an item (a shorter item is one window).  Whatever window
+of an item stands in a document, it holds one of the item's seeds: five words that start at a
+multiple of nine (pigeonhole: 9 + 5 - 1 = 13).  The seeds of all items form one automaton,
+about half a node for each character of the benchmark instead of thirteen.  A document is
+normalised once and scanned once; where a seed stands, its match with the item is followed
+to both sides, and thirteen or more equal words are a hit.  Hits come back as word and
+character positions of the original text.
+
+One automaton holds AUTOMATON_CHARS of benchmark.  A larger benchmark first loses the items
+that no document can hit: a broadcast array of seed hashes tells which seeds stand in the
+corpus at all, and only items with such a seed go into automata.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ALNUM_WORD, alnum_words, ascii_lower, slices, staged, texts
 
 WINDOW = 13
-#: Benchmark text, in characters, that one automaton may hold; more items make more blocks.
-BLOCK_CHARS = 400_000
+SEED = 5
+#: Benchmark text, in characters, that one automaton may hold (about 40 bytes each in a worker);
+#: more text of items that stand in the corpus makes more automata, and a pass for each.
+AUTOMATON_CHARS = 8_000_000
 
 _spans = re.compile(ALNUM_WORD).finditer
 
 
-def windows(text: str, n: int = WINDOW) -> list[str]:
-    """The item's windows as space-joined words, first places only."""
-    words = alnum_words(ascii_lower(text))
-    if not words:
-        return []
-    return list(dict.fromkeys(" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))))
+def seed_starts(n_words: int, n: int = WINDOW, seed: int = SEED) -> range:
+    """Where the seeds of an item of ``n_words`` words start; any ``n`` words hold one of them."""
+    return range(0, max(0, n_words - seed + 1), n - seed + 1)
 
 
 class Automaton:
-    """All windows of some benchmark items; ``items`` are (id as text, text) pairs; items
-    of null id are hit but never named."""
+    """Seeds of some benchmark items; ``items`` are (id as text, text) pairs; items of null id
+    are hit but never named."""
 
     def __init__(self, items: list[tuple[str | None, str]], n: int = WINDOW):
-        by_window: dict[str, list[int]] = {}
+        self.n, seed = n, min(SEED, n)
         self.ids = sorted({i for i, _ in items if i is not None})
         number = {i: k for k, i in enumerate(self.ids)}
+        owners: dict[str, list[tuple[int, int]]] = {}
+        self.words: list[list[str]] = []
+        self.number: list[int] = []
         for item, text in items:
-            for w in windows(text, n):
-                owners = by_window.setdefault(w, [])
-                if item is not None:
-                    owners.append(number[item])
+            words = alnum_words(ascii_lower(text))
+            if not words:
+                continue
+            self.words.append(words)
+            self.number.append(number.get(item, -1))
+            starts = seed_starts(len(words), n, seed) if len(words) >= n else [0]
+            size = seed if len(words) >= n else len(words)
+            for at in starts:
+                owners.setdefault(" ".join(words[at : at + size]), []).append((len(self.words) - 1, at))
         self.trie = ahocorasick.Automaton()
-        for w, owners in by_window.items():
-            self.trie.add_word(f" {w} ", (len(w) + 1, w.count(" ") + 1, tuple(set(owners))))
-        if by_window:
+        for w, own in owners.items():
+            self.trie.add_word(f" {w} ", (len(w) + 1, own))
+        if owners:
             self.trie.make_automaton()
-        self.empty = not by_window
+        self.empty = not owners
 
     def scan(self, words: list[str]) -> tuple[np.ndarray, set[int]]:
         """Which words are hit, and the numbers of the items found."""
@@ -63,12 +79,32 @@ class Automaton:
         matches = list(self.trie.iter(line))
         if matches:
             starts = np.flatnonzero(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
-            for end, (length, count, owners) in matches:
-                first = int(np.searchsorted(starts, end - length))
-                hit[first : first + count] = True
-                found.update(owners)
+            done: dict[tuple[int, int], int] = {}  # how far each item was followed at each offset
+            for end, (length, owners) in matches:
+                p = int(np.searchsorted(starts, end - length))
+                for k, at in owners:
+                    if p < done.get((k, p - at), 0):
+                        continue
+                    item = self.words[k]
+                    a, z = self._follow(item, at, words, p)
+                    done[k, p - at] = z
+                    if z - a >= min(self.n, len(item)):
+                        hit[a:z] = True
+                        if self.number[k] >= 0:
+                            found.add(self.number[k])
         return hit, found
 
+    @staticmethod
+    def _follow(item: list[str], at: int, words: list[str], p: int) -> tuple[int, int]:
+        """The words around ``p`` that equal those of the item around ``at``: from, to."""
+        back = 0
+        while back < min(at, p) and item[at - back - 1] == words[p - back - 1]:
+            back += 1
+        on, most = 0, min(len(item) - at, len(words) - p)
+        while on < most and item[at + on] == words[p + on]:
+            on += 1
+        return p - back, p + on
+
 
 def character_spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     """The hit words as maximal character spans of the original text (ends not included)."""
@@ -84,11 +120,10 @@ def character_spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[str | None, str]]]:
-    """The benchmark's items in blocks of bounded size, streamed through the driver one at a time."""
+def _blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[str | None, str]]]:
+    """Items in blocks of bounded size, streamed through the driver one at a time."""
     block, size = [], 0
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null").orderBy("item", "text")
-    for r in items.toLocalIterator():
+    for r in items.orderBy("item", "text").toLocalIterator():
         if block and size + len(r.text) > block_chars:
             yield block
             block, size = [], 0
@@ -97,14 +132,77 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[str |
     yield block
 
 
+def _hash(words: list[str]) -> int:
+    return xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
+
+
+def _item_seeds(n: int):
+    """Hashes of each item's seeds with their number of words; short items are one seed."""
+
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            hashes, sizes = [], []
+            for text in texts(b):
+                words = alnum_words(ascii_lower(text))
+                size = min(SEED, n) if len(words) >= n else len(words)
+                starts = seed_starts(len(words), n, size) if len(words) >= n else ([0] if words else [])
+                hashes.append(np.array([_hash(words[i : i + size]) for i in starts], np.uint64).view(np.int64))
+                sizes.append(size)
+            yield pa.RecordBatch.from_arrays([b.column("item"), b.column("text"), pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.int32())], names=["item", "text", "seeds", "size"])
+
+    return seeds
+
+
+def _present(sent):
+    """The known seeds that stand in a task's documents, each once."""
+
+    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value  # sorted hashes by number of words
+        seen = {size: np.zeros(len(h), bool) for size, h in known.items()}
+        for b in slices(batches):
+            for text in texts(b):
+                words = alnum_words(ascii_lower(text))
+                for size, hashes in known.items():
+                    mine = np.array([_hash(words[i : i + size]) for i in range(len(words) - size + 1)], np.uint64).view(np.int64)
+                    at = np.minimum(np.searchsorted(hashes, mine), len(hashes) - 1)
+                    seen[size][at[hashes[at] == mine]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([known[size][s] for size, s in seen.items()] or [np.zeros(0, np.int64)]))], names=["seed"])
+
+    return present
+
+
+def candidates(documents: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
+    """The items of which at least one seed stands in some document."""
+    spark = documents.sparkSession
+    seeded = staged(items.mapInArrow(_item_seeds(n), "item string, text string, seeds array<long>, size int"))
+    known: dict[int, list[int]] = {}
+    for r in seeded.select("size", F.explode("seeds").alias("seed")).distinct().toLocalIterator():  # 8 bytes for nine words of benchmark
+        known.setdefault(r["size"], []).append(r.seed)
+    sent = spark.sparkContext.broadcast({size: np.sort(np.array(h, np.int64)) for size, h in known.items()})
+    present = documents.select("text").mapInArrow(_present(sent), "seed long").distinct()
+    return seeded.select("item", "text", F.explode("seeds").alias("seed")).join(present, "seed", "left_semi").select("item", "text").distinct()
+
+
+_built: dict[str, Automaton] = {}
+
+
+def _automaton(name: str, items: list[tuple[str | None, str]], n: int) -> Automaton:
+    """The automaton of a block, built once in each worker process, which holds one at a time."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Automaton(items, n)
+    return _built[name]
+
+
 HITS = "n_words long, hits array<int>, items array<string>, spans array<struct<start: int, stop: int>>"
 
 
 def _scan(items, n: int):
+    name = uuid.uuid4().hex
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(items.value, n)
+        automaton = _automaton(name, items.value, n)
         for b in slices(batches):
             n_words, hits, found, spans = [], [], [], []
             for text, old_hits, old_items in zip(texts(b), b.column("hits").to_pylist(), b.column("items").to_pylist()):
@@ -122,7 +220,7 @@ def _scan(items, n: int):
     return scan
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, columns: list[str] | None = None, n: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def contamination(documents: DataFrame, benchmark: DataFrame, columns: list[str] | None = None, n: int = WINDOW, block_chars: int = AUTOMATON_CHARS) -> DataFrame:
     """One row per document: ``columns`` (default: doc_id), ``n_words``, ``hits`` (word numbers),
     ``items`` (ids as text, sorted), ``spans`` (character spans of the original text),
     ``n_hit``, ``contaminated``.
@@ -130,14 +228,18 @@ def contamination(documents: DataFrame, benchmark: DataFrame, columns: list[str]
     Contaminated: at least one word and at least a twentieth of the words are hit.  Null and
     empty texts have no words and are clean; null items are ignored; an
     item of null id counts in hits but has no place in items; an empty
-    benchmark hits nothing; repeated rows give repeated rows; other columns are ignored.  A
-    benchmark above ``block_chars`` is scanned in blocks, one pass over the documents and
-    one automaton of bounded size for each, and a document's hits are united.
+    benchmark hits nothing; repeated rows give repeated rows; other columns are ignored.  Of a
+    benchmark above ``block_chars`` only the items with a seed in the corpus count; if these
+    are still more, they are scanned in blocks, one pass over the documents and one automaton
+    of bounded size for each, and a document's hits are united.
     """
     spark = documents.sparkSession
+    items_of = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null")
+    if (items_of.agg(F.sum(F.length("text"))).first()[0] or 0) > block_chars:
+        items_of = candidates(documents, items_of, n)
     now = documents.select(F.struct(*(columns or ["doc_id"])).alias("row"), "text", F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"))
     out = f"row {now.schema['row'].dataType.simpleString()}, text string, {HITS}"
-    for k, items in enumerate(_blocks(benchmark, block_chars)):
+    for k, items in enumerate(_blocks(items_of, block_chars)):
         now = (staged(now) if k else now).select("row", "text", "hits", "items").mapInArrow(_scan(spark.sparkContext.broadcast(items), n), out)
     n_hit = F.size("hits").cast("long")
     return now.select("row.*", "n_words", "hits", "items", "spans").withColumn("n_hit", n_hit).withColumn("contaminated", (n_hit > 0) & (20 * n_hit >= F.col("n_words")))
