@@ -86,11 +86,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
 
-def fit(owner: np.ndarray, bucket: np.ndarray, x: np.ndarray, y: np.ndarray, rows: int = 128, factors: int = FACTORS, seed: int = 11) -> Model:
+def fit(cuts: np.ndarray, bucket: np.ndarray, x: np.ndarray, y: np.ndarray, rows: int = 128, factors: int = FACTORS, seed: int = 11) -> Model:
     """Stochastic gradient on the logistic loss, both classes weighted alike.
 
-    ``owner``, ``bucket``, ``x`` are the terms of the rows whose classes are ``y``.  Each step
-    touches only the terms of its rows.  Weights follow the regularised leader (a weight
+    ``bucket`` and ``x`` are the terms of all rows, those of row ``i`` from ``cuts[i]`` to
+    ``cuts[i + 1]``; ``y`` are the rows' classes.  Terms of a single row are left out.  Each
+    step touches only the terms of its rows.  Weights follow the regularised leader (a weight
     stays zero until its evidence passes ``sparse``), factors follow adaptive steps with
     decay.  The factors join after LINEAR_PASSES, to explain what the weights leave.
     """
@@ -98,11 +99,10 @@ def fit(owner: np.ndarray, bucket: np.ndarray, x: np.ndarray, y: np.ndarray, row
     n, positive = len(y), int(y.sum())
     if not 0 < positive < n:
         return Model(30.0 if positive else -30.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, factors)))
-    order = np.argsort(owner, kind="stable")
-    owner, bucket, x = owner[order], bucket[order], x[order].astype(float)
-    pair = _in_pairs(owner, x, n)
-    buckets, at = np.unique(bucket, return_inverse=True)
-    cuts = np.searchsorted(owner, np.arange(n + 1))
+    shared = np.bincount(bucket, minlength=BUCKETS) > 1
+    buckets = np.flatnonzero(shared)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[buckets] = np.arange(len(buckets))
     rng = np.random.default_rng(seed)
     weight = np.where(y == 1, 0.5 * n / positive, 0.5 * n / (n - positive))
     bias, bias_seen = 0.0, 1.0
@@ -118,17 +118,20 @@ def fit(owner: np.ndarray, bucket: np.ndarray, x: np.ndarray, y: np.ndarray, row
             size = cuts[r + 1] - cuts[r]
             own = np.repeat(np.arange(len(r)), size)
             idx = np.arange(len(own)) + np.repeat(cuts[r] - np.cumsum(size) + size, size)
-            ids, j = np.unique(at[idx], return_inverse=True)
+            at, xs = place[bucket[idx]], x[idx].astype(float)
+            pair, known = _in_pairs(own, xs, len(r)), at >= 0
+            own, xs, pair = own[known], xs[known], pair[known]
+            ids, j = np.unique(at[known], return_inverse=True)
             w = weights(ids)
-            raw, sums, vx = _raw(bias, w[j], v[ids][j], own, x[idx], pair[idx], len(r))
+            raw, sums, vx = _raw(bias, w[j], v[ids][j], own, xs, pair, len(r))
             loss += (weight[r] * np.logaddexp(0, np.where(y[r] == 1, -raw, raw))).sum()
             g = weight[r] * (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[r])
-            gw = np.bincount(j, g[own] * x[idx], len(ids))
+            gw = np.bincount(j, g[own] * xs, len(ids))
             more = seen[ids] + gw * gw
             z[ids] += gw - (np.sqrt(more) - np.sqrt(seen[ids])) / alpha * w
             seen[ids] = more
             if step >= LINEAR_PASSES:
-                gp = g[own] * pair[idx]
+                gp = g[own] * pair
                 gv = np.stack([np.bincount(j, gp * (sums[own, f] - vx[:, f]), len(ids)) for f in range(factors)], 1) / len(r) + decay * v[ids]
                 v_seen[ids] += gv * gv
                 v[ids] -= rate * gv / np.sqrt(v_seen[ids])
@@ -169,13 +172,10 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
     docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
     rows = staged(docs.mapInArrow(_extract, "doc_id long, label int, at array<int>, x array<float>"))
-    y = rows.select("doc_id", "label").orderBy("doc_id").toArrow()
-    terms = rows.select("doc_id", F.explode(F.arrays_zip("at", "x")).alias("t")).select("doc_id", F.col("t.at").alias("bucket"), F.col("t.x").alias("x"))
-    shared = terms.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")  # at most BUCKETS rows
-    kept = terms.join(F.broadcast(shared), "bucket").toArrow()
-    owner = np.searchsorted(y.column("doc_id").to_numpy(), kept.column("doc_id").to_numpy())
-    order = np.lexsort((kept.column("bucket").to_numpy(), owner))  # rows arrive in no fixed order
-    return fit(owner[order], kept.column("bucket").to_numpy()[order].astype(np.int64), kept.column("x").to_numpy()[order], y.column("label").to_numpy())
+    got = rows.orderBy("doc_id").select("label", "at", "x").toArrow().combine_chunks()
+    y, at = got.column("label").to_numpy(), got.column("at").combine_chunks()
+    x = got.column("x").combine_chunks().flatten().to_numpy()
+    return fit(np.concatenate(([0], np.cumsum(at.value_lengths().to_numpy()))), at.flatten().to_numpy(), x, y)
 
 
 def _scorer(model):
