@@ -65,7 +65,7 @@ def frame(corpus):
 def test_mix_meets_sql_and_targets(docs, corpus, empty):
     mixed = mixing.mix(docs, block_words=16)
     got = mixing.taken(mixed).toPandas()
-    same(got, from_sql(mixing.taken_sql(), documents=frame(corpus)))
+    same(got, from_sql(mixing.taken_sql(block_words=16), documents=frame(corpus)))
     assert (got.taken <= 2 * got["size"]).all()
     per = got.groupby("source", dropna=False).agg(taken=("taken", "sum"), target=("target", "first"))
     assert ((per.target - per.taken).abs() < 1).all()
@@ -74,6 +74,22 @@ def test_mix_meets_sql_and_targets(docs, corpus, empty):
     assert mixing.taken(mixing.mix(empty)).count() == 0
 
 
+def test_mix_is_what_the_schedule_says(docs, monkeypatch):
+    """Without the slots of a source nothing of it is taken; with fewer slots, less."""
+    whole = mixing.schedule
+    monkeypatch.setattr(mixing, "schedule", lambda t, b: whole(t, b).where("nr <> 1 and (nr <> 2 or rank < 2)"))
+    got = mixing.taken(mixing.mix(docs, block_words=16)).toPandas()
+    per = got.groupby("source", dropna=False).taken.sum()
+    assert sorted(per)[:2] == [0, 32] and (got[got.source == "s1"].n_slots == 0).all()
+
+
+def test_mix_spreads_null_ids(docs, spark):
+    """A third of the rows without an id does not fall into one leaf of the hash tree."""
+    rows = [(None, f"text {i}", "s") for i in range(50)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_words=4).select("start", "seat").distinct()
+    assert got.where("seat > 1").count() < 10
+
+
 def test_mix_keeps_repeated_rows(spark):
     rows = [(1, "a b", "s"), (1, "a b", "s"), (2, "", "s"), (2, "", "s"), (2, None, "s"), (None, "c", None), (None, None, None)]
     got = mixing.taken(mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))).toPandas()

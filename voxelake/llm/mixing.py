@@ -1,7 +1,8 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Each source's documents are shuffled by hash and laid end to end; the resulting token
-stream is cut into blocks of equal token count.  A schedule of ``2**k`` slots takes the
+Each source's documents are shuffled by hash and laid end to end, as often as they may
+repeat; the resulting token stream is cut into blocks of equal token count, and whole blocks
+are joined to the slots of a schedule: what has no slot is not in the mix.  A schedule of ``2**k`` slots takes the
 van der Corput points, maps them through the cumulative block counts of the sources, and
 ranks the slots of each source; the slot of rank ``r`` takes the source's block ``r``.
 With ``2**k`` points every interval of whole grid cells holds exactly as many points as
@@ -15,6 +16,7 @@ and slots find their source by an equi-join on grid cells.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import add
 
@@ -111,16 +113,18 @@ def _points_below(slot: Column, mirrored: Column, bound: Column, bits: int) -> C
 
 
 def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The slots of the mix: ``slot`` (its place), ``nr`` and ``rank`` (the source's block).
+    """The slots of the mix: ``slot`` (its place), ``nr``, ``rank`` (the source's block) and
+    ``words`` (how much of the block it takes: all but in the source's last slot).
 
     Slots of a source with target ``t`` number ``ceil(floor(t) / block_words)``.
     """
     spark = targets.sparkSession
-    need = targets.select("nr", F.ceil(F.floor("target") / F.lit(float(block_words))).cast("long").alias("need")).where("need > 0")
+    whole = F.floor("target").cast("long")
+    need = targets.select("nr", whole.alias("goal"), F.ceil(whole / F.lit(float(block_words))).cast("long").alias("need")).where("need > 0")
     total = need.agg(F.sum("need")).first()[0] or 0
     bits = max(0, (total - 1).bit_length()) if total else 0
     if not total:
-        return spark.range(0).select(F.col("id").alias("slot"), F.lit(0).alias("nr"), F.lit(0).cast("long").alias("rank")).where("false")
+        return spark.range(0).select(F.col("id").alias("slot"), F.lit(0).alias("nr"), F.lit(0).cast("long").alias("rank"), F.lit(0).cast("long").alias("words")).where("false")
     to_here = Window.orderBy("nr").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     spans = need.withColumn("to", F.sum("need").over(to_here)).withColumn("from", F.col("to") - F.col("need")).drop("need")
     coarse = max(0, bits - (GRID_CELLS.bit_length() - 1))
@@ -130,50 +134,53 @@ def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     slots = slots.withColumn("x", mirrored).withColumn("cell", F.shiftright("x", coarse))
     found = slots.join(cells, "cell").where((F.col("x") >= F.col("from")) & (F.col("x") < F.col("to")))
     rank = _points_below(F.col("slot"), F.col("x"), F.col("to"), bits) - _points_below(F.col("slot"), F.col("x"), F.col("from"), bits)
-    return found.select("slot", "nr", rank.alias("rank"))
+    words = F.least(F.lit(block_words).cast("long"), F.col("goal") - F.col("rank") * block_words)
+    return found.select("slot", "nr", "goal", rank.alias("rank")).select("slot", "nr", "rank", words.alias("words"))
 
 
 def mix(documents: DataFrame, seed: str = "mix", block_words: int = BLOCK_WORDS, share: float = SHARE, cycle: tuple[float, ...] = CYCLE, max_repeat: float = MAX_REPEAT) -> DataFrame:
     """The mix as pieces in order: ``slot``, ``rank``, ``doc_id``, ``source``, ``from_word``,
     ``to_word`` plus the document's ``size`` and its source's ``source_size`` and ``target``.
 
-    A document that the mix does not reach has one piece with null ``slot`` and no words, so
-    no row is lost; so has a null or empty text.  A null source is a source of its own, a null
+    Beside its pieces every document has one row with null ``slot``, so that no row is lost
+    where the mix does not reach it or its text is null or empty.  A null source is a source of its own, a null
     ``doc_id`` an ordinary row, repeated rows are separate documents.  Columns of
     ``documents`` other than doc_id, source, text are ignored.  Same input and ``seed``,
     same mix.  An empty table gives an empty mix.
     """
-    h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sizes = staged(documents.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    h = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit("")))))
+    sizes = staged(documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), h.alias("h")))
     targets = staged(source_targets(sizes, share, cycle, max_repeat))
     n_sources, rows = targets.count(), sizes.count()
     small = n_sources <= BROADCAST_SOURCES
     side = F.broadcast(targets) if small else targets
-    keyed = sizes.join(side.withColumnRenamed("source", "its_source"), F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source", "weight").withColumn("h", h)
+    keyed = sizes.join(side.withColumnRenamed("source", "its_source"), F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source", "weight")
     placed = stream_offsets(keyed, _levels(rows)).drop("h")
-    limit = F.floor("target")
-    last_turn = F.floor((limit - F.col("start") - 1) / F.greatest("source_size", F.lit(1))).cast("int")
-    again = F.when((F.col("size") > 0) & (limit > F.col("start")), F.sequence(F.lit(0), last_turn)).otherwise(F.array(F.lit(None).cast("int")))
-    passes = placed.withColumn("turn", F.explode(again)).withColumn("lo", F.col("start") + F.col("turn") * F.col("source_size")).withColumn("hi", F.least(F.col("lo") + F.col("size"), limit))
-    block = F.when(F.col("turn").isNotNull(), F.sequence(F.floor(F.col("lo") / block_words), F.floor((F.col("hi") - 1) / block_words)))
-    pieces = passes.withColumn("rank", F.explode(F.coalesce(block, F.array(-1 - F.col("start")))))  # unreached rows spread over ranks that no slot has
-    pieces = pieces.withColumn("from_word", F.greatest("lo", F.col("rank") * block_words) - F.col("lo")).withColumn("to_word", F.least("hi", (F.col("rank") + 1) * block_words) - F.col("lo"))
+    turns = F.sequence(F.lit(0), F.lit(max(1, math.ceil(max_repeat)) - 1))
+    passes = placed.withColumn("turn", F.explode(turns)).withColumn("lo", F.col("start") + F.col("turn") * F.col("source_size")).withColumn("hi", F.col("lo") + F.col("size"))
+    blocks = passes.where("size > 0").withColumn("rank", F.explode(F.sequence(F.floor(F.col("lo") / block_words), F.floor((F.col("hi") - 1) / block_words))))
     slots = schedule(targets, block_words)
-    return pieces.join(slots, ["nr", "rank"], "left").select("slot", "rank", "doc_id", "source", "start", "seat", "size", "source_size", "target", "from_word", "to_word")
+    first, stop = F.col("rank") * block_words, F.col("rank") * block_words + F.col("words")
+    pieces = blocks.join(slots, ["nr", "rank"]).withColumn("from_word", F.greatest("lo", first) - F.col("lo")).withColumn("to_word", F.least("hi", stop) - F.col("lo")).where("to_word > from_word")
+    columns = ["slot", "rank", "doc_id", "source", "start", "seat", "size", "source_size", "target", "from_word", "to_word"]
+    none = placed.select(*[F.col(c) if c in placed.columns else F.lit(None).cast("long").alias(c) for c in columns])
+    return pieces.select(columns).unionByName(none)
 
 
 def taken(mixed: DataFrame) -> DataFrame:
-    """Words that a mix takes of each document: doc_id, source, size, source_size, target, taken."""
-    words = F.when(F.col("slot").isNotNull(), F.col("to_word") - F.col("from_word"))
-    return mixed.groupBy("doc_id", "source", "start", "seat", "size", "source_size", "target").agg(F.coalesce(F.sum(words), F.lit(0)).cast("long").alias("taken")).drop("start", "seat")
+    """Words that a mix takes of each document: doc_id, source, size, source_size, target, taken;
+    with its first slot (null: none) and the number of its pieces in slots."""
+    words = F.coalesce(F.sum(F.col("to_word") - F.col("from_word")), F.lit(0)).cast("long")
+    per = mixed.groupBy("doc_id", "source", "start", "seat", "size", "source_size", "target")
+    return per.agg(words.alias("taken"), F.min("slot").alias("first_slot"), F.count("slot").alias("n_slots")).drop("start", "seat")
 
 
-def taken_sql(documents: str = "documents", seed: str = "mix") -> str:
+def taken_sql(documents: str = "documents", seed: str = "mix", block_words: int = BLOCK_WORDS) -> str:
     """DuckDB SQL for ``taken`` of the default mix over the table expression ``documents``."""
     return f"""
 WITH sizes AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+         md5(concat_ws(':', '{seed}', coalesce(CAST(doc_id AS VARCHAR), ''), md5(coalesce(text, '')))) AS h
   FROM {documents}),
 totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source),
 ranked AS (
@@ -186,13 +193,29 @@ levels AS (
      / (sum(weight) OVER () - sum(weight) OVER (ORDER BY cap / weight, nr ROWS UNBOUNDED PRECEDING) + weight) AS lvl
   FROM weighted),
 targets AS (
-  SELECT source, source_size, coalesce(least(cap, weight *
+  SELECT source, nr, source_size, coalesce(least(cap, weight *
     (SELECT arg_min(lvl, (cap / weight, nr)) FROM levels WHERE lvl * weight <= cap)), cap) AS target FROM levels),
-placed AS (
-  SELECT s.doc_id, s.source, s.size, t.source_size, t.target,
+spans AS (
+  SELECT nr, CAST(floor(target) AS BIGINT) AS goal, CAST(ceil(floor(target) / {block_words}) AS BIGINT) AS need FROM targets),
+ends AS (SELECT *, CAST(sum(need) OVER (ORDER BY nr) AS BIGINT) AS upto FROM spans WHERE need > 0),
+bits AS (SELECT CAST(ceil(log2(coalesce(max(upto), 1))) AS INT) AS k FROM ends),
+points AS (
+  SELECT slot, k, coalesce(list_sum(list_transform(range(k), lambda j: ((slot >> j) & 1) << (k - 1 - j))), 0) AS x
+  FROM (SELECT k, unnest(range(CAST(1 AS BIGINT) << k)) AS slot FROM bits)),
+slots AS (
+  SELECT slot, nr, goal, row_number() OVER (PARTITION BY nr ORDER BY slot) - 1 AS rank
+  FROM points JOIN ends ON x >= upto - need AND x < upto),
+placed AS MATERIALIZED (
+  SELECT s.doc_id, s.source, s.size, t.nr, t.source_size, t.target, row_number() OVER () AS row,
          sum(s.size) OVER (PARTITION BY s.source ORDER BY h, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - s.size AS start
-  FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, source, size, source_size, target, CAST(
-  greatest(0, least(start + size, floor(target)) - start)
-  + greatest(0, least(start + source_size + size, floor(target)) - start - source_size) AS BIGINT) AS taken
-FROM placed"""
+  FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+blocks AS (
+  SELECT row, nr, start + turn * source_size AS lo, start + turn * source_size + size AS hi,
+         unnest(range(CAST(start + turn * source_size AS BIGINT) // {block_words}, CAST(start + turn * source_size + size - 1 AS BIGINT) // {block_words} + 1)) AS rank
+  FROM placed, (SELECT unnest([0, 1]) AS turn) WHERE size > 0),
+pieces AS (
+  SELECT row, slot, least(hi, rank * {block_words} + least({block_words}, goal - rank * {block_words})) - greatest(lo, rank * {block_words}) AS words
+  FROM blocks JOIN slots USING (nr, rank)),
+found AS (SELECT row, sum(words) AS taken, min(slot) AS first_slot, count(*) AS n_slots FROM pieces WHERE words > 0 GROUP BY row)
+SELECT doc_id, source, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, first_slot, coalesce(n_slots, 0) AS n_slots
+FROM placed LEFT JOIN found USING (row)"""
