@@ -316,6 +316,7 @@ def test_merkle_edits_and_order(docs, corpus, empty, monkeypatch):
         row = got.loc[i]
         assert row.edited_sha256 == hashlib.sha256(new.encode()).hexdigest() and row.n_chars == len(text[i])
         assert row.fingerprint == merkle.fingerprint(text[i]) and row.edited_fingerprint == merkle.fingerprint(new)
+        assert row.near_edited == pytest.approx(brute_likeness(text[i], new), abs=0.01) and row.near_next == pytest.approx(brute_likeness(text[i], nxt), abs=0.01)
         assert (row.near_next == 1) == (nxt == text[i])
     assert merkle.fingerprints(empty).count() == 0
     assert merkle.fingerprints(docs.where('doc_id = 0')).first().near_next == 1.0
@@ -330,6 +331,77 @@ def test_merkle_branches_locate_edits():
     assert len(merkle.differences(a, b)) == 1 and 0.9 < merkle.likeness(a, b) < 1 and merkle.differences(a, a) == []
 
 
+def brute_tree(text):
+    """Leaves of each paragraph, paragraphs of each section, by splitting."""
+    sections, section = [], []
+    leaves = re.findall(r"[^.!?;|\n]{1,48}[.!?;|\n]*|[.!?;|\n]+", text)
+    hashes = [f"{xxhash.xxh32_intdigest(x.encode()):08x}" for x in leaves]
+    paragraph = []
+    for k, x in enumerate(leaves):
+        paragraph.append(hashes[k])
+        if x[-1] == "\n" or k == len(leaves) - 1:
+            section.append(tuple(paragraph))
+            ends = x[-1] == "\n" and xxhash.xxh32_intdigest("".join(paragraph)) % 4 == 0
+            paragraph = []
+            if ends or k == len(leaves) - 1:
+                sections.append(tuple(section))
+                section = []
+    return sections
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    x, y = brute_tree(a), brute_tree(b)
+    count = lambda t: sum(len(p) for s in t for p in s)
+    total, common = count(x) + count(y), 0
+    for level in range(3):
+        weigh = (lambda s: sum(map(len, s)), len, lambda leaf: 1)[level]
+        x_left = list(x)
+        y_left = []
+        for node in y:
+            if node in x_left:
+                x_left.remove(node)
+                common += weigh(node)
+            else:
+                y_left.append(node)
+        x, y = x_left, y_left
+        if level < 2:
+            x, y = ([inner for node in t for inner in node] for t in (x, y))
+    return 2 * common / total if total else 0.0
+
+
+def test_merkle_likeness_by_the_tree():
+    lines = [prose(own) + e for own, e in zip(rng.choices(range(1, 25), k=60), rng.choices([".\n", "\n", "; ", "!\n"], k=60))]
+    texts = ["".join(lines[:k] + lines[j:]) for k, j in ((60, 60), (10, 30), (30, 10), (0, 5), (5, 40))] + ["", "a", "\n\n", "".join(lines[::-1])]
+    for a in texts:
+        for b in texts:
+            assert merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(b)) == pytest.approx(brute_likeness(a, b), abs=0.01)
+
+
+def test_merkle_equal_nodes_are_not_descended_into():
+    """A node's hash decides: what stands below equal nodes is never looked at."""
+    a = merkle.fingerprint("".join(prose(12) + ".\n" for _ in range(40)))
+    root, _, tree = a.partition(":")
+    sections = tree.split("/")
+    sections[0] = sections[0][: merkle.NODE + 1] + re.sub("[0-9a-f]", "0", sections[0][merkle.NODE + 1 :])
+    b = "0" * 32 + ":" + "/".join(sections)
+    assert len(sections) > 2 and merkle.likeness(a, b) == 1.0 and merkle.differences(a, b) == []
+    sections[0] = "0" * merkle.NODE + sections[0][merkle.NODE :]
+    assert merkle.likeness(a, "0" * 32 + ":" + "/".join(sections)) < 1.0
+
+
+def test_merkle_splits_hot_and_missing_ids(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "BUCKET_ROWS", 5)
+    rows = [(7, f"seven {i}") for i in range(40)] + [(None, f"none {i}") for i in range(40)] + [(i, f"row {i}") for i in range(20)] + [(None, None), (3, "x" * 300_000), (3, "x" * 300_000)]
+    got = merkle.fingerprints(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, bucket int, h int")).toPandas()
+    assert len(got) == len(rows) and sorted(got.n_chars) == sorted(len(t or "") for _, t in rows)
+    nexts = {hashlib.sha256((t[: len(t) - len(t) // 3] + u[: len(t) // 3]).encode()).hexdigest() for _, t in rows if t for _, u in rows for u in [u or ""]}
+    assert got[got.n_chars > 0].edited_sha256.isin(nexts).all()
+    whole = [(r.doc_id, r.fingerprint) for r in got.itertuples()]
+    assert len(set(whole)) == len({(i, t or "") for i, t in rows})
+
+
 def brute_fingerprint(text):
     w = SPACED(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not w:

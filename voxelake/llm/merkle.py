@@ -2,10 +2,10 @@
 
 A paragraph is a line; a section ends with a paragraph whose hash is a multiple of four, so
 that an edit moves only the section it is in; a paragraph's leaves are its clauses.  The
-fingerprint is the root (128 bits) followed by the leaves, bracketed as they stand in the
-tree; the hashes of sections and paragraphs follow from their leaves.  Equal roots mean
-equal texts, differing branches say where an edit is, and the share of common leaves is the
-likeness of two fingerprints.
+fingerprint is the root (128 bits) followed by the tree: each section's and paragraph's hash
+(32 bits) before what it holds, and the leaves' (20 bits).  Two fingerprints are compared
+from the root down: equal roots mean equal texts, equal nodes count whole, and only branches
+that differ are descended into.  The share of leaves under equal nodes is the likeness.
 """
 
 from __future__ import annotations
@@ -24,37 +24,39 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-#: A leaf ends with punctuation, a line end, or after this many characters.
-LEAF_CHARS = 32
+#: A leaf ends with the end of a sentence or a line, or after this many characters.
+LEAF_CHARS = 48
+#: Hex digits of a section's or paragraph's hash, and of a leaf's.
+NODE, LEAF = 8, 5
 SECTION_EVERY = 4
 #: Documents that one range bucket should hold, and the most buckets.
 BUCKET_ROWS = 4000
 MOST_BUCKETS = 65_536
 
-_leaves = re.compile(r"[^.!?,;:|\n]{1,%d}[.!?,;:|\n]*|[.!?,;:|\n]+" % LEAF_CHARS).findall
-_digest = xxhash.xxh3_64_intdigest
+_leaves = re.compile(r"[^.!?;|\n]{1,%d}[.!?;|\n]*|[.!?;|\n]+" % LEAF_CHARS).findall
+_digest = xxhash.xxh32_intdigest
 
 
 def fingerprint(text: str) -> str:
-    """``root:section/section...``; paragraphs of a section are joined by ``,`` and the leaves
-    of a paragraph, eight hex digits each, stand side by side."""
+    """``root:section/section...``; a section is its hash, ``=`` and its paragraphs joined by
+    ``,``; a paragraph is its hash and its leaves' side by side."""
     sections, paragraphs, leaves, nodes, branch = [], [], [], [], []
 
     def close_paragraph() -> bool:
         node = _digest("".join(leaves))
-        paragraphs.append("".join(leaves))
-        branch.append(f"{node:016x}")
+        branch.append(f"{node:08x}")
+        paragraphs.append(branch[-1] + "".join(leaf[:LEAF] for leaf in leaves))
         leaves.clear()
         return node % SECTION_EVERY == 0
 
     def close_section() -> None:
-        nodes.append(f"{_digest(''.join(branch)):016x}")
-        sections.append(",".join(paragraphs))
+        nodes.append(f"{_digest(''.join(branch)):08x}")
+        sections.append(f"{nodes[-1]}={','.join(paragraphs)}")
         paragraphs.clear()
         branch.clear()
 
     for leaf in _leaves(text):
-        leaves.append(f"{xxhash.xxh32_intdigest(leaf.encode('utf-8', 'surrogatepass')):08x}")
+        leaves.append(f"{_digest(leaf.encode('utf-8', 'surrogatepass')):08x}")
         if leaf[-1] == "\n" and close_paragraph():
             close_section()
     if leaves:
@@ -65,33 +67,61 @@ def fingerprint(text: str) -> str:
     return f"{root}:{'/'.join(sections)}"
 
 
-def _tree(fp: str) -> list[list[str]]:
-    body = fp.partition(":")[2]
-    return [s.split(",") for s in body.split("/")] if body else []
+def _sections(fp: str) -> list[tuple[str, str]]:
+    """The sections of a fingerprint: hash, paragraphs."""
+    return [(s[:NODE], s[NODE + 1 :]) for s in fp[33:].split("/")] if len(fp) > 33 else []
 
 
-def _leaf_counts(fp: str) -> Counter:
-    flat = fp.partition(":")[2].replace("/", "").replace(",", "")
-    return Counter(flat[i : i + 8] for i in range(0, len(flat), 8))
+def _paragraphs(section: str) -> list[tuple[str, str]]:
+    """The paragraphs of a section: hash, leaves."""
+    return [(p[:NODE], p[NODE:]) for p in section.split(",")]
+
+
+def _weight(inner: str) -> int:
+    """Number of leaves of a section's paragraphs."""
+    paragraphs = inner.count(",") + 1
+    return (len(inner) - paragraphs * (NODE + 1) + 1) // LEAF
+
+
+def _apart(a: list[tuple[str, str]], b: list[tuple[str, str]]) -> tuple[list[str], list[str], list[str]]:
+    """What nodes of equal hash hold, and what the others of ``a`` and of ``b`` hold."""
+    open_b, same, only_a, only_b = Counter(h for h, _ in b), [], [], []
+    for h, inner in a:
+        if open_b[h]:
+            open_b[h] -= 1
+            same.append(inner)
+        else:
+            only_a.append(inner)
+    for h, inner in reversed(b):
+        if open_b[h]:
+            open_b[h] -= 1
+            only_b.append(inner)
+    return same, only_a, only_b[::-1]
 
 
 def likeness(a: str, b: str) -> float:
-    """1 for equal roots, else twice the common leaves over all leaves of both."""
+    """1 for equal roots, else twice the leaves under equal nodes over all leaves of both."""
     if a[:32] == b[:32]:
         return 1.0
-    x, y = _leaf_counts(a), _leaf_counts(b)
-    total = sum(x.values()) + sum(y.values())
-    return 2 * sum((x & y).values()) / total if total else 0.0
+    x, y = _sections(a), _sections(b)
+    total = sum(_weight(inner) for _, inner in x + y)
+    same, x_only, y_only = _apart(x, y)
+    common = sum(map(_weight, same))
+    same, x_only, y_only = _apart([p for s in x_only for p in _paragraphs(s)], [p for s in y_only for p in _paragraphs(s)])
+    common += sum(map(len, same)) // LEAF
+    leaves = lambda branches: Counter(p[i : i + LEAF] for p in branches for i in range(0, len(p), LEAF))
+    common += sum((leaves(x_only) & leaves(y_only)).values())
+    return 2 * common / total if total else 0.0
 
 
 def differences(a: str, b: str) -> list[tuple[int, int]]:
     """Where ``b`` has branches that ``a`` has not: (section, paragraph) numbers in ``b``.  Sections
-    that are equal as a whole are not descended into."""
+    of equal hash are not descended into."""
     if a[:32] == b[:32]:
         return []
-    old = _tree(a)
-    sections, paragraphs = {",".join(s) for s in old}, {p for s in old for p in s}
-    return [(i, j) for i, s in enumerate(_tree(b)) if ",".join(s) not in sections for j, p in enumerate(s) if p not in paragraphs]
+    old = _sections(a)
+    sections, paragraphs = {h for h, _ in old}, {h for _, s in old for h, _ in _paragraphs(s)}
+    return [(i, j) for i, (h, s) in enumerate(_sections(b)) if h not in sections for j, (p, _) in enumerate(_paragraphs(s)) if p not in paragraphs]
 
 
 def edited(text: str, following: str) -> str:
@@ -128,34 +158,39 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     ``near_edited``, ``near_next`` for every row of ``documents``.
 
     The next document is the one of next smaller doc_id (after the last: the first); null
-    ids come last, rows of equal id are ordered by text, and a single row is its own next.
-    Null texts are empty.  Other columns are ignored; an empty table gives an empty result.
-
-    Documents are dealt into ranges of ids, whose bounds are quantiles over all ids; a
-    range's last document finds its next one in a copy of the following range's first
-    document (all rows of that id), so the texts are shuffled once.
+    ids come last, rows of equal id are ordered by their text's hash, and a single row is its
+    own next.  Null texts are empty.  Other columns are ignored; an empty table gives an empty
+    result.
+
+    Documents are dealt into ranges of (id, hash of text), whose bounds are quantiles over all
+    ids; an id that is several quantiles, or no id, is split by the hash.  A range's last
+    document finds its next one in a copy of the following range's first document, so the
+    texts are shuffled once.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ids = docs.select("doc_id")
-    n = ids.count()
-    buckets = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    ids = docs.select("doc_id", "h")
+    n, known = ids.agg(F.count(F.lit(1)), F.count("doc_id")).first()
+    buckets = max(1, min(MOST_BUCKETS, known // BUCKET_ROWS))
     cuts = [i / buckets for i in range(1, buckets)]
-    bounds = np.array(sorted(set(ids.agg(F.percentile_approx("doc_id", cuts, 10 * MOST_BUCKETS).alias("b")).first().b or [])), np.int64) if cuts else np.zeros(0, np.int64)
+    bounds = np.array(sorted(ids.agg(F.percentile_approx("doc_id", cuts, 10 * MOST_BUCKETS).alias("b")).first().b or []) if cuts else [], np.int64)
+    without = max(1, min(MOST_BUCKETS, (n - known) // BUCKET_ROWS))
 
     @F.pandas_udf("int")
-    def bucket_of(doc_id: pd.Series) -> pd.Series:
-        known = doc_id.notna().to_numpy()
-        place = len(bounds) - np.searchsorted(bounds, doc_id.fillna(0).astype("int64").to_numpy(), side="left")
-        return pd.Series(np.where(known, place, len(bounds) + 1).astype(np.int32))
-
-    bucket: Column = bucket_of("doc_id") if len(bounds) else F.when(F.col("doc_id").isNull(), 1).otherwise(0)
-    first = sorted((r.bucket, r.first) for r in ids.withColumn("bucket", bucket).groupBy("bucket").agg(F.max("doc_id").alias("first")).collect())  # a row a bucket
-    heads = [(f, first[k - 1][0]) for k, (_, f) in enumerate(first)]
-    heads = F.broadcast(spark.createDataFrame(heads, "head long, guest_of int"))
-    dealt = docs.withColumn("bucket", bucket).join(heads, F.col("doc_id").eqNullSafe(F.col("head")), "left")
+    def bucket_of(doc_id: pd.Series, h: pd.Series) -> pd.Series:
+        has_id, values = doc_id.notna().to_numpy(), doc_id.fillna(0).astype("int64").to_numpy()
+        share = (h.to_numpy() >> 32) + (1 << 31)  # of 2**32
+        first, last = (np.searchsorted(bounds, values, side) for side in ("left", "right"))
+        place = len(bounds) - first - (share * (last - first) >> 32)
+        return pd.Series(np.where(has_id, place, len(bounds) + without - (share * without >> 32)).astype(np.int32))
+
+    bucket: Column = bucket_of("doc_id", "h")
+    head = F.max(F.struct(F.col("doc_id").isNotNull(), "doc_id", "h"))
+    first = sorted((r.bucket, r.first.doc_id, r.first.h) for r in ids.withColumn("bucket", bucket).groupBy("bucket").agg(head.alias("first")).collect())  # a row a bucket
+    heads = F.broadcast(spark.createDataFrame([(i, h, first[k - 1][0]) for k, (_, i, h) in enumerate(first)], "head long, head_h long, guest_of int"))
+    dealt = docs.withColumn("bucket", bucket).join(heads, F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("h") == F.col("head_h")), "left")
     own = F.array(F.struct("bucket", F.lit(False).alias("guest")))
     places = F.when(F.col("guest_of").isNull(), own).otherwise(F.concat(own, F.array(F.struct(F.col("guest_of").alias("bucket"), F.lit(True).alias("guest")))))
-    rows = dealt.select("doc_id", "text", F.explode(places).alias("at")).select("doc_id", "text", "at.bucket", "at.guest")
-    ordered = rows.repartition(max(1, len(first)), "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), "text")
+    rows = dealt.select("doc_id", "h", "text", F.explode(places).alias("at")).select("doc_id", "h", "text", "at.bucket", "at.guest")
+    ordered = rows.repartitionById(max(1, len(first)), F.col("bucket") % max(1, len(first))).sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), F.col("h").desc(), "text")
     return ordered.select("bucket", "guest", "doc_id", "text").mapInArrow(_pairs, f"doc_id long, {OUT}")
