@@ -187,6 +187,11 @@ def test_substring_dedup_meets_sql(docs, corpus, empty):
     got = substring.digest(substring.remove_repeats(docs)).toPandas()
     same(got, from_sql(substring.repeats_sql(), documents=frame(corpus)))
     assert got.n_removed.sum() > 500
+    spans = substring.remove_repeats(docs).toPandas().set_index("doc_id")
+    for doc_id, text, *_ in corpus:
+        row = spans.loc[doc_id]
+        assert SPACED(row.cut) == row.kept.split(" " if row.kept else None) and (row.n_removed or row.cut == (text or ""))
+        assert row.cut.count("\n") >= (text or "").count("\n") - row.n_removed
     assert substring.remove_repeats(empty).count() == 0
 
 
@@ -204,6 +209,14 @@ def test_substring_repeated_and_null_ids(spark):
     assert sorted(got.n_removed) == [0, 0, 0, 40, 80]
 
 
+def test_substring_of_very_long_and_null_rows(spark):
+    a, long = prose(40), "same " * 60_000 + "x" * 300_000
+    rows = [(1, "first line\n" + a + "\n last  line\n"), (2, "head\n" + a + "\n tail  line\n"), (3, long), (4, None), (None, "")]
+    got = substring.remove_repeats(spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, ord int, key int, s int")).toPandas().set_index("doc_id")
+    assert got.cut[1] == rows[0][1] and got.cut[2] == "head\ntail  line\n" and got.n_removed[2] == 40
+    assert got.n_removed[3] == 60_000 - 1 and got.cut[3] == "same " + "x" * 300_000 and got.n_words[4] == 0
+
+
 def test_automaton_statistics_are_longest_matches():
     refs = [[rng.choice("abc") for _ in range(30)] for _ in range(4)]
     auto = substring.SuffixAutomaton()

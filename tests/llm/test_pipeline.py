@@ -1,5 +1,7 @@
 """The pipeline against the same stages by SQL and brute force, and its contract."""
 
+import re
+
 import duckdb
 import pandas as pd
 import pytest
@@ -8,7 +10,7 @@ from test_operators_llm import brute_components, brute_fingerprint
 
 import __spark_entry__
 import corpus_pipeline
-from voxelake.llm import decontaminate, mixing, substring, toxicity
+from voxelake.llm import decontaminate, mixing, toxicity
 
 
 def sql(query, **tables):
@@ -18,6 +20,22 @@ def sql(query, **tables):
     return con.sql(query).df()
 
 
+def brute_cut(texts):
+    """Texts in order of their ids without words of windows that start earlier; how many went."""
+    first, out, gone = {}, [], []
+    for k, text in enumerate(texts):
+        found = list(re.finditer(r"[^\x20\x09-\x0D]+", text or ""))
+        words, cover = [m[0] for m in found], set()
+        for i in range(len(words) - 19):
+            if first.setdefault(tuple(words[i : i + 20]), (k, i)) != (k, i):
+                cover |= set(range(i, i + 20))
+        ends = [m.start() for m in found[1:]] + [len(text or "")]
+        lead = text[: found[0].start()] if found else text
+        out.append(lead + "".join(text[m.start() : e] for j, (m, e) in enumerate(zip(found, ends)) if j not in cover) if cover else text)
+        gone.append(len(cover))
+    return out, gone
+
+
 def test_pipeline_meets_brute_force(spark):
     raw = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
@@ -26,14 +44,13 @@ def test_pipeline_meets_brute_force(spark):
     docs = docs[docs.doc_id.map(score) < toxicity.REJECT].sort_values("doc_id").reset_index(drop=True)
     low = brute_components([brute_fingerprint(t) for t in docs.text])
     docs = docs[[low[i] == i for i in range(len(docs))]]
-    lost = sql(substring.repeats_sql().replace("sha256(coalesce(t, ''))", "coalesce(t, '')"), documents=docs).set_index("doc_id")
-    gone = docs.doc_id.map(lost.n_removed) > 0
-    docs["text"] = docs.text.where(~gone, docs.doc_id.map(lost.kept_sha256))
+    texts, gone = brute_cut(docs.text)
+    docs["text"] = texts
     bad = sql(decontaminate.contamination_sql(), documents=docs, benchmark=pd.read_parquet(f"{SF}/benchmark.parquet"))
     docs = docs[docs.doc_id.map(bad.set_index("doc_id").contaminated) == False]  # noqa: E712
     want = sql(mixing.taken_sql(), documents=docs).sort_values("doc_id").reset_index(drop=True)
     got = corpus_pipeline.run(spark, SF).toPandas().sort_values("doc_id").reset_index(drop=True)
-    assert len(got) < 200 and gone.any()
+    assert len(got) < 200 and any(gone)
     pd.testing.assert_frame_equal(got[sorted(want)], want[sorted(want)], check_dtype=False)
 
 

@@ -20,6 +20,7 @@ corpus, so passages are routed to the shards they can match instead:
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, spaced_words, staged, texts
+from .common import SPACED_WORD, slices, spaced_words, staged, texts
 
 WINDOW = 20
 GRAM = 5
@@ -42,6 +43,9 @@ _BASE = np.uint64(xxhash.xxh64_intdigest("base") | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
+_words = re.compile(SPACED_WORD).finditer
+
+
 class _WordHashes(dict):
     """Hash of each word, remembered for the words in use."""
 
@@ -275,7 +279,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Unite a document's spans and take their words out."""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
     for b in slices(batches):
-        n_words, n_removed, removed, kept = [], [], [], []
+        n_words, n_removed, removed, kept, cut = [], [], [], [], []
         for text, found in zip(texts(b), b.column("found").to_pylist()):
             words = spaced_words(text)
             spans: list[list[int]] = []
@@ -293,7 +297,18 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_removed.append(len(words) - len(rest))
             removed.append([{"start": s, "stop": e} for s, e in spans])
             kept.append(" ".join(rest))
-        yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.string())], names=["row", "n_words", "n_removed", "removed", "kept"])
+            cut.append(_cut_out(text, spans) if spans else text)
+        yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.string()), pa.array(cut, pa.string())], names=["row", "n_words", "n_removed", "removed", "kept", "cut"])
+
+
+def _cut_out(text: str, spans: list[list[int]]) -> str:
+    """A text without the words of ``spans``, each with the white space behind it."""
+    at = [m.start() for m in _words(text)] + [len(text)]
+    out, last = [], 0
+    for s, e in spans:
+        out.append(text[last : at[s]])
+        last = at[e]
+    return "".join([*out, text[last:]])
 
 
 def frequent(rows: DataFrame, column: str, more_than: int) -> list[int]:
@@ -305,7 +320,8 @@ def frequent(rows: DataFrame, column: str, more_than: int) -> list[int]:
 
 def remove_repeats(documents: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``columns`` (default: doc_id), ``n_words``, ``n_removed``, ``removed`` (maximal word spans), ``kept`` (the other
-    words joined by one space) for every row of ``documents``.
+    words joined by one space), ``cut`` (the text without the removed words, line ends and all other
+    white space as they were) for every row of ``documents``.
 
     A word goes if a window of 20 consecutive words covers it whose word sequence also starts
     earlier: in a smaller doc_id, or earlier in the same document.  A null doc_id counts as
@@ -346,8 +362,8 @@ def remove_repeats(documents: DataFrame, columns: list[str] | None = None) -> Da
     later = windows.join(first, ["key", "key2"]).where((F.col("ord") != F.col("first.ord")) | (F.col("s") != F.col("first.s"))).select("ord", "th", "s", (F.col("s") + WINDOW).alias("e"))
     spans = found.union(matched).union(later).groupBy("ord", "th").agg(F.collect_list(F.struct("s", "e")).alias("found"))
     row = docs.schema["row"].dataType.simpleString()
-    kept = docs.join(spans, ["ord", "th"], "left").select("row", "text", "found").mapInArrow(_apply, f"row {row}, n_words long, n_removed long, removed array<struct<start: int, stop: int>>, kept string")
-    return kept.select("row.*", "n_words", "n_removed", "removed", "kept")
+    kept = docs.join(spans, ["ord", "th"], "left").select("row", "text", "found").mapInArrow(_apply, f"row {row}, n_words long, n_removed long, removed array<struct<start: int, stop: int>>, kept string, cut string")
+    return kept.select("row.*", "n_words", "n_removed", "removed", "kept", "cut")
 
 
 def digest(kept: DataFrame) -> DataFrame:
