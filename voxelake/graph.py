@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import staged
 
 
+def roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Smallest member of the component of each of ``n`` nodes, for links of one block of data, by
+    hooking and pointer jumping."""
+    root = np.arange(n)
+    while len(left):
+        a, b = root[left], root[right]
+        apart = a != b
+        left, right, a, b = left[apart], right[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(jumped := root[root], root):
+            root = jumped
+    return root
+
+
 def _sums(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 

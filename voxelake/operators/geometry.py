@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -169,3 +170,45 @@ def to_vector(r: Raster) -> Raster:
     rows = rows.select("image_id", *[F.col(b).alias(a) for a, b in zip(AXES, rest)], "v")
     g = r.geometry
     return Raster(rows, Geometry(g.size[1:], g.spacing[1:], g.origin[1:]), r.pixel)
+
+
+# Orientation: each axis of the grid points to one of left/right, posterior/anterior, superior/inferior.
+
+_TOWARDS = (("L", "R"), ("P", "A"), ("S", "I"))
+
+
+def orientation_of(direction: Sequence[Sequence[float]]) -> str:
+    """Three letters for a direction matrix: where each axis of the grid points (``LPS``: identity).
+    The largest cosines are assigned first, each anatomical axis once."""
+    m, code = np.array(direction, float), [""] * 3
+    free = np.ones((3, 3), bool)
+    for _ in range(3):
+        i, j = np.unravel_index(np.argmax(np.where(free, np.abs(m), -1)), (3, 3))
+        code[j] = _TOWARDS[i][0 if m[i, j] >= 0 else 1]
+        free[i, :] = free[:, j] = False
+    return "".join(code)
+
+
+def direction_of(code: str) -> tuple[tuple[float, ...], ...]:
+    """The direction matrix of three orientation letters."""
+    if len(code) != 3 or sorted(_axis_of(c) for c in code) != [0, 1, 2]:
+        raise ValueError(f"{code} names no orientation")
+    m = np.zeros((3, 3))
+    for j, c in enumerate(code):
+        m[_axis_of(c), j] = 1.0 if c == _TOWARDS[_axis_of(c)][0] else -1.0
+    return tuple(map(tuple, m.tolist()))
+
+
+def _axis_of(letter: str) -> int:
+    return next((i for i, pair in enumerate(_TOWARDS) if letter in pair), -1)
+
+
+def dicom_orient(r: Raster, code: str = "LPS") -> tuple[Raster, tuple[int, ...], tuple[str, ...]]:
+    """Axes permuted and flipped to the orientation ``code``; the order of the old axes and the
+    flipped ones of the new.  Voxels keep their physical points."""
+    direction_of(code)
+    have = orientation_of(r.geometry.direction)
+    order = tuple(next(k for k, c in enumerate(have) if _axis_of(c) == _axis_of(want)) for want in code)
+    turned = tuple(a for a, k, want in zip(r.axes, order, code) if have[k] != want)
+    out = permute_axes(r, order)
+    return flip(out, turned) if turned else out, order, turned

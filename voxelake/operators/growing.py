@@ -20,19 +20,18 @@ def _at(r: Raster, seeds: Sequence[Sequence[int]]) -> Column:
 
 
 def confidence_connected(r: Raster, seeds: Sequence[Sequence[int]], multiplier: float = 2.5, iterations: int = 4, radius: int = 1) -> Raster:
-    """Grow within mean +- multiplier * sigma of the region, starting from the seeds' boxes."""
+    """Grow within mean +- multiplier * sigma of the image's own region, starting from the seeds' boxes."""
     near = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.abs(F.col(x) - i) <= radius for x, i in zip(r.axes, s)]) for s in seeds])
     v = F.col("v").cast("double")
-    stats = lambda rows: rows.agg(F.avg(v), F.coalesce(F.stddev_samp(v), F.lit(0.0))).first()
-    mean, sigma = stats(r.df.where(near))
-    region = None
+    stats = lambda rows: rows.groupBy("image_id").agg(F.avg(v).alias("m"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("d"))
+    bounds, region = stats(r.df.where(near)), None
     for _ in range(iterations + 1):
-        region = connected_threshold(r, seeds, mean - multiplier * sigma, mean + multiplier * sigma)
+        reach = multiplier * F.col("d")
+        inside = r.df.join(bounds, "image_id").withColumn("v", F.when(v.between(F.col("m") - reach, F.col("m") + reach), 1).otherwise(0))
+        region = connected_threshold(r.with_rows(inside, pixel="uint8"), seeds, 1, 1)
         region = region.with_rows(staged(region.df))
-        inside = r.zip(region).where("v1 = 1").select(F.col("v0").alias("v"))
-        mean, sigma = stats(inside)
-        if mean is None:
-            break
+        bounds = stats(r.zip(region).where("v1 = 1").select("image_id", F.col("v0").alias("v")))
+        bounds = staged(region.df.select("image_id").distinct().join(bounds, "image_id", "left"))
     return region
 
 
@@ -76,13 +75,12 @@ def watershed_from_markers(r: Raster, markers: Raster) -> Raster:
         best = F.when(F.col("fixed"), own).otherwise(F.least(own, via("low"), via("high")))
         return df.withColumn("b", best).withColumn("p", F.col("b.p")).withColumn("d", F.col("b.d")).withColumn("l", F.col("b.l")).drop("b")
 
-    now, seen = staged(rows), None
+    now = staged(rows)
     while True:
-        now = staged(_sweep(now, r, better, ("p", "d", "l")))
-        mark = tuple(now.agg(F.count_if(F.col("l") != 0), F.sum(F.when(F.col("l") != 0, F.col("p"))), F.sum(F.when(F.col("l") != 0, F.col("d").cast("long"))), F.sum("l")).first())
-        if mark == seen:
+        now = staged(_sweep(now.withColumn("before", F.struct("p", "d", "l")), r, better, ("p", "d", "l")))
+        if now.where(~F.struct("p", "d", "l").eqNullSafe(F.col("before"))).isEmpty():  # NaN equals NaN
             return r.with_rows(now.select(*r.keys, F.col("l").alias("v")), pixel="uint32")
-        seen = mark
+        now = now.drop("before")
 
 
 def watershed(r: Raster, level: float = 0) -> Raster:
@@ -96,7 +94,7 @@ def watershed(r: Raster, level: float = 0) -> Raster:
     return watershed_from_markers(r, connected_component(minima))
 
 
-def _upwind(df, speed: Raster, stop: float):
+def _upwind(df, speed: Raster, stop: float, keep: Sequence[str] = ()):
     """One update of all arrival times ``t`` from the axis neighbours' (front speed ``f``)."""
     inf = float("inf")
     h = speed.geometry.spacing
@@ -115,7 +113,7 @@ def _upwind(df, speed: Raster, stop: float):
             known = reduce(lambda x, y: x & y, [x < inf for x in n])
             upwind = reduce(lambda x, y: x & y, [root >= x for x in n])
             best = F.least(best, F.when(known & (disc >= 0) & upwind & (F.col("f") > 0) & (root <= stop), root).otherwise(inf))
-    return df.select(*speed.keys, "f", best.alias("t"))
+    return df.select(*speed.keys, "f", best.alias("t"), *keep)
 
 
 def fast_marching(speed: Raster, seeds: Sequence[Sequence[int]], stop: float = float("inf"), sweeps: int = 8) -> Raster:
@@ -123,13 +121,12 @@ def fast_marching(speed: Raster, seeds: Sequence[Sequence[int]], stop: float = f
     time falls any more, ``sweeps`` updates to a staged round.  Zero speed is never reached."""
     inf = float("inf")
     rows = staged(speed.df.select(*speed.keys, F.col("v").cast("double").alias("f"), F.when(_at(speed, seeds), 0.0).otherwise(inf).alias("t")))
-    reached = None
     while True:
-        df = rows
+        df = rows.withColumn("before", F.col("t"))
         for _ in range(sweeps):
-            df = _upwind(df, speed, stop)
+            df = _upwind(df, speed, stop, ["before"])
         rows = staged(df)
-        now = tuple(rows.where(F.col("t") < inf).agg(F.count(F.lit(1)), F.round(F.sum("t"), 9)).first())
-        if now == reached:
+        fell = (F.col("t") < inf) & ~(F.col("before") - F.col("t") <= 1e-12 * (1 + F.abs("t")))
+        if rows.where(fell).isEmpty():
             return Raster(rows.select(*speed.keys, F.col("t").alias("v")), speed.geometry, PIXELS["float64"])
-        reached = now
+        rows = rows.drop("before")

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..graph import connected_components
+from ..graph import connected_components, roots
 from ..raster import AXES, PIXELS, Raster, grid
 from ..staging import staged
 from .pixelwise import label_overlay, label_to_rgb
@@ -25,29 +28,68 @@ def _number(rows: DataFrame, r: Raster, by: str) -> DataFrame:
     return rows.join(ranked.select("image_id", by, "label"), ["image_id", by])
 
 
-def _components(r: Raster, inside: DataFrame, joins: Column, fully_connected: bool) -> DataFrame:
+#: Voxels of a tile whose components one task finds at a time.
+TILE_VOXELS = 1 << 16
+Alike = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _offsets(dim: int, fully_connected: bool) -> list[tuple[int, ...]]:
+    """The half of the neighbours that lies ahead, as steps along the axes."""
+    ahead = [o for o in itertools.product((-1, 0, 1), repeat=dim) if o > (0,) * dim]
+    return [o[::-1] for o in ahead if fully_connected or sum(map(abs, o)) == 1]
+
+
+def _tile_roots(axes: Sequence[str], size: Sequence[int], side: int, offsets: Sequence[Sequence[int]], alike: Alike | None):
+    """For the voxels of one tile: the smallest raster position of each one's component."""
+
+    def find(tile: pa.Table) -> pa.Table:
+        at = [tile.column(a).to_numpy() for a in axes]
+        near = [a % side for a in at]
+        values = np.array(tile.column("v").to_pylist(), float) if alike else None
+        place = np.full([side + 2] * len(axes), -1, np.int64)
+        place[tuple(a + 1 for a in near)] = np.arange(tile.num_rows)
+        links = []
+        for o in offsets:
+            other = place[tuple(a + 1 + k for a, k in zip(near, o))]
+            own = np.flatnonzero(other >= 0)
+            other = other[own]
+            if alike:
+                joined = alike(values[own], values[other])
+                own, other = own[joined], other[joined]
+            links.append((own, other))
+        pos = np.zeros(tile.num_rows, np.int64)
+        for a, n in zip(reversed(at), reversed(size)):
+            pos = pos * n + a
+        order = np.argsort(pos)
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        left, right = (rank[np.concatenate(x)] for x in zip(*links))
+        ident = tile.column("image_id").to_numpy() * int(np.prod(size)) + pos
+        return tile.append_column("run", pa.array(ident[order[roots(len(pos), left, right)[rank]]]))
+
+    return find
+
+
+def _components(r: Raster, inside: DataFrame, joins: Column, fully_connected: bool, alike: Alike | None = None) -> DataFrame:
     """Keys and ``root`` of voxels of ``inside``; neighbours are linked where ``joins`` holds
-    between a voxel's ``v`` and its neighbour's ``w``.
+    between a voxel's ``v`` and its neighbour's ``w`` (``alike``: the same on arrays, None for
+    a rule that always holds).
 
-    Voxels of a line that touch are first merged into runs by a window, so that the graph
-    has a node for each run.
+    Tiles find their own components, a bounded block of voxels at a time; only links across
+    tile borders, between these components, go to the search over all.
     """
-    ident = F.col("image_id") * r.geometry.count + r.pos
-    line = r.line("x")
-    rows = inside.withColumn("w", F.lag("v").over(line)).withColumn("px", F.lag("x").over(line))
-    linked = (F.col("px") == F.col("x") - 1) & joins
-    rows = rows.withColumn("id", ident).withColumn("run", F.max(F.when(F.coalesce(linked, F.lit(False)), None).otherwise(F.col("id"))).over(line))
-    rows = staged(rows.select(*r.keys, "v", "run"))
-    rest = [o for o in itertools.product((-1, 0, 1), repeat=r.dim) if o > (0,) * r.dim]
-    # neighbours ahead in y or z (offsets are given last axis first)
-    ahead = [o for o in rest if any(o[:-1]) and (fully_connected or sum(map(abs, o)) == 1)]
+    side = max(2, round(TILE_VOXELS ** (1 / r.dim)))
+    offsets = _offsets(r.dim, fully_connected)
+    tile = [F.floor(F.col(a) / side).cast("int").alias(f"tile_{a}") for a in r.axes]
+    rows = inside.select(*r.keys, "v")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    rows = staged(rows.groupBy("image_id", *tile).applyInArrow(_tile_roots(r.axes, r.geometry.size, side, offsets, alike), f"{kinds}, run long"))
     edges = []
-    for o in ahead:
-        step = dict(zip(reversed(r.axes), o))
-        moved = rows.select("image_id", *[(F.col(a) - step[a]).cast("int").alias(a) for a in r.axes], F.col("v").alias("w"), F.col("run").alias("other"))
-        edges.append(rows.join(moved, r.keys).where(joins).select(F.col("run").alias("u"), F.col("other").alias("v")))
-    if not edges:
-        return rows.withColumn("root", F.col("run"))
+    for o in offsets:
+        step = dict(zip(r.axes, o))
+        crosses = lambda sign: reduce(lambda a, b: a | b, [F.floor((F.col(a) + sign * k) / side) != F.floor(F.col(a) / side) for a, k in step.items() if k])  # noqa: B023, E731
+        behind = rows.where(crosses(-1)).select("image_id", *[(F.col(a) - k).cast("int").alias(a) for a, k in step.items()], F.col("v").alias("w"), F.col("run").alias("other"))
+        edges.append(rows.where(crosses(1)).join(behind, r.keys).where(joins).select(F.col("run").alias("u"), F.col("other").alias("v")))
     comps = connected_components(reduce(lambda a, b: a.union(b), edges).distinct())
     return rows.join(comps.withColumnRenamed("node", "run"), "run", "left").withColumn("root", F.coalesce("root", "run"))
 
@@ -64,7 +106,37 @@ def connected_component(r: Raster, fully_connected: bool = False) -> Raster:
 
 def scalar_connected_component(r: Raster, distance: float = 0, fully_connected: bool = False) -> Raster:
     """Components of neighbours whose values differ by at most ``distance``."""
-    return _labelled(r, _components(r, r.df, F.abs(F.col("v") - F.col("w")) <= distance, fully_connected))
+    return _labelled(r, _components(r, r.df, F.abs(F.col("v") - F.col("w")) <= distance, fully_connected, lambda v, w: np.abs(v - w) <= distance))
+
+
+def vector_connected_component(r: Raster, distance: float = 1.0, fully_connected: bool = False) -> Raster:
+    """Components of neighbours whose vectors (of length 1) have 1 - abs(dot) of at most ``distance``."""
+    dot = F.aggregate(F.zip_with("v", "w", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+    return _labelled(r, _components(r, r.df, 1 - F.abs(dot) <= distance, fully_connected, lambda v, w: 1 - np.abs((v * w).sum(-1)) <= distance))
+
+
+def threshold_maximum_connected_components(r: Raster, minimum_size: int = 0, upper: float | None = None, inside: int = 1, outside: int = 0) -> tuple[Raster, float, int]:
+    """The lower threshold, by bisection of the value range, at which most components of at least
+    ``minimum_size`` voxels lie between it and ``upper``: mask, threshold, number of components."""
+    low, high = r.df.agg(F.min("v").cast("double"), F.max("v").cast("double")).first()
+    top = high if upper is None else upper
+    half = (lambda a, b: a + int((b - a) / 2)) if r.pixel.integer else (lambda a, b: a + (b - a) / 2)
+
+    def mask(threshold: float) -> Raster:
+        return r.map(lambda v: F.when(v.between(threshold, top), inside).otherwise(outside), "uint8")
+
+    def components(threshold: float) -> int:
+        found = _components(r, mask(threshold).df.where(F.col("v") == inside), F.lit(True), False)
+        return found.groupBy("root").count().where(F.col("count") >= minimum_size).count()
+
+    middle = half(low, high)
+    while high - low > (2 if r.pixel.integer else 1e-3 * max(1.0, abs(high))):
+        left, right = half(low, middle), high - (half(middle, high) - middle)
+        if components(left) > components(right):
+            high, middle = middle, left
+        else:
+            low, middle = middle, right
+    return mask(middle), middle, components(middle)
 
 
 def relabel_component(labels: Raster, minimum_size: int = 0) -> Raster:
@@ -96,7 +168,7 @@ def label_statistics(r: Raster, labels: Raster) -> DataFrame:
     sum and the bounding box."""
     v = F.col("v0").cast("double")
     box = [f(a).alias(f"{n}_{a}") for a in r.axes for n, f in (("min", F.min), ("max", F.max))]
-    variance = F.when(F.count(v) > 1, (F.sum(v * v) - F.sum(v) * F.sum(v) / F.count(v)) / (F.count(v) - 1)).otherwise(0.0)
+    variance = F.coalesce(F.when(F.count(v) > 1, F.var_samp(v)), F.lit(0.0))
     rows = r.zip(labels).groupBy("image_id", F.col("v1").alias("label")).agg(F.count(v).alias("count"), F.min(v).alias("minimum"), F.max(v).alias("maximum"), F.avg(v).alias("mean"), variance.alias("variance"), F.sum(v).alias("sum"), *box)
     return rows.withColumn("sigma", F.sqrt(F.greatest("variance", F.lit(0.0))))
 
@@ -155,7 +227,9 @@ def label_voting(rasters: Sequence[Raster], undecided: int | None = None) -> Ras
     votes = reduce(lambda a, b: a.unionByName(b), [o.df for o in rasters]).groupBy(*first.keys, "v").count()
     top = votes.groupBy(*first.keys).agg(F.sort_array(F.collect_list(F.struct("count", "v")), asc=False).alias("t"))
     if undecided is None:
-        undecided = reduce(lambda a, b: a.unionByName(b), [o.df for o in rasters]).agg(F.max("v")).first()[0] + 1
+        tops = reduce(lambda a, b: a.unionByName(b), [o.df for o in rasters]).groupBy("image_id").agg((F.max("v") + 1).alias("undecided"))
+        top = top.join(tops, "image_id")
+        undecided = F.col("undecided")
     tie = (F.size("t") > 1) & (F.col("t")[0]["count"] == F.try_element_at("t", F.lit(2))["count"])
     return first.with_rows(top.withColumn("v", F.when(tie, undecided).otherwise(F.col("t")[0]["v"])))
 
@@ -259,3 +333,85 @@ def label_map_mask(runs: DataFrame, feature: Raster, label: int, negated: bool =
     rows = feature.zip(inside)
     keep = (F.col("v1") != label) if negated else (F.col("v1") == label)
     return feature.with_rows(rows.withColumn("v", F.when(keep, F.col("v0")).otherwise(background)))
+
+
+def binary_image_to_label_map(r: Raster, foreground: float = 1, fully_connected: bool = False) -> DataFrame:
+    """Runs of the components of one value."""
+    return to_label_map(connected_component(r.map(lambda v: F.when(v == foreground, 1).otherwise(0), "uint8"), fully_connected))
+
+
+def label_map_to_binary(runs: DataFrame, like: Raster, foreground: int = 1, background: int = 0) -> Raster:
+    """Foreground inside any object."""
+    inside = from_label_map(runs.withColumn("label", F.lit(1)), like)
+    return like.with_rows(inside.df.withColumn("v", F.when(F.col("v") == 1, foreground).otherwise(background)), pixel="uint8")
+
+
+def label_unique_label_map(runs: DataFrame, reverse: bool = False) -> DataFrame:
+    """Overlaps go to the larger label (``reverse``: the smaller); objects without voxels vanish.
+
+    Where any runs overlap is found on their ends, so voxels are never listed: a line is cut
+    at all ends, and each piece takes the winning label of the runs that hold it.
+    """
+    rest = [a for a in AXES[1:] if a in runs.columns]
+    line = ["image_id", *rest]
+    ends = runs.select(*line, F.col("x").alias("at")).union(runs.select(*line, (F.col("x") + F.col("len")).alias("at"))).distinct()
+    pieces = ends.withColumn("stop", F.lead("at").over(Window.partitionBy(*line).orderBy("at"))).where("stop is not null")
+    held = pieces.join(runs, line).where((F.col("x") <= F.col("at")) & (F.col("at") < F.col("x") + F.col("len")))
+    won = held.groupBy(*line, "at", "stop").agg((F.min if reverse else F.max)("label").alias("label"))
+    return merge_runs(won.select("image_id", "label", *rest, F.col("at").alias("x"), (F.col("stop") - F.col("at")).alias("len")))
+
+
+def merge_label_maps(maps: Sequence[DataFrame], method: str = "keep") -> DataFrame:
+    """Several maps as one.  ``keep``: a label that is taken gets the next free number after the
+    largest; ``aggregate``: objects of one label become one; ``pack``: all objects are numbered
+    anew from 1, map by map; ``strict``: a label in two maps of an image is an error."""
+    both = reduce(lambda a, b: a.unionByName(b), [m.withColumn("map", F.lit(k)) for k, m in enumerate(maps)])
+    if method == "aggregate":
+        return merge_runs(both.drop("map"))
+    names = both.select("image_id", "map", "label").distinct()
+    first = names.withColumn("nth", F.row_number().over(Window.partitionBy("image_id", "label").orderBy("map")))
+    in_order = Window.partitionBy("image_id").orderBy("map", "label")
+    if method == "strict":
+        taken = F.raise_error(F.concat(F.lit("two maps hold label "), F.col("label").cast("string"))).cast("long")
+        new = first.withColumn("new", F.when(F.col("nth") == 1, F.col("label")).otherwise(taken))
+    elif method == "pack":
+        new = first.withColumn("new", F.row_number().over(in_order))
+    elif method == "keep":
+        late = F.sum((F.col("nth") > 1).cast("long")).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+        new = first.withColumn("new", F.when(F.col("nth") == 1, F.col("label")).otherwise(F.max("label").over(Window.partitionBy("image_id")) + late))
+    else:
+        raise ValueError(f"no way to merge called {method}")
+    return both.join(new.select("image_id", "map", "label", "new"), ["image_id", "map", "label"]).withColumn("label", F.col("new")).drop("map", "new")
+
+
+def _ellipsoid(r: Raster, radius: Sequence[float], use_spacing: bool) -> list[tuple[tuple[int, ...], float]]:
+    """Offsets inside the open ellipsoid and their scaled squared distance; without spacing the
+    ellipsoid is a little larger, so that whole radii are inside."""
+    scale = [(k * k / (s * s) if use_spacing else k * k + 2) if k else 0.0 for k, s in zip(radius, r.geometry.spacing)]
+    reach = [math.floor(math.sqrt(x)) if x else 0 for x in scale]
+    out = []
+    for o in itertools.product(*[range(-k, k + 1) for k in reach]):
+        w = sum(i * i / x for i, x in zip(o, scale) if x)
+        if w < 1:
+            out.append((o, w))
+    return out
+
+
+def label_set_dilate(labels: Raster, radius: Sequence[float], use_spacing: bool = True) -> Raster:
+    """Every label grows by an ellipsoid into the background; the nearest label wins, the smaller of
+    equally near ones."""
+    reach = F.array(*[F.struct(*[F.lit(i).alias(f"d{a}") for a, i in zip(labels.axes, o)], F.lit(w).alias("w")) for o, w in _ellipsoid(labels, radius, use_spacing)])
+    grown = labels.df.where("v <> 0").select("image_id", *labels.axes, F.col("v").alias("label"), F.explode(reach).alias("o"))
+    grown = grown.select("image_id", *[(F.col(a) + F.col(f"o.d{a}")).alias(a) for a in labels.axes], F.struct(F.round("o.w", 12).alias("w"), "label").alias("near"))
+    best = grown.groupBy("image_id", *labels.axes).agg(F.min("near").alias("near"))
+    return labels.with_rows(labels.df.join(best, labels.keys, "left").withColumn("v", F.when(F.col("v") != 0, F.col("v")).otherwise(F.coalesce("near.label", F.lit(0)))))
+
+
+def label_set_erode(labels: Raster, radius: Sequence[float], use_spacing: bool = True) -> Raster:
+    """Every label loses the voxels that have another value inside their ellipsoid; the grid's border
+    takes nothing away."""
+    reach = F.array(*[F.struct(*[F.lit(i).alias(f"d{a}") for a, i in zip(labels.axes, o)]) for o, _ in _ellipsoid(labels, radius, use_spacing)])
+    seen = labels.df.select("image_id", *labels.axes, "v", F.explode(reach).alias("o"))
+    seen = seen.select("image_id", *[(F.col(a) + F.col(f"o.d{a}")).alias(a) for a in labels.axes], "v")
+    span = seen.groupBy("image_id", *labels.axes).agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    return labels.with_rows(labels.df.join(span, labels.keys).withColumn("v", F.when(F.col("low") == F.col("high"), F.col("v")).otherwise(0)))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -175,12 +176,38 @@ def laplacian_recursive_gaussian(r: Raster, sigma: float) -> Raster:
 
 
 def _envelope(lines: np.ndarray, spacing: float) -> np.ndarray:
-    """Lower envelope of parabolas: min over j of f(j) + (spacing (i - j))^2 for each line."""
-    n = lines.shape[1]
-    out = np.full_like(lines, np.inf)
-    at = np.arange(n) * spacing
-    for j in range(n):
-        np.minimum(out, lines[:, j : j + 1] + (at[None, :] - at[j]) ** 2, out=out)
+    """Lower envelope of parabolas, min over j of f(j) + (spacing (i - j))^2, for each line: one scan
+    that keeps the parabolas of the envelope, one that reads it, both over all lines at once."""
+    count, n = lines.shape
+    every = np.arange(count)
+    at = np.zeros((count, n), np.int64)  # the parabolas of the envelope so far
+    low = np.full((count, n), -np.inf)  # from where each is lowest
+    top = np.full(count, -1)
+    where = np.arange(n) * spacing
+    for q in range(n):
+        open_ = np.isfinite(lines[:, q])
+        begin = np.full(count, -np.inf)
+        check = every[open_ & (top >= 0)]
+        while len(check):
+            p = at[check, top[check]]
+            meet = ((lines[check, q] + where[q] ** 2) - (lines[check, p] + where[p] ** 2)) / (2 * (where[q] - where[p]))
+            hidden = meet <= low[check, top[check]]
+            begin[check] = np.where(hidden, -np.inf, meet)
+            check = check[hidden]
+            top[check] -= 1
+            check = check[top[check] >= 0]
+        top[open_] += 1
+        rows = every[open_]
+        at[rows, top[rows]] = q
+        low[rows, top[rows]] = begin[rows]
+    out, k = np.full_like(lines, np.inf), np.zeros(count, np.int64)
+    some = every[top >= 0]
+    for q in range(n):
+        move = some
+        while len(move := move[(k[move] < top[move]) & (low[move, np.minimum(k[move] + 1, n - 1)] < where[q])]):
+            k[move] += 1
+        p = at[some, k[some]]
+        out[some, q] = lines[some, p] + (where[q] - where[p]) ** 2
     return out
 
 
@@ -205,6 +232,23 @@ def signed_maurer_distance_map(r: Raster, squared: bool = False, inside_positive
     return Raster(obj.zip(d).select(*r.keys, value.alias("v")), r.geometry, PIXELS["float64"])
 
 
+def danielsson_distance_map(r: Raster, squared: bool = False, use_spacing: bool = False) -> Raster:
+    """Distance of every voxel to the nearest one that is not zero (0 there), exact."""
+    d = squared_distance_map(r, use_spacing)
+    return d if squared else d.map(F.sqrt)
+
+
+def signed_danielsson_distance_map(r: Raster, inside_positive: bool = False, squared: bool = False, use_spacing: bool = False) -> Raster:
+    """Distance to the object minus distance to the rest grown by one voxel in its 3-box, so that the
+    object's rim is 0 from both sides."""
+    from .morphology import grayscale_dilate
+
+    rest = grayscale_dilate(r.map(lambda v: F.when(v != 0, 0).otherwise(1), "uint8"), [1] * r.dim, "box")
+    out, inside = danielsson_distance_map(r, squared, use_spacing), danielsson_distance_map(rest, squared, use_spacing)
+    value = F.col("v1") - F.col("v0") if inside_positive else F.col("v0") - F.col("v1")
+    return Raster(out.zip(inside).select(*r.keys, value.alias("v")), r.geometry, PIXELS["float64"])
+
+
 def directed_hausdorff(a: Raster, b: Raster):
     """Largest and mean distance of a's object voxels to b's object: image_id, maximum, mean."""
     rows = a.zip(squared_distance_map(b)).where("v0 <> 0")
@@ -256,6 +300,44 @@ def inverse_fft(r: Raster) -> Raster:
     return Raster(r.df.select(*r.keys, F.col("v.re").alias("v")), r.geometry, PIXELS["float64"])
 
 
+def half_hermitian_fft(r: Raster) -> tuple[Raster, bool]:
+    """The half of a real raster's spectrum with x up to n // 2, and whether n is odd."""
+    n, g = r.geometry.size[0], r.geometry
+    half = forward_fft(r).df.where(F.col("x") <= n // 2)
+    return Raster(half, replace(g, size=(n // 2 + 1, *g.size[1:])), PIXELS["float64"]), n % 2 == 1
+
+
+def half_hermitian_inverse_fft(half: Raster, odd: bool) -> Raster:
+    """The real raster of half a spectrum: the other half is its conjugate, mirrored on all axes."""
+    g = half.geometry
+    n = 2 * (g.size[0] - 1) + odd
+    mirror = [(F.lit(n) - F.col("x")).cast("int").alias("x"), *[F.pmod(-F.col(a), F.lit(k)).cast("int").alias(a) for a, k in zip(half.axes[1:], g.size[1:])]]
+    rest = half.df.where(F.col("x").between(1, (n - 1) // 2)).select("image_id", *mirror, F.struct(F.col("v.re").alias("re"), (-F.col("v.im")).alias("im")).alias("v"))
+    return inverse_fft(Raster(half.df.unionByName(rest), replace(g, size=(n, *g.size[1:])), PIXELS["float64"]))
+
+
+def smooth_size(n: int, greatest_prime: int = 5) -> int:
+    """The least size from ``n`` on without a prime factor above ``greatest_prime``."""
+    while True:
+        rest = n
+        for p in range(2, greatest_prime + 1):
+            while rest % p == 0:
+                rest //= p
+        if rest <= 1:
+            return n
+        n += 1
+
+
+def fft_pad(r: Raster, border: str = "zero_flux", greatest_prime: int = 5) -> Raster:
+    """Padded on both sides (the odd voxel above) to sizes that transform fast; ``border`` is
+    ``zero``, ``zero_flux`` or ``periodic``."""
+    from .geometry import constant_pad, wrap_pad, zero_flux_pad
+
+    more = [smooth_size(n, greatest_prime) - n for n in r.geometry.size]
+    pad = {"zero": constant_pad, "zero_flux": zero_flux_pad, "periodic": wrap_pad}[border]
+    return pad(r, [k // 2 for k in more], [k - k // 2 for k in more])
+
+
 def fft_filter(r: Raster, response: Callable) -> Raster:
     """Multiply the spectrum by a real response of the frequency columns (cycles per voxel)."""
     spectrum = forward_fft(r)

@@ -7,12 +7,13 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..raster import Raster
+from ..raster import PIXELS, Raster
 from ..staging import staged
-from .window import _filter, box_sum, taps
+from .window import _filter, box_sum, plane_only, taps
 
 
 def element(shape: str, radius: Sequence[int]) -> list[int]:
@@ -153,10 +154,9 @@ def reconstruction(marker: Raster, mask: Raster, by: str = "dilation", fully_con
     sign = 1 if by == "dilation" else -1
     rows = mask.zip(marker).select(*mask.keys, (F.col("v0").cast("double") * sign).alias("m"), F.least(F.col("v0").cast("double") * sign, F.col("v1").cast("double") * sign).alias("v"))
     now = staged(rows)
-    total = None
     frame = Raster(now, mask.geometry, mask.pixel)
     while True:
-        df = now
+        df = now.withColumn("before", F.col("v"))
         for a in mask.axes:
             line = frame.line(a)
             low, high = F.lag("v").over(line), F.lead("v").over(line)
@@ -168,11 +168,10 @@ def reconstruction(marker: Raster, mask: Raster, by: str = "dilation", fully_con
         if fully_connected:
             box = taps(Raster(df.select(*mask.keys, "v"), mask.geometry, mask.pixel), [1] * mask.dim, "crop").df.select(*mask.keys, F.array_max("v").alias("w"))
             df = df.join(box, mask.keys).withColumn("v", F.least("m", "w")).drop("w")
-        now = staged(df.select(*mask.keys, "m", "v"))
-        new = now.agg(F.sum("v")).first()[0]
-        if new == total:
+        now = staged(df.select(*mask.keys, "m", "v", "before"))
+        if now.where(~F.col("v").eqNullSafe(F.col("before"))).isEmpty():  # NaN equals NaN
             return mask.with_rows(now.withColumn("v", F.col("v") * sign))
-        total = new
+        now = now.drop("before")
 
 
 def _border(r: Raster) -> Column:
@@ -234,6 +233,52 @@ def binary_reconstruction(marker: Raster, mask: Raster, foreground: int = 1) ->
     return reconstruction(marker.map(lambda v: F.when(v == foreground, 1).otherwise(0)), mask.map(lambda v: F.when(v == foreground, 1).otherwise(0)))
 
 
+def binary_reconstruction_by_erosion(marker: Raster, mask: Raster, foreground: int = 1) -> Raster:
+    """The dual on the complement: background of the mask that the marker's background meets stays
+    background, all else is foreground (1, else 0)."""
+    away = lambda r: r.map(lambda v: F.when(v == foreground, 0).otherwise(1))
+    met = reconstruction(away(marker), away(mask))
+    return mask.with_rows(met.df.withColumn("v", 1 - F.col("v")))
+
+
+def binary_opening_by_reconstruction(r: Raster, radius: Sequence[int], shape: str = "box", foreground: int = 1, background: int = 0) -> Raster:
+    """Components of the foreground that survive an erosion, whole; others become background."""
+    kept = binary_reconstruction(binary_erode(r, radius, shape, foreground, background), r, foreground)
+    return r.with_rows(r.zip(kept).withColumn("v", F.when((F.col("v0") == foreground) & (F.col("v1") == 0), background).otherwise(F.col("v0"))))
+
+
+def binary_closing_by_reconstruction(r: Raster, radius: Sequence[int], shape: str = "box", foreground: int = 1) -> Raster:
+    """Background that a dilation leaves no voxel of becomes foreground, whole components only."""
+    filled = binary_reconstruction_by_erosion(binary_dilate(r, radius, shape, foreground), r, foreground)
+    return r.with_rows(r.zip(filled).withColumn("v", F.when(F.col("v1") == 1, foreground).otherwise(F.col("v0"))))
+
+
+def valued_regional_extrema(r: Raster, maxima: bool = True, fully_connected: bool = False) -> Raster:
+    """Regional extrema keep their value; all other voxels take the type's lowest (``maxima``) or
+    highest value (reals: minus or plus the largest)."""
+    low, high = (r.pixel.low, r.pixel.high) if r.pixel.integer else (-3.4028234663852886e38, 3.4028234663852886e38) if r.pixel.name == "float32" else (-1.7976931348623157e308, 1.7976931348623157e308)
+    marks = regional_extrema(r, maxima, fully_connected)
+    return r.with_rows(r.zip(marks).withColumn("v", F.when(F.col("v1") == 1, F.col("v0")).otherwise(F.lit(low if maxima else high).cast(r.pixel.spark))))
+
+
+def _paint_from_boundary(r: Raster, radius: Sequence[int], shape: str, value: int, paint: int) -> Raster:
+    """Paints the element around every voxel of ``value`` that has another value in its 3-box."""
+    inside = F.element_at("v", 3**r.dim // 2 + 1)
+    rim = taps(r, [1] * r.dim, "null").df.select(*r.keys, F.when((inside == value) & F.exists("v", lambda x: F.coalesce(x != value, F.lit(False))), 1).otherwise(0).alias("v"))
+    near = grayscale_dilate(Raster(rim, r.geometry, PIXELS["uint8"]), radius, shape)
+    return r.with_rows(r.zip(near).withColumn("v", F.when(F.col("v1") == 1, paint).otherwise(F.col("v0"))))
+
+
+def dilate_object_morphology(r: Raster, radius: Sequence[int], value: int = 1, shape: str = "box") -> Raster:
+    """The object grows by the element around its boundary voxels; other values stay elsewhere."""
+    return _paint_from_boundary(r, radius, shape, value, value)
+
+
+def erode_object_morphology(r: Raster, radius: Sequence[int], value: int = 1, background: int = 0, shape: str = "box") -> Raster:
+    """Background is painted by the element around the object's boundary voxels."""
+    return _paint_from_boundary(r, radius, shape, value, background)
+
+
 def geodesic_dilate(marker: Raster, mask: Raster, shape: str = "cross") -> Raster:
     """One step: the marker's dilation held under the mask."""
     grown = grayscale_dilate(marker, [1] * marker.dim, shape)
@@ -249,7 +294,7 @@ def regional_extrema(r: Raster, maxima: bool = True, fully_connected: bool = Fal
     """1 on flat zones without a higher (``maxima``) or lower neighbour."""
     from .labels import _components
 
-    zones = _components(r, r.df, F.col("v") == F.col("w"), fully_connected)
+    zones = _components(r, r.df, F.col("v") == F.col("w"), fully_connected, np.equal)
     shape = "box" if fully_connected else "cross"
     edge = (grayscale_dilate if maxima else grayscale_erode)(r, [1] * r.dim, shape)
     rows = zones.select(*r.keys, "v", "root").join(edge.df.withColumnRenamed("v", "e"), r.keys)
@@ -278,7 +323,7 @@ def area_opening(r: Raster, area: float, use_spacing: bool = True, fully_connect
     shape = element("box" if fully_connected else "cross", [1] * r.dim)
     value = F.col("v")
     while True:
-        zones = _components(r, r.df, value == F.col("w"), fully_connected).select(*r.keys, "v", "root")
+        zones = _components(r, r.df, value == F.col("w"), fully_connected, np.equal).select(*r.keys, "v", "root")
         box = taps(r, [1] * r.dim, "null").df.select(*r.keys, _pick(value, shape).alias("near"))
         rows = zones.join(box, r.keys)
         ahead = F.exists("near", lambda x: x < value if closing else x > value)
@@ -303,6 +348,7 @@ def simple_contour_extractor(r: Raster, radius: Sequence[int], foreground: int =
 def binary_thinning(r: Raster) -> Raster:
     """Skeleton of a 2-D mask: rounds of two passes that peel boundary voxels whose removal keeps the
     topology (one 0-1 change around, 2 to 6 neighbours), until nothing changes."""
+    plane_only(r, "binary_thinning")
     now = r.map(lambda v: F.when(v != 0, 1).otherwise(0), "uint8")
     order = [(0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1)]  # clockwise from above
     while True:

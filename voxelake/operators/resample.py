@@ -79,6 +79,31 @@ def euler_3d(angles: Sequence[float], offset: Sequence[float] = (0, 0, 0), centr
     return Affine(_rows(rz @ rx @ ry), tuple(map(float, offset)), tuple(map(float, centre)))
 
 
+def similarity_2d(factor: float, angle: float, offset: Sequence[float] = (0, 0), centre: Sequence[float] = (0, 0)) -> Affine:
+    """Rotation and scaling about a centre, then a translation."""
+    return euler_2d(angle, offset, centre, factor)
+
+
+def similarity_3d(factor: float, versor: Sequence[float], offset: Sequence[float] = (0, 0, 0), centre: Sequence[float] = (0, 0, 0)) -> Affine:
+    """Rotation by a versor and scaling about a centre, then a translation."""
+    return Affine(_rows(np.array(versor_3d(versor).matrix) * factor), tuple(map(float, offset)), tuple(map(float, centre)))
+
+
+def scale_versor_3d(factors: Sequence[float], versor: Sequence[float], offset: Sequence[float] = (0, 0, 0), centre: Sequence[float] = (0, 0, 0)) -> Affine:
+    """Rotation matrix with each factor less one added on its diagonal, about a centre, then a translation."""
+    return Affine(_rows(np.array(versor_3d(versor).matrix) + np.diag(np.array(factors) - 1.0)), tuple(map(float, offset)), tuple(map(float, centre)))
+
+
+def scale_logarithmic(logarithms: Sequence[float], centre: Sequence[float] = ()) -> Affine:
+    """Scaling by the exponentials of the parameters."""
+    return scale([math.exp(x) for x in logarithms], centre)
+
+
+def composite(transforms: Sequence[Affine]) -> Affine:
+    """Transforms of a stack as one: the last of the list is applied first."""
+    return reduce(lambda done, t: done.then(t), reversed(transforms))
+
+
 def versor_3d(versor: Sequence[float], offset: Sequence[float] = (0, 0, 0), centre: Sequence[float] = (0, 0, 0)) -> Affine:
     """Rotation by the unit quaternion with vector part ``versor``."""
     x, y, z = versor

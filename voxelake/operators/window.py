@@ -256,18 +256,48 @@ def normalized_correlation(r: Raster, template: Sequence[float], radius: Sequenc
     return _filter(r, radius, ncc, pixel="float64")
 
 
+def box_tap(dim: int) -> Callable[..., Column]:
+    """The value at an offset of the 3-box that ``taps`` with radius 1 leaves in ``v``."""
+    return lambda *o: F.element_at("v", sum((k + 1) * 3**i for i, k in enumerate(o)) + 1)
+
+
+def curvature_terms(dim: int) -> tuple[Column, Column]:
+    """Over the 3-box in ``v``: squared gradient norm, and curvature times its cube by central
+    differences, in any dimension."""
+    t = box_tap(dim)
+
+    def off(**at: int) -> Column:
+        return t(*(at.get(f"a{i}", 0) for i in range(dim)))
+
+    d = [(off(**{f"a{i}": 1}) - off(**{f"a{i}": -1})) / 2 for i in range(dim)]
+    square = reduce(lambda x, y: x + y, [x * x for x in d])
+    bend = F.lit(0.0)
+    for i in range(dim):
+        bend = bend + (off(**{f"a{i}": 1}) - 2 * off() + off(**{f"a{i}": -1})) * (square - d[i] * d[i])
+        for j in range(i):
+            mixed = (off(**{f"a{i}": 1, f"a{j}": 1}) - off(**{f"a{i}": -1, f"a{j}": 1}) - off(**{f"a{i}": 1, f"a{j}": -1}) + off(**{f"a{i}": -1, f"a{j}": -1})) / 4
+            bend = bend - 2 * d[i] * d[j] * mixed
+    return square, bend
+
+
+def curvature_speed(dim: int) -> Column:
+    """Curvature times gradient norm over the 3-box in ``v``; 0 where the raster is flat."""
+    square, bend = curvature_terms(dim)
+    return F.when(square < 1e-12, 0.0).otherwise(bend / F.when(square < 1e-12, 1.0).otherwise(square))
+
+
+def plane_only(r: Raster, name: str) -> None:
+    if r.dim != 2:
+        raise ValueError(f"{name} takes two dimensions, not {r.dim}")
+
+
 def curvature_flow(r: Raster, time_step: float = 0.05, iterations: int = 2) -> Raster:
-    """Explicit steps of curvature times gradient norm, in two dimensions; staged each round."""
+    """Explicit steps of curvature times gradient norm, in any dimension; staged each round."""
     from ..staging import staged
 
     now = r.map(lambda v: v.cast("double"), "float64")
+    centre = box_tap(r.dim)(*[0] * r.dim)
     for _ in range(iterations):
-        w = taps(now, (1, 1)).df
-        t = lambda i, j: F.element_at("v", (j + 1) * 3 + i + 2)
-        dx, dy = (t(1, 0) - t(-1, 0)) / 2, (t(0, 1) - t(0, -1)) / 2
-        dxx, dyy = t(1, 0) - 2 * t(0, 0) + t(-1, 0), t(0, 1) - 2 * t(0, 0) + t(0, -1)
-        dxy = (t(1, 1) - t(-1, 1) - t(1, -1) + t(-1, -1)) / 4
-        norm = dx * dx + dy * dy
-        step = F.when(norm < 1e-12, 0.0).otherwise((dxx * dy * dy - 2 * dx * dy * dxy + dyy * dx * dx) / F.when(norm < 1e-12, 1.0).otherwise(norm))
-        now = now.with_rows(staged(w.select(*r.keys, (t(0, 0) + time_step * step).alias("v"))))
+        w = taps(now, [1] * r.dim).df
+        now = now.with_rows(staged(w.select(*r.keys, (centre + time_step * curvature_speed(r.dim)).alias("v"))))
     return now

@@ -13,6 +13,7 @@ import io
 import struct
 import zlib
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -286,10 +287,10 @@ def decode(files: DataFrame, format: str) -> Raster:
                         out[x] = where[part.ndim - 1 - j].ravel().astype(np.int32)
                     if a.ndim > 2:
                         out[axes[-1]] = np.full(part.size, k, np.int32)
-                    out["v"] = part.ravel().astype(float)
+                    out["v"] = [Decimal(int(x)) for x in part.ravel()] if p.name == "uint64" else part.ravel().astype("int64" if p.integer else float)
                     yield pd.DataFrame(out)
 
-    rows = files.select("image_id", "content").mapInPandas(body, "image_id long, " + ", ".join(f"{a} int" for a in axes) + ", v double")
+    rows = files.select("image_id", "content").mapInPandas(body, "image_id long, " + ", ".join(f"{a} int" for a in axes) + f", v {p.spark if p.name == 'uint64' else 'bigint' if p.integer else 'double'}")
     return Raster(rows.select("image_id", *axes, F.col("v").cast(p.spark).alias("v")), g, p)
 
 
