@@ -51,6 +51,22 @@ def test_reconstruction_ends_on_nan_and_infinity(spark):
     assert out.shape == a.shape and not np.isnan(out[3]).any()
 
 
+@pytest.mark.parametrize("fully", [False, True])
+def test_reconstruction_across_tiles(spark, monkeypatch, fully):
+    monkeypatch.setattr(labels, "TILE_VOXELS", 27)
+    mask = rng.integers(0, 20, (5, 7, 8)).astype(float)
+    marker = np.where(rng.random(mask.shape) < 0.05, mask, 0.0)
+    want, steps = np.minimum(marker, mask), [o for o in itertools.product((-1, 0, 1), repeat=3) if sum(map(abs, o)) == 1 or (fully and any(o))]
+    while True:
+        p = np.pad(want, 1, constant_values=-np.inf)
+        new = np.minimum(mask, np.max([want, *(p[tuple(slice(1 + k, n - 1 + k) for k, n in zip(o, p.shape))] for o in steps)], axis=0))
+        if (new == want).all():
+            break
+        want = new
+    np.testing.assert_array_equal(array(morphology.reconstruction(raster(spark, marker), raster(spark, mask), fully_connected=fully)), want)
+    np.testing.assert_array_equal(array(morphology.reconstruction(raster(spark, -marker), raster(spark, -mask), "erosion", fully)), -want)
+
+
 def brute_curvature(a, step):
     p = np.pad(a, 1, mode="edge")
     at = lambda *o: p[tuple(slice(1 + k, n - 1 + k) for k, n in zip(o, p.shape))]

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -144,34 +145,59 @@ def label_contour(r: Raster, fully_connected: bool = False) -> Raster:
 # Reconstruction
 
 
+def _spread(axes: Sequence[str], side: int, offsets: Sequence[Sequence[int]]):
+    """The marker ``v`` of one tile and its halo spread under the mask ``m`` until nothing changes;
+    of the tile's own voxels: keys, mask, value, and whether it rose."""
+
+    def spread(tile: pa.Table) -> pa.Table:
+        corner = [tile.column(f"tile_{a}")[0].as_py() * side - 2 for a in axes]
+        at = tuple(tile.column(a).to_numpy() - c for a, c in zip(axes, corner))
+        mask = np.full([side + 4] * len(axes), -np.inf)
+        value = mask.copy()
+        mask[at], value[at] = tile.column("m").to_numpy(), tile.column("v").to_numpy()
+        inner = tuple(slice(1, -1) for _ in axes)
+        while True:
+            best = value[inner].copy()
+            for o in offsets:
+                np.fmax(best, value[tuple(slice(1 + k, side + 3 + k) for k in o)], out=best)
+            np.fmin(best, mask[inner], out=best)
+            if np.array_equal(best, value[inner], equal_nan=True):
+                break
+            value[inner] = best
+        before, after = tile.column("v").to_numpy(), value[at]
+        rose = (before != after) & ~(np.isnan(before) & np.isnan(after))
+        out = tile.drop_columns([f"tile_{a}" for a in axes]).set_column(tile.schema.get_field_index("v"), "v", pa.array(after)).append_column("rose", pa.array(rose))
+        return out.filter(tile.column("own")).drop_columns(["own"])
+
+    return spread
+
+
 def reconstruction(marker: Raster, mask: Raster, by: str = "dilation", fully_connected: bool = False) -> Raster:
     """Geodesic reconstruction: the marker spreads under the mask until nothing changes.
 
-    A round sweeps runs along each axis both ways with window frames (a value travels along a
-    line while the mask allows it), so the number of rounds follows the number of bends of
-    the longest path.  Rounds are staged.  ``erosion`` is the dual.
+    A round settles every tile for itself, a bounded block of voxels with the voxels around
+    it; the next one passes on what came over tile borders, so the rounds follow the number
+    of tiles that the longest path crosses.  Rounds are staged.  ``erosion`` is the dual.
     """
+    from .labels import TILE_VOXELS, _offsets
+
     sign = 1 if by == "dilation" else -1
-    rows = mask.zip(marker).select(*mask.keys, (F.col("v0").cast("double") * sign).alias("m"), F.least(F.col("v0").cast("double") * sign, F.col("v1").cast("double") * sign).alias("v"))
-    now = staged(rows)
-    frame = Raster(now, mask.geometry, mask.pixel)
+    side = max(2, round(TILE_VOXELS ** (1 / mask.dim)))
+    ahead = _offsets(mask.dim, fully_connected)
+    offsets = [*ahead, *(tuple(-k for k in o) for o in ahead)]
+    now = mask.zip(marker).select(*mask.keys, (F.col("v0").cast("double") * sign).alias("m"), F.least(F.col("v0").cast("double") * sign, F.col("v1").cast("double") * sign).alias("v"))
+    tile = lambda c: F.floor(c / side).cast("int")
+    kinds = "image_id long, " + ", ".join(f"{a} int" for a in mask.axes) + ", m double, v double, rose boolean"
     while True:
-        df = now.withColumn("before", F.col("v"))
-        for a in mask.axes:
-            line = frame.line(a)
-            low, high = F.lag("v").over(line), F.lead("v").over(line)
-            df = df.withColumn("v", F.least("m", F.greatest(F.col("v"), F.coalesce(low, "v"), F.coalesce(high, "v"))))
-            # a value that reaches the end of a stretch of equal or higher mask crosses it at once
-            stretch = df.withColumn("b", (F.coalesce(F.lag("m").over(line), F.lit(float("-inf"))) != F.col("m")).cast("int")).withColumn("b", F.sum("b").over(line))
-            flat = F.max("v").over(line.partitionBy("image_id", *[x for x in mask.axes if x != a], "b").rowsBetween(-mask.size(a), mask.size(a)))
-            df = stretch.withColumn("v", flat).drop("b")
-        if fully_connected:
-            box = taps(Raster(df.select(*mask.keys, "v"), mask.geometry, mask.pixel), [1] * mask.dim, "crop").df.select(*mask.keys, F.array_max("v").alias("w"))
-            df = df.join(box, mask.keys).withColumn("v", F.least("m", "w")).drop("w")
-        now = staged(df.select(*mask.keys, "m", "v", "before"))
-        if now.where(~F.col("v").eqNullSafe(F.col("before"))).isEmpty():  # NaN equals NaN
+        rows = now
+        for a in mask.axes:  # a voxel at a tile's border also goes to the tile behind it
+            c = F.col(a)
+            rows = rows.withColumn(f"tile_{a}", F.explode(F.array_distinct(F.array(tile(c), tile(F.greatest(c - 1, F.lit(0))), tile(F.least(c + 1, F.lit(mask.size(a) - 1)))))))
+        rows = rows.withColumn("own", reduce(lambda x, y: x & y, [F.col(f"tile_{a}") == tile(F.col(a)) for a in mask.axes]))
+        done = staged(rows.groupBy("image_id", *[f"tile_{a}" for a in mask.axes]).applyInArrow(_spread(mask.axes, side, offsets), kinds))
+        now = done.drop("rose")
+        if max(mask.geometry.size) <= side or done.where("rose").isEmpty():
             return mask.with_rows(now.withColumn("v", F.col("v") * sign))
-        now = now.drop("before")
 
 
 def _border(r: Raster) -> Column:
