@@ -67,6 +67,22 @@ def test_reconstruction_across_tiles(spark, monkeypatch, fully):
     np.testing.assert_array_equal(array(morphology.reconstruction(raster(spark, -marker), raster(spark, -mask), "erosion", fully)), -want)
 
 
+@pytest.mark.parametrize("voxels", [27, 1 << 17])
+def test_blocks_of_a_volume(spark, monkeypatch, voxels):
+    monkeypatch.setattr(window, "BLOCK_VOXELS", voxels)
+    a = rng.integers(0, 50, (5, 7, 8)).astype(float)
+    r, k = raster(spark, a, a + 1), (2, 1, 1)
+    boxes = lambda p: np.lib.stride_tricks.sliding_window_view(p, [3, 3, 5]).reshape(*a.shape, -1)
+    edge, blank = np.pad(a, [(1, 1), (1, 1), (2, 2)], mode="edge"), np.pad(a, [(1, 1), (1, 1), (2, 2)], constant_values=np.nan)
+    np.testing.assert_allclose(array(window.mean(r, k)), boxes(edge).mean(-1))
+    np.testing.assert_array_equal(array(window.median(r, k)), np.median(boxes(edge), -1))
+    np.testing.assert_array_equal(array(window.median(r, k), 1), np.median(boxes(edge), -1) + 1)
+    np.testing.assert_array_equal(array(window.rank(r, k, 0)), np.nanmin(boxes(blank), -1))
+    np.testing.assert_array_equal(array(morphology.grayscale_dilate(r, k)), np.nanmax(boxes(blank), -1))
+    g = np.gradient(np.pad(a, 1, mode="edge"))
+    np.testing.assert_allclose(array(window.gradient_magnitude(r)), np.sqrt(sum(x[1:-1, 1:-1, 1:-1] ** 2 for x in g)), rtol=1e-6)
+
+
 def brute_curvature(a, step):
     p = np.pad(a, 1, mode="edge")
     at = lambda *o: p[tuple(slice(1 + k, n - 1 + k) for k, n in zip(o, p.shape))]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..raster import PIXELS, Raster
 from ..staging import staged
-from .window import _filter, box_sum, plane_only, taps
+from .window import _filter, blocks, box_sum, exact_in_double, plane_only, taps
 
 
 def element(shape: str, radius: Sequence[int]) -> list[int]:
@@ -33,13 +33,32 @@ def _pick(w: Column, at: list[int]) -> Column:
     return F.array(*[F.element_at(w, i + 1) for i in at])
 
 
+def _extreme(r: Raster, radius: Sequence[int], shape: str, largest: bool) -> Raster:
+    """Maximum or minimum over the element; outside the grid nothing counts.  A box is one pass
+    of comparisons for each axis."""
+    if not exact_in_double(r):
+        return _filter(r, radius, lambda w: (F.array_max if largest else F.array_min)(_pick(w, element(shape, radius))), "null")
+    best = np.fmax if largest else np.fmin
+    sides = [2 * k + 1 for k in radius]
+    steps = None if shape == "box" else [np.unravel_index(i, sides[::-1])[::-1] for i in element(shape, radius)]
+
+    def kernel(block: np.ndarray) -> np.ndarray:
+        if steps is not None:
+            return reduce(best, [block[tuple(slice(i, i + n - m + 1) for i, n, m in zip(o, block.shape, sides))] for o in steps])
+        for k, m in enumerate(sides):
+            block = reduce(best, [block[tuple(slice(i, i + block.shape[k] - m + 1) if j == k else slice(None) for j in range(block.ndim))] for i in range(m)])
+        return block
+
+    return blocks(r, radius, kernel, "nan")
+
+
 def grayscale_erode(r: Raster, radius: Sequence[int], shape: str = "box") -> Raster:
     """Minimum over the element; outside the grid nothing counts."""
-    return _filter(r, radius, lambda w: F.array_min(_pick(w, element(shape, radius))), "null")
+    return _extreme(r, radius, shape, False)
 
 
 def grayscale_dilate(r: Raster, radius: Sequence[int], shape: str = "box") -> Raster:
-    return _filter(r, radius, lambda w: F.array_max(_pick(w, element(shape, radius))), "null")
+    return _extreme(r, radius, shape, True)
 
 
 def morphological_gradient(r: Raster, radius: Sequence[int], shape: str = "box") -> Raster:
@@ -65,10 +84,8 @@ def black_top_hat(r: Raster, radius: Sequence[int], shape: str = "box") -> Raste
 
 def binary_dilate(r: Raster, radius: Sequence[int], shape: str = "box", foreground: int = 1) -> Raster:
     """Foreground where the element meets it; other values stay elsewhere."""
-    n = element("box", radius)
-    centre = len(n) // 2
-    at = element(shape, radius)
-    return _filter(r, radius, lambda w: F.when(F.exists(_pick(w, at), lambda x: F.coalesce(x == foreground, F.lit(False))), foreground).otherwise(F.element_at(w, centre + 1)), "null")
+    met = grayscale_dilate(r.map(lambda v: F.when(v == foreground, 1).otherwise(0), "uint8"), radius, shape)
+    return r.with_rows(r.zip(met).withColumn("v", F.when(F.col("v1") == 1, foreground).otherwise(F.col("v0"))))
 
 
 def binary_erode(r: Raster, radius: Sequence[int], shape: str = "box", foreground: int = 1, background: int = 0, border_foreground: bool = True) -> Raster:

@@ -11,6 +11,8 @@ import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,6 +51,55 @@ def _filter(r: Raster, radius: Sequence[int], fn: Callable[[Column], Column], bo
     return Raster(rows.select(*r.keys, p.saturate(fn(F.col("v"))).alias("v")), r.geometry, p, r.meta)
 
 
+#: Voxels of a block that one kernel call works on, without the voxels around it.
+BLOCK_VOXELS = 1 << 17
+
+
+def blocks(r: Raster, radius: Sequence[int], kernel: Callable[[np.ndarray], np.ndarray], border: str = "clamp", pixel: str | None = None) -> Raster:
+    """A neighbourhood filter as a NumPy kernel on dense blocks, with one shuffle for all axes.
+
+    The kernel gets a block (axes x, y, z) with ``radius`` voxels around it on every side and
+    returns the block's new values.  Voxels outside the grid repeat the edge (``clamp``) or
+    are NaN (``nan``).  Voxels near a block's border are sent to the blocks behind it too.
+    64-bit integers beyond 2**53 do not fit NumPy's doubles: use ``taps`` for them.
+    """
+    p, dim = PIXELS[pixel] if pixel else r.pixel, r.dim
+    side, size, axes = max(2, round(BLOCK_VOXELS ** (1 / dim))), r.geometry.size, r.axes
+    tile = lambda c: F.floor(c / side).cast("int")
+    rows = r.df.select(*r.keys, F.col("v").cast("double").alias("v"))
+    for a, k in zip(axes, radius):
+        here = tile(F.col(a)) if not k else F.explode(F.sequence(tile(F.greatest(F.col(a) - k, F.lit(0))), tile(F.least(F.col(a) + k, F.lit(r.size(a) - 1)))))
+        rows = rows.withColumn(f"tile_{a}", here)
+
+    def run(block: pa.Table) -> pa.Table:
+        low = [block.column(f"tile_{a}")[0].as_py() * side for a in axes]
+        high = [min(lo + side, n) for lo, n in zip(low, size)]
+        first = [max(lo - k, 0) for lo, k in zip(low, radius)]
+        last = [min(hi + k, n) for hi, k, n in zip(high, radius, size)]
+        dense = np.full([z - a for a, z in zip(first, last)], np.nan)
+        dense[tuple(block.column(a).to_numpy() - lo for a, lo in zip(axes, first))] = block.column("v").to_numpy()
+        around = [(f - (lo - k), hi + k - z) for f, z, lo, hi, k in zip(first, last, low, high, radius)]
+        new = kernel(np.pad(dense, around, mode="edge") if border == "clamp" else np.pad(dense, around, constant_values=np.nan))
+        image = pa.array(np.full(new.size, block.column("image_id")[0].as_py(), np.int64))
+        at = [pa.array((i + lo).ravel().astype(np.int32)) for i, lo in zip(np.indices(new.shape), low)]
+        return pa.Table.from_arrays([image, *at, pa.array(new.ravel().astype(float))], names=["image_id", *axes, "v"])
+
+    done = rows.groupBy("image_id", *[f"tile_{a}" for a in axes]).applyInArrow(run, "image_id long, " + ", ".join(f"{a} int" for a in axes) + ", v double")
+    return Raster(done.select(*r.keys, p.saturate(F.col("v")).alias("v")), r.geometry, p, r.meta)
+
+
+def exact_in_double(r: Raster) -> bool:
+    return r.pixel.name not in ("int64", "uint64")
+
+
+def _views(block: np.ndarray, radius: Sequence[int]) -> np.ndarray:
+    """Every voxel's box, x fastest, as the last axis; a view is copied only where it is used."""
+    shape = [2 * k + 1 for k in radius]
+    boxes = np.lib.stride_tricks.sliding_window_view(block, shape)
+    dim = block.ndim
+    return boxes.transpose([*range(dim), *reversed(range(dim, 2 * dim))]).reshape(*boxes.shape[:dim], -1)
+
+
 def _total(w: Column) -> Column:
     return F.aggregate(w, F.lit(0.0), lambda s, x: s + x.cast("double"))
 
@@ -76,7 +127,16 @@ def _box_count(r: Raster, radius: Sequence[int]) -> Column:
 def mean(r: Raster, radius: Sequence[int]) -> Raster:
     """Box mean with a repeated edge."""
     n = math.prod(2 * k + 1 for k in radius)
-    return Raster(box_sum(r, radius, "clamp").df.withColumn("v", r.pixel.saturate(F.col("v") / n)), r.geometry, r.pixel)
+    if not exact_in_double(r):
+        return Raster(box_sum(r, radius, "clamp").df.withColumn("v", r.pixel.saturate(F.col("v") / n)), r.geometry, r.pixel)
+
+    def kernel(block: np.ndarray) -> np.ndarray:
+        for k, m in enumerate(radius):
+            parts = [block[tuple(slice(i, block.shape[k] - 2 * m + i) if j == k else slice(None) for j in range(block.ndim))] for i in range(2 * m + 1)]
+            block = reduce(lambda x, y: x + y, parts)
+        return block / n
+
+    return blocks(r, radius, kernel)
 
 
 def box_mean(r: Raster, radius: Sequence[int]) -> Raster:
@@ -94,12 +154,23 @@ def box_sigma(r: Raster, radius: Sequence[int]) -> Raster:
 
 def median(r: Raster, radius: Sequence[int]) -> Raster:
     n = math.prod(2 * k + 1 for k in radius)
-    return _filter(r, radius, lambda w: F.element_at(F.sort_array(w), n // 2 + 1))
+    if not exact_in_double(r):
+        return _filter(r, radius, lambda w: F.element_at(F.sort_array(w), n // 2 + 1))
+    return blocks(r, radius, lambda b: np.partition(_views(b, radius), n // 2, axis=-1)[..., n // 2])
 
 
 def rank(r: Raster, radius: Sequence[int], quantile: float = 0.5) -> Raster:
     """Order statistic of the voxels of the box inside the grid."""
-    return _filter(r, radius, lambda w: F.element_at(F.sort_array(w), (F.floor(quantile * (F.size(w) - 1) + 0.5) + 1).cast("int")), "crop")
+    if not exact_in_double(r):
+        return _filter(r, radius, lambda w: F.element_at(F.sort_array(w), (F.floor(quantile * (F.size(w) - 1) + 0.5) + 1).cast("int")), "crop")
+
+    def kernel(block: np.ndarray) -> np.ndarray:
+        boxes = np.sort(_views(block, radius), axis=-1)  # NaN, outside the grid, sorts last
+        inside = (~np.isnan(boxes)).sum(-1)
+        at = np.floor(quantile * (inside - 1) + 0.5).astype(np.int64)
+        return np.take_along_axis(boxes, at[..., None], -1)[..., 0]
+
+    return blocks(r, radius, kernel, "nan")
 
 
 def fast_approximate_rank(r: Raster, radius: Sequence[int], quantile: float = 0.5) -> Raster:
@@ -143,8 +214,16 @@ def _central(r: Raster, a: str, spacing: float) -> Column:
 
 
 def gradient_magnitude(r: Raster) -> Raster:
-    df, g = _per_axis(r, _central)
-    return Raster(df.select(*r.keys, F.sqrt(reduce(lambda a, b: a + b, [x * x for x in g])).cast("float").alias("v")), r.geometry, PIXELS["float32"])
+    spacing = r.geometry.spacing
+
+    def kernel(block: np.ndarray) -> np.ndarray:
+        inner, square = (slice(1, -1),) * block.ndim, 0.0
+        for k, h in enumerate(spacing):
+            after, before = (tuple(part if j == k else c for j, c in enumerate(inner)) for part in (slice(2, None), slice(None, -2)))
+            square = square + ((block[after] - block[before]) / (2 * h)) ** 2
+        return np.sqrt(square)
+
+    return blocks(r, [1] * r.dim, kernel, pixel="float32")
 
 
 def gradient(r: Raster, use_direction: bool = False) -> Raster:

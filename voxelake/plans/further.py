@@ -15,9 +15,10 @@ from ..operators import growing as gr
 from ..operators import labels as lab
 from ..operators import lines as ln
 from ..operators import morphology as mo
+from ..operators import reduce as red
 from ..operators import window as win
 from ..raster import PIXELS, Geometry, Raster
-from .basic import CELLS, LIMITS, cells, cells_sql, quantity, real
+from .basic import CELLS, EDGES, LIMITS, cells, cells_sql, quantity, real
 from .spatial import FACE, HIGH, REACH, RUNS, SHADES, box, high, over_box, runs_out, shades
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -103,7 +104,7 @@ def halves(s: SparkSession, d: str) -> Raster:
 
 near("vector_connected_component", lambda r: lab.vector_connected_component(r, 0.5), ZONES.format(than=">").replace("FROM q UNION", "FROM p UNION").replace("JOIN q n", "JOIN p n").replace(", r AS (WITH", ", p AS (SELECT x, y, CASE WHEN v % 4 < 2 THEN 0 ELSE 1 END AS v FROM q), r AS (WITH", 1)
      + " SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(dense_rank() OVER (ORDER BY root) AS DOUBLE) AS v FROM r", halves)
-near("threshold_maximum_connected_components", lambda r: lab.threshold_maximum_connected_components(r, 2)[0], None)
+near("threshold_maximum_connected_components", lambda r: lab.threshold_maximum_connected_components(r.map(lambda v: F.floor(v / 100)), 2)[0], None)
 table("binary_image_to_label_map", lambda s, d: runs_out(lab.binary_image_to_label_map(high(s, d))), CELLS + REACH.format(near=FACE)
       + ", g2 AS (SELECT *, x - row_number() OVER (PARTITION BY y, label ORDER BY x) AS isl FROM c) SELECT CAST(label AS BIGINT) AS label, CAST(min(x) AS BIGINT) AS x, CAST(y AS BIGINT) AS y, count(*) AS len FROM g2 GROUP BY label, y, isl")
 table("label_map_to_binary", lambda s, d: cells(lab.label_map_to_binary(lab.to_label_map(shades(s, d)), quantity(s, d), 7, 2)), cells_sql("CASE WHEN v % 4 <> 0 THEN 7 ELSE 2 END"))
@@ -160,8 +161,8 @@ near("danielsson_distance_map", ln.danielsson_distance_map, ALL_PAIRS + out("sqr
 RIMS = f"{box(1, 1, 'crop', HIGH)}, rim AS (SELECT x, y FROM w {{where}} GROUP BY x, y HAVING any_value(v) = {{inside}} AND {{touch}})"
 near("signed_maurer_distance_map", ln.signed_maurer_distance_map, RIMS.format(where="WHERE dx = 0 OR dy = 0", inside=1, touch="min(n) = 0")
      + ", d AS (SELECT q.x, q.y, any_value(q.v) AS v, min(pow(q.x - o.x, 2) + pow(q.y - o.y, 2)) AS d FROM q, rim o GROUP BY q.x, q.y)" + out("CASE WHEN v >= 1350 THEN -sqrt(d) ELSE sqrt(d) END", "d"), high)
-near("signed_danielsson_distance_map", ln.signed_danielsson_distance_map, box(1, 1, "crop", HIGH) + """, o AS (SELECT x, y FROM q WHERE v >= 1350), i AS (SELECT x, y FROM w GROUP BY x, y HAVING min(n) = 0),
-a AS (SELECT q.x, q.y, min(pow(q.x - o.x, 2) + pow(q.y - o.y, 2)) AS d FROM q, o GROUP BY q.x, q.y), b AS (SELECT q.x, q.y, min(pow(q.x - i.x, 2) + pow(q.y - i.y, 2)) AS d FROM q, i GROUP BY q.x, q.y)"""
+near("signed_danielsson_distance_map", ln.signed_danielsson_distance_map, box(1, 1, "crop", HIGH) + """, obj AS (SELECT x, y FROM q WHERE v >= 1350), i AS (SELECT x, y FROM w GROUP BY x, y HAVING min(n) = 0),
+a AS (SELECT q.x, q.y, min(pow(q.x - obj.x, 2) + pow(q.y - obj.y, 2)) AS d FROM q, obj GROUP BY q.x, q.y), b AS (SELECT q.x, q.y, min(pow(q.x - i.x, 2) + pow(q.y - i.y, 2)) AS d FROM q, i GROUP BY q.x, q.y)"""
      + out("sqrt(a.d) - sqrt(b.d)", "a JOIN b USING (x, y)"), high)
 
 # Spectra by the sums that define them
@@ -195,10 +196,10 @@ table("inverse_deconvolution", lambda s, d: cells(four(dif.inverse_deconvolution
 table("tikhonov_deconvolution", lambda s, d: cells(four(dif.tikhonov_deconvolution(real(s, d), along_x(s, d), 0.01))), INVERSE.format(ok="true", gain=f"{GAIN} / (pow({GAIN}, 2) + 0.01)"))
 ROUND = (", s{n} AS (SELECT x, y, g, v, g - (0.5 * v + 0.25 * coalesce(lag(v) OVER i, last_value(v) OVER t) + 0.25 * coalesce(lead(v) OVER i, first_value(v) OVER t)) AS e FROM e{p} "
          "WINDOW i AS (PARTITION BY y ORDER BY x), t AS (PARTITION BY y ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),"
-         " e{n} AS (SELECT x, y, g, {clip}(v + 0.5 * (0.5 * e + 0.25 * coalesce(lag(e) OVER i, last_value(e) OVER t) + 0.25 * coalesce(lead(e) OVER i, first_value(e) OVER t)){end}) AS v FROM s{n} "
+         " e{n} AS (SELECT x, y, g, {clip}(v + 0.431729 * (0.5 * e + 0.25 * coalesce(lag(e) OVER i, last_value(e) OVER t) + 0.25 * coalesce(lead(e) OVER i, first_value(e) OVER t)){end}) AS v FROM s{n} "
          "WINDOW i AS (PARTITION BY y ORDER BY x), t AS (PARTITION BY y ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))")
 for _name, _fn, _clip, _end in (("landweber_deconvolution", dif.landweber, "", ""), ("projected_landweber_deconvolution", dif.projected_landweber, "greatest", ", 0.0")):
-    table(_name, lambda s, d, fn=_fn: cells(four(fn(real(s, d).map(lambda v: v - 900), along_x(s, d), 0.5, 2))), CELLS + ", e0 AS (SELECT x, y, CAST(v - 900 AS DOUBLE) AS g, CAST(v - 900 AS DOUBLE) AS v FROM q)"
+    table(_name, lambda s, d, fn=_fn: cells(four(fn(real(s, d).map(lambda v: v - 900), along_x(s, d), 0.431729, 2))), CELLS + ", e0 AS (SELECT x, y, CAST(v - 900 AS DOUBLE) AS g, CAST(v - 900 AS DOUBLE) AS v FROM q)"
           + "".join(ROUND.format(n=k, p=k - 1, clip=_clip, end=_end) for k in (1, 2)) + f" SELECT {CELL}round(v, 4) + 0.0 AS v FROM e2")
 
 
@@ -246,3 +247,42 @@ def volume(s: SparkSession, d: str) -> Raster:
 
 
 near("dicom_orient", lambda r: geo.dicom_orient(r, "SRP")[0], CELLS + LIMITS + " SELECT CAST(y // 10 AS BIGINT) AS x, CAST(11 - x AS BIGINT) AS y, CAST(y % 10 AS BIGINT) AS z, CAST(v AS DOUBLE) AS v FROM q", volume)
+
+
+# Threshold rules over 64 bins: k, middle m, count f, share p, and the share up to the bin
+BINS = CELLS + EDGES + """, bg AS (SELECT k, (a + b) / 2 AS m, CAST(f AS DOUBLE) AS f, f / CAST(sum(f) OVER () AS DOUBLE) AS p FROM h),
+bs AS (SELECT *, sum(p) OVER w AS lo, 1 - sum(p) OVER w AS hi, sum(f) OVER w AS n1, sum(f * m) OVER w AS m1, sum(f) OVER () AS n, sum(f * m) OVER () AS mm,
+  -sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) OVER w AS e1, -sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) OVER () AS e, sum(p * p) OVER w AS q1, sum(p * p) OVER () AS qq FROM bg WINDOW w AS (ORDER BY k))"""
+CUT = " SELECT round(m, 6) AS threshold FROM ({scores}) WHERE score IS NOT NULL ORDER BY round(score, 11) DESC, k LIMIT 1"
+LIKELY = "lo > 0 AND hi > 1e-12"
+
+
+def rule(name: str, sql: str) -> None:
+    table(f"{name}_threshold", lambda s, d: red.histogram_threshold(quantity(s, d), name, 64)[1].select(F.round("threshold", 6).alias("threshold")), BINS + sql)
+
+
+rule("isodata", " SELECT round(coalesce((SELECT m FROM bs WHERE f > 0 AND n1 > 0 AND n1 < n AND m >= (m1 / n1 + (mm - m1) / (n - n1)) / 2 ORDER BY k LIMIT 1), (SELECT any_value(mm / n) FROM bs)), 6) AS threshold")
+rule("maximum_entropy", CUT.format(scores=f"SELECT k, m, ln(lo) + e1 / lo + ln(hi) + (e - e1) / hi AS score FROM bs WHERE {LIKELY}"))
+rule("yen", CUT.format(scores="SELECT k, m, -CASE WHEN q1 > 0 AND k < 63 AND qq - q1 > 0 THEN ln(q1 * (qq - q1)) ELSE 0 END + 2 * CASE WHEN lo * hi > 0 THEN ln(lo * hi) ELSE 0 END AS score FROM bs WHERE k < 63"))
+rule("shanbhag", CUT.format(scores=f"""SELECT t.k, any_value(t.m) AS m, -abs(sum(CASE WHEN i.k <= t.k THEN -i.p * ln(greatest(1 - 0.5 * (i.lo - i.p) / t.lo, 1e-300)) * 0.5 / t.lo ELSE 0 END)
+  - sum(CASE WHEN i.k > t.k THEN -i.p * ln(greatest(1 - 0.5 * i.hi / t.hi, 1e-300)) * 0.5 / t.hi ELSE 0 END)) AS score FROM bs t, bs i WHERE {LIKELY.replace('lo', 't.lo').replace('hi', 't.hi')} GROUP BY t.k"""))
+rule("moments", """, u AS (SELECT sum(p * m) AS a, sum(p * m * m) AS b, sum(p * m * m * m) AS c FROM bs),
+v AS (SELECT *, (-b * b + a * c) / (b - a * a) AS c0, (-c + b * a) / (b - a * a) AS c1 FROM u),
+z AS (SELECT a, 0.5 * (-c1 - sqrt(greatest(c1 * c1 - 4 * c0, 0))) AS z0, 0.5 * (-c1 + sqrt(greatest(c1 * c1 - 4 * c0, 0))) AS z1 FROM v)
+SELECT round(m, 6) AS threshold FROM bs, z WHERE lo > (z1 - a) / (z1 - z0) ORDER BY k LIMIT 1""")
+rule("triangle", """, l1 AS (SELECT (SELECT k FROM bs ORDER BY f DESC, k LIMIT 1) AS peak, (SELECT min(k) FROM bs WHERE n1 >= 0.01 * n) AS low, (SELECT max(k) FROM bs WHERE n - n1 + f >= 0.01 * n) AS high),
+l2 AS (SELECT *, CASE WHEN peak - low >= high - peak THEN low ELSE peak END AS a, CASE WHEN peak - low >= high - peak THEN peak ELSE high END AS z FROM l1),
+l3 AS (SELECT l2.*, (SELECT f FROM bs WHERE k = a) AS fa, (SELECT f FROM bs WHERE k = z) AS fz FROM l2),
+best AS (SELECT k FROM bs, l3 WHERE k BETWEEN a AND z ORDER BY round(fa + (fz - fa) / greatest(z - a, 1) * (k - a) - f, 9) DESC, k LIMIT 1)
+SELECT round(m, 6) AS threshold FROM bs, best WHERE bs.k = least(best.k + 1, 63)""")
+rule("huang", """, ends AS (SELECT min(k) AS a, max(k) AS z FROM bs WHERE f > 0),
+cuts AS (SELECT k AS t FROM bs, ends WHERE k >= a AND k < z),
+sides AS (SELECT t, bs.k > t AS side, floor(sum(bs.k * f) / sum(f) + 0.5) AS mean FROM cuts, bs GROUP BY 1, 2 HAVING sum(f) > 0),
+terms AS (SELECT sides.t, f, 1 / (1 + abs(bs.k - mean) / (z - a)) AS mu FROM sides, bs, ends WHERE (bs.k > sides.t) = side),
+fuzzy AS (SELECT t, sum(CASE WHEN mu < 1 THEN -(mu * ln(mu) + (1 - mu) * ln(1 - mu)) * f ELSE 0 END) AS fz FROM terms GROUP BY t)
+SELECT round(m, 6) AS threshold FROM fuzzy JOIN bs ON bs.k = t ORDER BY round(fz, 9), t LIMIT 1""")
+rule("li", """, b AS (SELECT least(min(a), 0) AS shift FROM h),
+it AS (WITH RECURSIVE r(n, t, before) AS (SELECT 0, any_value(mm / n), CAST(NULL AS DOUBLE) FROM bs UNION ALL
+  SELECT n + 1, (back - fore) / (ln(back) - ln(fore)) + shift, t FROM (SELECT r.n, r.t, shift, (SELECT sum(f * m) / sum(f) FROM bg WHERE m <= r.t) - shift AS back, (SELECT sum(f * m) / sum(f) FROM bg WHERE m > r.t) - shift AS fore
+    FROM r, b WHERE r.n < 200 AND (r.before IS NULL OR abs(r.t - r.before) >= 0.5)) WHERE back > 0 AND fore > 0 AND back <> fore) SELECT * FROM r)
+SELECT round(t, 6) AS threshold FROM it ORDER BY n DESC LIMIT 1""")

@@ -61,7 +61,9 @@ def best_shift(spark, sf_dir):
     return spark.createDataFrame([(*best, value)], "dx double, dy double, value double")
 
 
-table("registration_exhaustive", best_shift, "SELECT 1.0::DOUBLE AS dx, 2.0::DOUBLE AS dy, 0.0::DOUBLE AS value")
+table("registration_exhaustive", best_shift, CELLS + LIMITS + """, m AS (SELECT (x + 1) % nx AS x, (y + 2) % ny AS y, v FROM q, l),
+p AS (SELECT dx, dy, avg(pow(m.v - q.v, 2)) AS value FROM (SELECT unnest([0, 1]) AS dx) a, (SELECT unnest([1, 2]) AS dy) b, q JOIN m ON m.x = q.x + dx AND m.y = q.y + dy GROUP BY dx, dy)
+SELECT CAST(dx AS DOUBLE) AS dx, CAST(dy AS DOUBLE) AS dy, CAST(value AS DOUBLE) AS value FROM p ORDER BY value, dx, dy LIMIT 1""")
 
 
 def blobs(spark, shift):
