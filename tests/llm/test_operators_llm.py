@@ -561,3 +561,31 @@ def test_decontamination_of_repeated_null_and_very_long_rows(spark):
     got = decontaminate.digest(decontaminate.contamination(docs, bench)).collect()
     assert time.perf_counter() - began < 60
     assert sorted((r.doc_id or 0, r.n_hit, r.n_items, r.contaminated) for r in got) == sorted([(1, 30, 1, True)] * 2 + [(0, 30, 1, True), (0, 0, 0, False), (2, 0, 0, False), (3, 100_000, 1, True), (4, 0, 0, False)])
+
+
+def brute_base(text):
+    """Places of base phrases by comparing words one by one."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    places = [(i, label) for phrase, label in licenses.BASE.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+    at = [i for i, _ in places]
+    return len(words), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({label for _, label in places}))
+
+
+def test_licenses_base_columns_by_brute_force(spark):
+    own = random.Random(8)
+    parts = ["GNU", "General", "public", "license", "Apache", "CC", "by", "mit", "the", "gnu general public license", "MIT License", "cc-BY", "é", "\x00", "x\x0by", ".", "\n", "Licence"]
+    rows = [(i if i % 5 else None, own.choice([" ", "-", ", "]).join(own.choices(parts, k=own.randint(0, 40)))) for i in range(80)]
+    rows += [(1, None), (1, ""), (2, rows[3][1]), (2, rows[3][1]), (None, "mit license " * 20_000), (3, "x" * 1_000_000)]
+    d = spark.createDataFrame([(*r, 1, "c") for r in rows], "doc_id long, text string, n_words int, labels string")
+    began = time.perf_counter()
+    got = licenses.digest(licenses.scan_licenses(d)).collect()
+    assert time.perf_counter() - began < 90
+    some = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(some((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels)) for r in got) == sorted(some((i, *brute_base(t))) for i, t in rows)
+    assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in got)
+
+
+def test_urls_of_repeated_null_and_very_long_rows(spark):
+    rows = [(None, "https://a.net/fr/x"), (None, "https://a.net/fr/x"), (1, None), (1, None), (2, "https://h.org/" + "a" * 500_000 + "/casino"), (3, "casino"), (4, "https://h.org/free\x00win")]
+    got = urls.judge(spark.createDataFrame([(*r, "r") for r in rows], "page_id long, url string, rule string")).collect()
+    assert sorted((r.page_id or 0, r.rule or "", r.verdict) for r in got) == [(0, "net/fr/", "block")] * 2 + [(1, "", "allow")] * 2 + [(2, "", "block"), (3, "", "block"), (4, "", "block")]
