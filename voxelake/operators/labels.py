@@ -29,7 +29,7 @@ def _number(rows: DataFrame, r: Raster, by: str) -> DataFrame:
 
 
 #: Voxels of a tile whose components one task finds at a time.
-TILE_VOXELS = 1 << 16
+TILE_VOXELS = 1 << 18
 Alike = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -84,6 +84,8 @@ def _components(r: Raster, inside: DataFrame, joins: Column, fully_connected: bo
     rows = inside.select(*r.keys, "v")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     rows = staged(rows.groupBy("image_id", *tile).applyInArrow(_tile_roots(r.axes, r.geometry.size, side, offsets, alike), f"{kinds}, run long"))
+    if max(r.geometry.size) <= side:
+        return rows.withColumn("root", F.col("run"))
     edges = []
     for o in offsets:
         step = dict(zip(r.axes, o))

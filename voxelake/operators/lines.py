@@ -79,6 +79,25 @@ def discrete_gaussian(r: Raster, variance: float, maximum_error: float = 0.01, w
     return r
 
 
+def derivative_weights(order: int) -> list[float]:
+    """Central differences of an order on the grid: pairs of second differences, one first one if odd."""
+    w = np.ones(1)
+    for _ in range(order // 2):
+        w = np.convolve(w, [1.0, -2.0, 1.0])
+    return (np.convolve(w, [-0.5, 0.0, 0.5]) if order % 2 else w).tolist()
+
+
+def discrete_gaussian_derivative(r: Raster, variance: Sequence[float], order: Sequence[int], maximum_error: float = 0.01, width: int = 32, use_spacing: bool = True, normalize: bool = False) -> Raster:
+    """A discrete Gaussian and central differences of an order for each axis, as one kernel an axis;
+    ``normalize`` scales by sigma to the order."""
+    for a, s, t, n in zip(r.axes, r.geometry.spacing, variance, order):
+        h = s if use_spacing else 1.0
+        scale = (math.sqrt(t) ** n if normalize else 1.0) / h**n
+        w = np.convolve(bessel_kernel(t / h**2, maximum_error, width), derivative_weights(n)) * scale
+        r = along(r, a, fir(w[::-1]))  # fir turns the weights round, as a convolution does
+    return r
+
+
 def smooth_gaussian(r: Raster, sigma: float) -> Raster:
     """Truncated Gaussian of radius ceil(4 sigma)."""
     for a, s in zip(r.axes, r.geometry.spacing):

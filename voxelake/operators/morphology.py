@@ -142,21 +142,33 @@ def binary_median(r: Raster, radius: Sequence[int], foreground: int = 1, backgro
     return r.with_rows(_count(r, radius, foreground).df.withColumn("v", F.when(F.col("v") > n // 2, foreground).otherwise(background)))
 
 
-def _contour(r: Raster, keep, fully_connected: bool) -> Raster:
-    shape = element("box" if fully_connected else "cross", [1] * r.dim)
-    centre = (3**r.dim) // 2
-    v = F.element_at(F.col("v"), centre + 1)
-    return _filter(r, [1] * r.dim, lambda w: F.when(F.exists(_pick(w, shape), lambda x: F.coalesce(keep(v, x), F.lit(False))), v).otherwise(0), "null")
+def _contour(r: Raster, fully_connected: bool) -> Raster:
+    """Voxels that are not 0 and touch another value; others become 0."""
+    if not exact_in_double(r):
+        at, v = element("box" if fully_connected else "cross", [1] * r.dim), F.element_at(F.col("v"), 3**r.dim // 2 + 1)
+        touches = lambda w: F.exists(_pick(w, at), lambda x: F.coalesce((v != 0) & (x != v), F.lit(False)))
+        return _filter(r, [1] * r.dim, lambda w: F.when(touches(w), v).otherwise(0), "null")
+    steps = [o for o in itertools.product((0, 1, 2), repeat=r.dim) if fully_connected or sum(k != 1 for k in o) == 1]
+
+    def kernel(block: np.ndarray) -> np.ndarray:
+        own = block[(slice(1, -1),) * block.ndim]
+        touches = np.zeros(own.shape, bool)
+        for o in steps:
+            other = block[tuple(slice(k, k + n) for k, n in zip(o, own.shape))]
+            touches |= (other != own) & ~np.isnan(other)
+        return np.where(touches & (own != 0), own, 0)
+
+    return blocks(r, [1] * r.dim, kernel, "nan")
 
 
 def binary_contour(r: Raster, foreground: int = 1, fully_connected: bool = False) -> Raster:
     """Foreground voxels that touch another value."""
-    return _contour(r.map(lambda v: F.when(v == foreground, foreground).otherwise(0)), lambda v, x: (v == foreground) & (x != foreground), fully_connected)
+    return _contour(r.map(lambda v: F.when(v == foreground, foreground).otherwise(0)), fully_connected)
 
 
 def label_contour(r: Raster, fully_connected: bool = False) -> Raster:
     """Labelled voxels that touch another label."""
-    return _contour(r, lambda v, x: (v != 0) & (x != v), fully_connected)
+    return _contour(r, fully_connected)
 
 
 # Reconstruction

@@ -219,6 +219,8 @@ def bessel_weights(variance: float, error: float) -> list[float]:
 _half = bessel_weights(1.0, 0.01)
 _weight = lambda of: f"[{', '.join(f'{x!r}::DOUBLE' for x in _half)}][abs({of}) + 1]"
 near("discrete_gaussian", lambda r: ln.discrete_gaussian(r, 1.0), over_box(f"sum(n * {_weight('dx')} * {_weight('dy')})", len(_half) - 1, len(_half) - 1), real)
+_slope = lambda of: f"(CASE WHEN {of} - 1 BETWEEN {1 - len(_half)} AND {len(_half) - 1} THEN {_weight(f'({of} - 1)')} ELSE 0 END - CASE WHEN {of} + 1 BETWEEN {1 - len(_half)} AND {len(_half) - 1} THEN {_weight(f'({of} + 1)')} ELSE 0 END) / 2"
+near("discrete_gaussian_derivative", lambda r: ln.discrete_gaussian_derivative(r, (1.0, 1.0), (1, 0)), over_box(f"sum(n * {_slope('dx')} * {_weight('dy')})", len(_half), len(_half) - 1), real)
 SMOOTH = "sum(n * exp(-(dx * dx + dy * dy) / 0.5::DOUBLE)) / sum(exp(-(dx * dx + dy * dy) / 0.5::DOUBLE))"
 near("unsharp_mask", lambda r: ln.unsharp_mask(r, 0.5), over_box(f"any_value(v) + 0.5 * (any_value(v) - {SMOOTH})", 2, 2))
 
