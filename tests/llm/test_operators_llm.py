@@ -309,12 +309,14 @@ def test_classifiers_take_repeated_null_and_very_long_rows(spark, module):
 
 
 def test_urls_meet_sql(spark):
-    urls_ = ["https://www.example.com/en/a?x#y", "http://a.EXAMPLE.com/en/1", "http://com/x", "ftp://q.net/fr/", "https://spam-farm.example.org/a", "https://x.org/cheap-pills", "https://x.org/cheapest", None, "", "no scheme", "a://b://c/d", "http://notcom/", "http://x.net?/es/", "http://h\n/é?"]
+    urls_ = ["https://www.example.com/en/a?x#y", "http://a.EXAMPLE.com/en/1", "http://com/x", "ftp://q.net/fr/", "https://spam-farm.example.org/a", "https://x.org/cheap-pills", "https://x.org/cheapest", None, "", "no scheme", "a://b://c/d", "http://notcom/", "http://x.net?/es/", "http://h\n/é?", "https://x.org/%70OR%6E", "https://x.org/c%61sino%73", "https://x.org/hot-deals", "https://x.org/hot-deals-bonus-money", "https://x.org/%zz%6", "https://x.org/weight-loss/pills"]
     rows = [(i, u, "<p>", 1) for i, u in enumerate(urls_)] + [(3, urls_[3], None, 2)]
     d = spark.createDataFrame(rows, "page_id long, url string, html string, low int")
     got = urls.digest(urls.judge(d)).toPandas()
     same(got, from_sql(urls.judge_sql(), pages=pd.DataFrame(rows, columns=["page_id", "url", "html", "x"])))
     assert urls.judge(d.limit(0)).count() == 0
+    says = {urls_[r.page_id]: r.verdict for r in got.itertuples() if pd.notna(r.page_id)}
+    assert [says[f"https://x.org/{p}"] for p in ("%70OR%6E", "c%61sino%73", "hot-deals", "hot-deals-bonus-money", "%zz%6", "weight-loss/pills")] == ["block", "block", "allow", "block", "allow", "block"]
 
 
 def test_merkle_edits_and_order(docs, corpus, empty, monkeypatch):
