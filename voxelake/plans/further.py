@@ -288,3 +288,36 @@ it AS (WITH RECURSIVE r(n, t, before) AS (SELECT 0, any_value(mm / n), CAST(NULL
   SELECT n + 1, (back - fore) / (ln(back) - ln(fore)) + shift, t FROM (SELECT r.n, r.t, shift, (SELECT sum(f * m) / sum(f) FROM bg WHERE m <= r.t) - shift AS back, (SELECT sum(f * m) / sum(f) FROM bg WHERE m > r.t) - shift AS fore
     FROM r, b WHERE r.n < 200 AND (r.before IS NULL OR abs(r.t - r.before) >= 0.5)) WHERE back > 0 AND fore > 0 AND back <> fore) SELECT * FROM r)
 SELECT round(t, 6) AS threshold FROM it ORDER BY n DESC LIMIT 1""")
+rule("kittler_illingworth", """, it AS (WITH RECURSIVE r(n, t, before) AS (SELECT 0, any_value(mm / n), CAST(NULL AS DOUBLE) FROM bs UNION ALL
+  SELECT n + 1, (h + sqrt(disc)) / a, t FROM (SELECT *, h * h - a * c AS disc FROM (SELECT n, t, 1 / v0 - 1 / v1 AS a, u0 / v0 - u1 / v1 AS h, u0 * u0 / v0 - u1 * u1 / v1 + log10(v0 * w1 * w1 / (v1 * w0 * w0)) AS c
+    FROM (SELECT n, t, w0, w1, u0, u1, q0 / w0 - u0 * u0 AS v0, q1 / w1 - u1 * u1 AS v1 FROM (SELECT n, t, w0, w1, s0 / w0 AS u0, s1 / w1 AS u1, q0, q1
+      FROM (SELECT r.n, r.t, (SELECT sum(f) FROM bg WHERE m <= r.t) AS w0, (SELECT sum(f) FROM bg WHERE m > r.t) AS w1, (SELECT sum(f * m) FROM bg WHERE m <= r.t) AS s0, (SELECT sum(f * m) FROM bg WHERE m > r.t) AS s1,
+        (SELECT sum(f * m * m) FROM bg WHERE m <= r.t) AS q0, (SELECT sum(f * m * m) FROM bg WHERE m > r.t) AS q1 FROM r WHERE r.n < 300 AND (r.before IS NULL OR abs(r.t - r.before) >= 1e-9)))) WHERE v0 > 1e-9 AND v1 > 1e-9)) WHERE disc >= 0) SELECT * FROM r)
+SELECT round(t, 6) AS threshold FROM it ORDER BY n DESC LIMIT 1""")
+
+# More chained and circular filters
+AROUND = over_box("{value}", 1, 1).split(" SELECT CAST(x")[0] + ", lap AS (SELECT x, y, any_value(v) AS v, sum(n) FILTER (abs(dx) + abs(dy) = 1) - 4 * any_value(v) AS p FROM w GROUP BY x, y)"
+near("laplacian_sharpening", win.laplacian_sharpening, AROUND + """, ext AS (SELECT min(v) AS lo, max(v) AS hi, avg(v) AS mean, min(p) AS plo, max(p) AS phi FROM lap),
+d AS (SELECT x, y, v - ((p - plo) * ((hi - lo) / CAST(phi - plo AS DOUBLE)) + lo) AS v, lo, hi, mean FROM lap, ext)""" + out("least(greatest(v - (SELECT avg(v) FROM d) + mean, lo), hi)", "d"))
+UNIT_OF = "((CAST({0} AS DOUBLE) - lo) / (hi - lo) - 0.5)"
+DELTA = f"({UNIT_OF.format('v')} - {UNIT_OF.format('n')})"
+near("adaptive_histogram_equalization", lambda r: dif.adaptive_histogram_equalization(r, (2, 2)), box(2, 2) + ", ext AS (SELECT min(v) AS lo, max(v) AS hi FROM q)"
+     + out(f"(sum(0.5 * sign({DELTA}) * pow(abs(2 * {DELTA}), 0.3) - 0.15 * sign({DELTA}) * abs(2 * {DELTA}) + 0.3 * {UNIT_OF.format('v')}) / 25 + 0.5) * any_value(hi - lo) + any_value(lo)", "w, ext GROUP BY x, y"), real)
+PICK = "list_sort(list(m.v))[CAST(floor(0.5 * (count(*) - 1) + 0.5) AS BIGINT) + 1]"
+near("fast_approximate_rank", lambda r: win.fast_approximate_rank(r, (1, 1), 0.5), CELLS + f", a AS (SELECT q.x, q.y, {PICK} AS v FROM q JOIN q m ON m.y = q.y AND abs(m.x - q.x) <= 1 GROUP BY q.x, q.y), b AS (SELECT a.x, a.y, {PICK} AS v FROM a JOIN a m ON m.x = a.x AND abs(m.y - a.y) <= 1 GROUP BY a.x, a.y)" + out("v", "b"))
+near("fft_low_pass", lambda r: ln.fft_filter(r, lambda fx, fy: F.exp(-(fx * fx + fy * fy) * 20)), CELLS + LIMITS + """,
+hx AS (SELECT d, sum(exp(-20 * pow(least(k, 12 - k) / 12.0::DOUBLE, 2)) * cos(2 * pi() * k * d / 12)) / 12 AS h FROM (SELECT unnest(range(12)) AS d), (SELECT unnest(range(12)) AS k) GROUP BY d),
+hy AS (SELECT d, sum(exp(-20 * pow(least(k, ny - k) / CAST(ny AS DOUBLE), 2)) * cos(2 * pi() * k * d / ny)) / any_value(ny) AS h FROM (SELECT unnest(range((SELECT max(y) + 1 FROM q))) AS d), (SELECT unnest(range((SELECT max(y) + 1 FROM q))) AS k), l GROUP BY d),
+a AS (SELECT q.x, q.y, sum(n.v * h) AS v FROM q JOIN q n ON n.y = q.y JOIN hx ON hx.d = (q.x - n.x + 12) % 12 GROUP BY q.x, q.y)
+SELECT CAST(q.x AS BIGINT) AS x, CAST(q.y AS BIGINT) AS y, round(sum(n.v * h), 6) + 0.0 AS v FROM a q JOIN a n ON n.x = q.x, l JOIN hy ON true WHERE hy.d = (q.y - n.y + ny) % ny GROUP BY q.x, q.y""")
+MINMAX = BEND.replace("/ 4 AS xy", "/ 4 AS xy, avg(m.v) AS mean").replace("v + {step} * CASE WHEN px * px + py * py < 1e-12 THEN 0 ELSE (xx * py * py - 2 * px * py * xy + yy * px * px) / (px * px + py * py) END{slow} AS v", "v + CASE WHEN mean < v THEN least({bend}, 0) ELSE greatest({bend}, 0) END AS v")
+_bend = "0.05 * CASE WHEN px * px + py * py < 1e-12 THEN 0 ELSE (xx * py * py - 2 * px * py * xy + yy * px * px) / (px * px + py * py) END"
+near("min_max_curvature_flow", lambda r: dif.min_max_curvature_flow(r, iterations=2), START + "".join(MINMAX.format(n=k, p=k - 1, bend=_bend) for k in (1, 2)) + out("v", "u2"), real)
+near("objectness_measure", dif.objectness_measure, START + BEND.format(n=1, p=0, step=0, slow="") + """, hs AS (SELECT x, y, (xx + yy) / 2 + sqrt(pow((xx - yy) / 2, 2) + xy * xy) AS one, (xx + yy) / 2 - sqrt(pow((xx - yy) / 2, 2) + xy * xy) AS two FROM b1),
+bg2 AS (SELECT *, CASE WHEN abs(one) >= abs(two) THEN one ELSE two END AS big, CASE WHEN abs(one) >= abs(two) THEN two ELSE one END AS small FROM hs)"""
+     + out("CASE WHEN big < 0 THEN exp(-pow(small / big, 2) / 0.5) * (1 - exp(-(one * one + two * two) / 50)) ELSE 0 END", "bg2"), real)
+GROW = """, s{n} AS (SELECT avg(CAST(v AS DOUBLE)) AS m, coalesce(stddev_samp(v), 0) AS d FROM {of}),
+m{n} AS (SELECT x, y, v FROM q, s{n} WHERE v BETWEEN s{n}.m - s{n}.d AND s{n}.m + s{n}.d),
+r{n} AS (WITH RECURSIVE reach(x, y, v) AS (SELECT x, y, v FROM m{n} WHERE x = 4 AND y = 4 UNION SELECT n.x, n.y, n.v FROM reach r, """ + SIDES + """ JOIN m{n} n ON n.x = r.x + dx AND n.y = r.y + dy) SELECT * FROM reach)"""
+near("confidence_connected", lambda r: gr.confidence_connected(r, [(4, 4)], 1.0, 2), CELLS + ", r0 AS (SELECT * FROM q WHERE abs(x - 4) <= 1 AND abs(y - 4) <= 1)" + "".join(GROW.format(n=k, of=f"r{k - 1}") for k in (1, 2, 3))
+     + " SELECT CAST(q.x AS BIGINT) AS x, CAST(q.y AS BIGINT) AS y, CASE WHEN r3.x IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS v FROM q LEFT JOIN r3 USING (x, y)")
