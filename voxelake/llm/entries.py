@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, merkle, mixing, quality, simhash, spelling, substring, token_counts, toxicity, urls
+from . import collocations, decontaminate, licenses, merkle, mixing, quality, simhash, spelling, substring, token_counts, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,8 +65,12 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.digest(spelling.group_spellings(table(spark, sf_dir, "documents")))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    own = [op1_source_mix, op2_token_counts, op3_substring_dedup, op4_quality, op5_url_filter, op6_merkle, op7_simhash, op8_toxicity, op9_licenses, op10_decontamination, op12_spelling]
+    own = [op1_source_mix, op2_token_counts, op3_substring_dedup, op4_quality, op5_url_filter, op6_merkle, op7_simhash, op8_toxicity, op9_licenses, op10_decontamination, op12_spelling, op13_collocations]
     return {f.__name__: f for f in own}
 
 
@@ -76,4 +80,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_substring_dedup": substring.repeats_sql(),
         "op5_url_filter": urls.judge_sql(),
         "op10_decontamination": decontaminate.contamination_sql(),
+        "op13_collocations": collocations.collocations_sql(),
     }
