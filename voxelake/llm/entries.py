@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, licenses, merkle, mixing, quality, simhash, spelling, substring, token_counts, toxicity, urls
+from . import collocations, decontaminate, language_model, licenses, merkle, mixing, quality, simhash, spelling, substring, token_counts, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +61,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.language_scores(table(spark, sf_dir, "documents"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.digest(spelling.group_spellings(table(spark, sf_dir, "documents")))
 
@@ -70,7 +74,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_source_mix, op2_token_counts, op3_substring_dedup, op4_quality, op5_url_filter, op6_merkle, op7_simhash, op8_toxicity, op9_licenses, op10_decontamination, op12_spelling, op13_collocations]
+    own = [op1_source_mix, op2_token_counts, op3_substring_dedup, op4_quality, op5_url_filter, op6_merkle, op7_simhash, op8_toxicity, op9_licenses, op10_decontamination, op11_language_model, op12_spelling, op13_collocations]
     return {f.__name__: f for f in own}
 
 
