@@ -66,7 +66,8 @@ def test_slots_verify_stored_words():
 
 
 def test_long_text_is_cut_at_breaks():
-    text = "ab cd." * 50 + "x" * 40 + " y"
+    text = b"Ab cd." * 50 + b"x" * 40 + " Ä\ty".encode()
     parts = list(collocations._chunks(text, 10))
-    assert "".join(parts) == text and max(map(len, parts)) <= 52
+    assert b"".join(parts) == text and max(map(len, parts)) <= 52
     assert [t for p in parts for t in collocations.tokens(p)] == collocations.tokens(text)
+    assert collocations.tokens("Ä!B\x1fc \x0b".encode()) == ["Ä".encode(), b".", b"b\x1fc", b"."]

@@ -19,7 +19,6 @@ SHARDS_AT_ONCE shards of SHARD candidates; more shards take further passes over
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,11 +28,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER, ascii_lower, slices, staged, texts
+from .common import ASCII_LOWER, ASCII_UPPER, slices, staged
 
 # Fixed values of the query contract.
-BREAKS = ".,;:!?\n\x0b\x0c\r"
-tokens = re.compile("[^ \t.,;:!?\n-\r]+|[.,;:!?\n-\r]").findall
+BREAKS = b".,;:!?\n\x0b\x0c\r"
 LONGEST = 5
 LEAST = 100
 REPORT = 2000
@@ -48,13 +46,20 @@ SCREEN_ROWS = 1_000_000
 SHARD = 1_000_000
 SHARDS_AT_ONCE = 2
 CHUNK = 1 << 16
+#: Lower case, and every break as a full stop.  All of these are ASCII, so UTF-8 needs no decoding.
+_FOLD = bytes.maketrans(BREAKS + ASCII_UPPER.encode(), b"." * len(BREAKS) + ASCII_LOWER.encode())
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def word_key(lang: str, word: str | None, seed: int) -> int:
+def tokens(text: bytes) -> list[bytes]:
+    """The words of a text in UTF-8, lower-cased, with a full stop for each break between pieces."""
+    return text.translate(_FOLD).replace(b".", b" . ").split()
+
+
+def word_key(lang: str, word: bytes | None, seed: int) -> int:
     """A 64-bit key of a word of a language (None: of the language), never 0."""
-    text = f"{len(lang)}:{lang}{'' if word is None else '=' + word}"
-    return xxhash.xxh3_64_intdigest(text.encode(), seed) or 1
+    text = f"{len(lang)}:{lang}".encode()
+    return xxhash.xxh3_64_intdigest(text if word is None else text + b"=" + word, seed) or 1
 
 
 def joined(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -65,13 +70,19 @@ def joined(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(29))
 
 
-def _chunks(text: str, size: int = 1 << 22) -> Iterator[str]:
-    """The text in parts of about ``size`` code points that end at a space or break."""
-    edge = re.compile("[ \t.,;:!?\n-\r]")
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+
+
+def _chunks(text: bytes, size: int = 1 << 22) -> Iterator[bytes]:
+    """The text in parts of about ``size`` bytes that end before a space or break."""
     at = 0
-    while len(text) - at > size and (m := edge.search(text, at + size)):
-        yield text[at : m.end()]
-        at = m.end()
+    while len(text) - at > size:
+        end = at + size
+        while end < len(text) and text[end] not in b" \t" + BREAKS:
+            end += 1
+        yield text[at:end]
+        at = end
     yield text[at:]
 
 
@@ -85,18 +96,17 @@ def _count_words(seed: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, words in total.items():
-                for c in BREAKS:
-                    words.pop(c, None)
+                words.pop(b".", None)
                 names = [*words, None]
                 keys = np.array([word_key(lang, w, seed) for w in names], np.uint64)
-                yield pa.RecordBatch.from_arrays([_long(keys), pa.array([lang] * len(names), pa.string()), pa.array(names, pa.string()), pa.array([*words.values(), sum(words.values())], pa.int64())], names=["key", "lang", "word", "n"])
+                yield pa.RecordBatch.from_arrays([_long(keys), pa.array([lang] * len(names), pa.string()), pa.array(names, pa.binary()).cast(pa.string()), pa.array([*words.values(), sum(words.values())], pa.int64())], names=["key", "lang", "word", "n"])
             total.clear()
 
         for b in slices(batches, 128):
-            for lang, text in zip(b.column("lang").to_pylist(), texts(b)):
+            for lang, text in zip(b.column("lang").to_pylist(), _texts(b)):
                 words = total.setdefault(NO_LANG if lang is None else lang, Counter())
                 for part in _chunks(text):
-                    words.update(tokens(ascii_lower(part)))
+                    words.update(tokens(part))
             if sum(map(len, total.values())) >= HELD:
                 yield from flush()
         yield from flush()
@@ -129,13 +139,13 @@ def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 class _Codes(dict):
-    """Numbers of tokens in order of first sight; breaks are 0."""
+    """Numbers of tokens in order of first sight; a break is 0."""
 
     def __init__(self):
-        super().__init__(dict.fromkeys(BREAKS, 0))
+        super().__init__({b".": 0})
 
-    def __missing__(self, token: str) -> int:
-        self[token] = n = len(self) - len(BREAKS) + 1
+    def __missing__(self, token: bytes) -> int:
+        self[token] = n = len(self)
         return n
 
 
@@ -159,11 +169,11 @@ def _encode(bits, seed: int):
         size: Counter = Counter()
         end = np.zeros(1, np.int64)
         for b in slices(batches, 128):
-            for lang, text in zip(b.column("lang").to_pylist(), texts(b)):
+            for lang, text in zip(b.column("lang").to_pylist(), _texts(b)):
                 lang = NO_LANG if lang is None else lang
                 codes, parts = held.setdefault(lang, (_Codes(), []))
                 for part in _chunks(text):
-                    found = tokens(ascii_lower(part))
+                    found = tokens(part)
                     parts.append(np.fromiter(map(codes.__getitem__, found), np.int64, len(found)))
                     size[lang] += len(found)
                 parts.append(end)
@@ -274,22 +284,58 @@ def _screen(blocks: DataFrame, least: int, groups: int, pairs=None) -> np.ndarra
     return _table(dealt.groupBy("part").applyInArrow(_frequent(least), "key long"), "key")
 
 
-def _candidates(pairs, longer):
+def _once(keys: list[np.ndarray], words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    k, first = np.unique(np.concatenate(keys), return_index=True)
+    return k, np.concatenate(words)[first]
+
+
+def _candidates(groups: int, pairs, longer):
+    """The phrases that pass the screens, each once a task, packed for the groups they are dealt to."""
+
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.uint64)
+        keys, words = [np.zeros(0, np.uint64)], [np.zeros((0, LONGEST), np.uint64)]
+        held = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            k, w = _once(keys, words)
+            group = ((k >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
+            order = np.argsort(group, kind="stable")
+            cuts = np.flatnonzero(np.diff(group[order], prepend=-1))
+            rows = [order[i:j] for i, j in zip(cuts, [*cuts[1:], len(order)])]
+            yield pa.RecordBatch.from_arrays([pa.array(group[order][cuts], pa.int32()), pa.array([k[r].tobytes() for r in rows], pa.binary()), pa.array([w[r].tobytes() for r in rows], pa.binary())], names=["part", "keys", "words"])
+
         for b in batches:
             for row in b.to_pylist():
-                w = _keys(row)
+                w = np.append(_keys(row), np.zeros(LONGEST, np.uint64))
                 for k, at, h in _phrases(w, pairs.value, longer.value):
                     h, first = np.unique(h, return_index=True)
-                    new = ~np.isin(h, seen)
-                    rows = np.ascontiguousarray(w[at[first[new]][:, None] + np.arange(k)])
-                    seen = np.union1d(seen, h[new]) if len(seen) < TALLY else h
-                    yield pa.RecordBatch.from_arrays([_long(h[new]), pa.array([r.tobytes() for r in rows], pa.binary())], names=["key", "words"])
+                    spelled = np.zeros((len(h), LONGEST), np.uint64)
+                    spelled[:, :k] = w[at[first][:, None] + np.arange(k)]
+                    keys.append(h)
+                    words.append(spelled)
+                    held += len(h)
+            if held > TALLY // 4:
+                keys, words = map(lambda x: [x], _once(keys, words))
+                held = len(keys[0])
+                if held > TALLY // 8:
+                    yield from flush()
+                    keys, words, held = [np.zeros(0, np.uint64)], [np.zeros((0, LONGEST), np.uint64)], 0
+        yield from flush()
 
     return candidates
 
 
+def _distinct(table: pa.Table) -> pa.Table:
+    """A group's phrases once each; ``clash``: two phrases have one key."""
+    k = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()])
+    w = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("words").to_pylist()]).reshape(-1, LONGEST)
+    u, first, j = np.unique(k, return_index=True, return_inverse=True)
+    differs = (w != w[first][j]).any(1)
+    clash = np.zeros(len(u), bool)
+    clash[j[differs]] = True
+    return pa.table({"key": _long(u), "words": pa.array([x.tobytes() for x in w[first]], pa.binary()), "clash": pa.array(clash)})
+
+
 class PerfectHash:
     """A minimal perfect hash of 64-bit keys: each level places the keys that meet no other one
     in a bit array; a key's slot is the number of bits set before its own."""
@@ -349,18 +395,16 @@ class Shard:
 
 
 def padded(words: list[bytes]) -> np.ndarray:
-    """Words of phrases as rows of LONGEST keys, zeros behind the last."""
-    size = np.fromiter((len(w) // 8 for w in words), np.int64, len(words))
-    out = np.zeros((len(words), LONGEST), np.uint64)
-    out[np.arange(LONGEST) < size[:, None]] = np.frombuffer(b"".join(words), np.uint64)
-    return out
+    """The keys of phrases' words as rows of LONGEST, zeros behind the last."""
+    return np.frombuffer(b"".join(words), np.uint64).reshape(-1, LONGEST)
 
 
 def _one_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words as phrases of one word."""
     for b in batches:
-        keys = b.column("key").to_numpy()
-        yield pa.RecordBatch.from_arrays([_long(keys), pa.array([k.tobytes() for k in keys], pa.binary())], names=["key", "words"])
+        words = np.zeros((b.num_rows, LONGEST), np.int64)
+        words[:, 0] = b.column("key").to_numpy()
+        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([w.tobytes() for w in words], pa.binary()), pa.array(np.zeros(b.num_rows, bool))], names=["key", "words", "clash"])
 
 
 def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -480,10 +524,10 @@ def _with_seed(documents: DataFrame, least: int, report: int, shard: int, seed:
     blocks = staged(documents.select("lang", "text").mapInArrow(_encode(send(_table(known, "key")), seed), "keys binary, at binary, narrow boolean"))
     pairs = send(_screen(blocks, least, groups))
     longer = send(_screen(blocks, least, groups, pairs))
-    found = blocks.mapInArrow(_candidates(pairs, longer), "key long, words binary").groupBy("key").agg(F.min("words").alias("words"), F.max("words").alias("most"))
-    singles = known.select("key").mapInArrow(_one_word, "key long, words binary")
-    candidates = staged(found.unionByName(singles.withColumn("most", F.col("words"))))
-    clash, size = candidates.agg(F.max(F.expr("words <> most")), F.count(F.lit(1))).first()
+    found = blocks.mapInArrow(_candidates(groups, pairs, longer), "part int, keys binary, words binary").groupBy("part").applyInArrow(_distinct, "key long, words binary, clash boolean")
+    singles = known.select("key").mapInArrow(_one_word, "key long, words binary, clash boolean")
+    candidates = staged(found.unionByName(singles))
+    clash, size = candidates.agg(F.max("clash"), F.count(F.lit(1))).first()
     if clash or candidates.groupBy("key").count().where("count > 1").limit(1).count():
         return None
     shards = max(1, -(-size // shard))
