@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..graph import connected_components, roots
 from ..raster import AXES, PIXELS, Raster, grid
@@ -39,13 +40,30 @@ def _offsets(dim: int, fully_connected: bool) -> list[tuple[int, ...]]:
     return [o[::-1] for o in ahead if fully_connected or sum(map(abs, o)) == 1]
 
 
+def _array(column: pa.ChunkedArray) -> np.ndarray:
+    """Values as NumPy has them: integers stay integers, vectors become rows."""
+    if pa.types.is_list(column.type):
+        return column.combine_chunks().flatten().to_numpy().reshape(len(column), -1)
+    if pa.types.is_decimal(column.type):
+        return np.array(column.to_pylist(), object).astype(np.uint64)
+    return column.to_numpy()
+
+
+def _apart(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """abs(v - w), exact for integers of 64 bits."""
+    if v.dtype.kind not in "iu":
+        return np.abs(v - w)
+    high, low = np.maximum(v, w), np.minimum(v, w)
+    return high.astype(np.uint64) - low.astype(np.uint64)
+
+
 def _tile_roots(axes: Sequence[str], size: Sequence[int], side: int, offsets: Sequence[Sequence[int]], alike: Alike | None):
     """For the voxels of one tile: the smallest raster position of each one's component."""
 
     def find(tile: pa.Table) -> pa.Table:
         at = [tile.column(a).to_numpy() for a in axes]
         near = [a % side for a in at]
-        values = np.array(tile.column("v").to_pylist(), float) if alike else None
+        values = _array(tile.column("v")) if alike else None
         place = np.full([side + 2] * len(axes), -1, np.int64)
         place[tuple(a + 1 for a in near)] = np.arange(tile.num_rows)
         links = []
@@ -82,8 +100,8 @@ def _components(r: Raster, inside: DataFrame, joins: Column, fully_connected: bo
     offsets = _offsets(r.dim, fully_connected)
     tile = [F.floor(F.col(a) / side).cast("int").alias(f"tile_{a}") for a in r.axes]
     rows = inside.select(*r.keys, "v")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    rows = staged(rows.groupBy("image_id", *tile).applyInArrow(_tile_roots(r.axes, r.geometry.size, side, offsets, alike), f"{kinds}, run long"))
+    kinds = StructType([*rows.schema.fields, StructField("run", LongType())])
+    rows = staged(rows.groupBy("image_id", *tile).applyInArrow(_tile_roots(r.axes, r.geometry.size, side, offsets, alike), kinds))
     if max(r.geometry.size) <= side:
         return rows.withColumn("root", F.col("run"))
     edges = []
@@ -108,7 +126,8 @@ def connected_component(r: Raster, fully_connected: bool = False) -> Raster:
 
 def scalar_connected_component(r: Raster, distance: float = 0, fully_connected: bool = False) -> Raster:
     """Components of neighbours whose values differ by at most ``distance``."""
-    return _labelled(r, _components(r, r.df, F.abs(F.col("v") - F.col("w")) <= distance, fully_connected, lambda v, w: np.abs(v - w) <= distance))
+    wide = "decimal(38,0)" if r.pixel.integer else r.pixel.spark
+    return _labelled(r, _components(r, r.df, F.abs(F.col("v").cast(wide) - F.col("w").cast(wide)) <= distance, fully_connected, lambda v, w: _apart(v, w) <= distance))
 
 
 def vector_connected_component(r: Raster, distance: float = 1.0, fully_connected: bool = False) -> Raster:

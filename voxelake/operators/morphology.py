@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..raster import PIXELS, Raster
+from ..raster import PIXELS, Pixel, Raster
 from ..staging import staged
 from .window import _filter, blocks, box_sum, exact_in_double, plane_only, taps
 
@@ -37,7 +37,8 @@ def _extreme(r: Raster, radius: Sequence[int], shape: str, largest: bool) -> Ras
     """Maximum or minimum over the element; outside the grid nothing counts.  A box is one pass
     of comparisons for each axis."""
     if not exact_in_double(r):
-        return _filter(r, radius, lambda w: (F.array_max if largest else F.array_min)(_pick(w, element(shape, radius))), "null")
+        rows = taps(r, radius, "null").df
+        return r.with_rows(rows.withColumn("v", (F.array_max if largest else F.array_min)(_pick(F.col("v"), element(shape, radius)))))
     best = np.fmax if largest else np.fmin
     sides = [2 * k + 1 for k in radius]
     steps = None if shape == "box" else [np.unravel_index(i, sides[::-1])[::-1] for i in element(shape, radius)]
@@ -181,7 +182,8 @@ def _spread(axes: Sequence[str], side: int, offsets: Sequence[Sequence[int]]):
     def spread(tile: pa.Table) -> pa.Table:
         corner = [tile.column(f"tile_{a}")[0].as_py() * side - 2 for a in axes]
         at = tuple(tile.column(a).to_numpy() - c for a, c in zip(axes, corner))
-        mask = np.full([side + 4] * len(axes), -np.inf)
+        whole = pa.types.is_integer(tile.column("v").type)
+        mask = np.full([side + 4] * len(axes), np.iinfo(np.int64).min if whole else -np.inf)
         value = mask.copy()
         mask[at], value[at] = tile.column("m").to_numpy(), tile.column("v").to_numpy()
         inner = tuple(slice(1, -1) for _ in axes)
@@ -190,17 +192,30 @@ def _spread(axes: Sequence[str], side: int, offsets: Sequence[Sequence[int]]):
             for o in offsets:
                 np.fmax(best, value[tuple(slice(1 + k, side + 3 + k) for k in o)], out=best)
             np.fmin(best, mask[inner], out=best)
-            if np.array_equal(best, value[inner], equal_nan=True):
+            if np.array_equal(best, value[inner], equal_nan=not whole):
                 break
             value[inner] = best
         before, after = tile.column("v").to_numpy(), value[at]
-        rose = (before != after) & ~(np.isnan(before) & np.isnan(after))
+        rose = (before != after) & (whole or ~(np.isnan(before) & np.isnan(after)))
         out = tile.drop_columns([f"tile_{a}" for a in axes]).set_column(tile.schema.get_field_index("v"), "v", pa.array(after)).append_column("rose", pa.array(rose))
         return out.filter(tile.column("own")).drop_columns(["own"])
 
     return spread
 
 
+def _ordered(pixel: Pixel, rising: bool) -> tuple[Callable[[Column], Column], Callable[[Column], Column], str]:
+    """Values as numbers that compare as they do (or the other way round), the way back, and the
+    numbers' type: long for integers of 64 bits, which doubles cannot hold, else double."""
+    if pixel.name not in ("int64", "uint64"):
+        turned = lambda c: c if rising else -c
+        return lambda c: turned(c.cast("double")), turned, "double"
+    turned = lambda c: c if rising else F.bitwise_not(c)
+    if pixel.name == "int64":
+        return lambda c: turned(c.cast("long")), turned, "long"
+    middle = F.lit(str(2**63)).cast("decimal(21,0)")
+    return lambda c: turned((c.cast("decimal(21,0)") - middle).cast("long")), lambda c: turned(c).cast("decimal(21,0)") + middle, "long"
+
+
 def reconstruction(marker: Raster, mask: Raster, by: str = "dilation", fully_connected: bool = False) -> Raster:
     """Geodesic reconstruction: the marker spreads under the mask until nothing changes.
 
@@ -210,13 +225,13 @@ def reconstruction(marker: Raster, mask: Raster, by: str = "dilation", fully_con
     """
     from .labels import TILE_VOXELS, _offsets
 
-    sign = 1 if by == "dilation" else -1
     side = max(2, round(TILE_VOXELS ** (1 / mask.dim)))
     ahead = _offsets(mask.dim, fully_connected)
     offsets = [*ahead, *(tuple(-k for k in o) for o in ahead)]
-    now = mask.zip(marker).select(*mask.keys, (F.col("v0").cast("double") * sign).alias("m"), F.least(F.col("v0").cast("double") * sign, F.col("v1").cast("double") * sign).alias("v"))
+    into, back, kind = _ordered(mask.pixel, by == "dilation")
+    now = mask.zip(marker).select(*mask.keys, into(F.col("v0")).alias("m"), F.least(into(F.col("v0")), into(F.col("v1"))).alias("v"))
     tile = lambda c: F.floor(c / side).cast("int")
-    kinds = "image_id long, " + ", ".join(f"{a} int" for a in mask.axes) + ", m double, v double, rose boolean"
+    kinds = "image_id long, " + ", ".join(f"{a} int" for a in mask.axes) + f", m {kind}, v {kind}, rose boolean"
     while True:
         rows = now
         for a in mask.axes:  # a voxel at a tile's border also goes to the tile behind it
@@ -226,7 +241,7 @@ def reconstruction(marker: Raster, mask: Raster, by: str = "dilation", fully_con
         done = staged(rows.groupBy("image_id", *[f"tile_{a}" for a in mask.axes]).applyInArrow(_spread(mask.axes, side, offsets), kinds))
         now = done.drop("rose")
         if max(mask.geometry.size) <= side or done.where("rose").isEmpty():
-            return mask.with_rows(now.withColumn("v", F.col("v") * sign))
+            return mask.with_rows(now.withColumn("v", back(F.col("v"))))
 
 
 def _border(r: Raster) -> Column:

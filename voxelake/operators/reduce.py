@@ -7,8 +7,10 @@ the single row per image back (a side whose size is one row per image).
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -272,71 +274,89 @@ def _triangle(b: Bins) -> float:
     return mid[min(at + 1, len(mid) - 1)]
 
 
+def _bin(b: Bins, value: float) -> int:
+    """The bin that holds a value; values beyond the ends belong to the first or the last bin."""
+    if value < b[0][0]:
+        return 0
+    return len(b[0]) - 1 if value >= b[1][-1] else bisect_right(b[0], value) - 1
+
+
 def _li(b: Bins) -> float:
-    mid, total = _moments(b)
+    """Least cross entropy.  Candidates are whole numbers and split at the end of their bin; the
+    result is the middle of the last candidate's bin."""
+    mid, f = np.array(_moments(b)[0]), np.array(b[2], float)
     shift = min(b[0][0], 0.0)
-    t = sum(x * m for x, m in zip(b[2], mid)) / total
-    for _ in range(10_000):
-        low = [(x, m) for x, m in zip(b[2], mid) if m <= t]
-        high = [(x, m) for x, m in zip(b[2], mid) if m > t]
-        if not sum(x for x, _ in low) or not sum(x for x, _ in high):
-            break
-        back = sum(x * m for x, m in low) / sum(x for x, _ in low) - shift
-        fore = sum(x * m for x, m in high) / sum(x for x, _ in high) - shift
-        if back <= 0 or fore <= 0 or back == fore:
-            break
-        new = (back - fore) / (math.log(back) - math.log(fore)) + shift
-        if abs(new - t) < 0.5:
-            return new
-        t = new
-    return t
+    t, cut = float((mid * f).sum() / f.sum()), -1
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for _ in range(10_000):
+            cut = _bin(b, float(math.trunc(t + 0.5)))
+            back, fore = ((mid[s] * f[s]).sum() / max(f[s].sum(), 1) - shift for s in (slice(cut + 1), slice(cut + 1, None)))
+            new = (back - fore) / (np.log(back) - np.log(fore))
+            if not math.isfinite(new):
+                break
+            new = math.trunc(new - 0.5 if new < 0 else new + 0.5) + shift
+            if abs(new - t) <= 0.5:
+                break
+            t = new
+    return float(mid[cut])
 
 
 def _huang(b: Bins) -> float:
-    mid, _ = _moments(b)
-    f = b[2]
-    used = [k for k, x in enumerate(f) if x]
-    first, last = used[0], used[-1]
+    """Least fuzziness.  A side's centre is the bin of its rounded mean value; the very first bin
+    adds nothing to that mean's sum."""
+    mid, f = np.array(_moments(b)[0]), np.array(b[2], float)
+    if len(mid) == 1:
+        return float(mid[0])
+    used = np.flatnonzero(f)
+    first, last = int(used[0]), int(used[-1])
     if first == last:
-        return mid[first]
-    span = last - first
-    term = [0.0] + [-(m * math.log(m) + (1 - m) * math.log(1 - m)) for m in (1 / (1 + i / span) for i in range(1, span + 1))]
+        return float(mid[0])
+    share = 1 / (1 + np.arange(1, last - first + 1) / (last - first))
+    term = np.concatenate(([0.0], -share * np.log(share) - (1 - share) * np.log(1 - share)))
+    sums = mid * f
+    sums[0] = 0.0
 
     def fuzziness(t: int) -> float:
         total = 0.0
-        for side in (range(first, t + 1), range(t + 1, last + 1)):
-            w = sum(f[k] for k in side)
-            if w:
-                mean = math.floor(sum(k * f[k] for k in side) / w + 0.5)
-                total += sum(term[abs(k - mean)] * f[k] for k in side)
+        for side in (slice(first, t + 1), slice(t + 1, last + 1)):
+            centre = _bin(b, math.floor(sums[side].sum() / f[side].sum() + 0.5))
+            total += (term[np.minimum(np.abs(np.arange(side.start, side.stop) - centre), last - first)] * f[side]).sum()
         return total
 
-    return mid[min(range(first, last), key=fuzziness)]
+    return float(mid[min(range(first, last), key=fuzziness)])
 
 
 def _kittler_illingworth(b: Bins) -> float:
-    mid, total = _moments(b)
-    t = sum(x * m for x, m in zip(b[2], mid)) / total
-    for _ in range(1000):
-        parts = [[(x, m) for x, m in zip(b[2], mid) if (m <= t) == low] for low in (True, False)]
-        w = [sum(x for x, _ in part) for part in parts]
-        if not all(w):
-            return t
-        mean = [sum(x * m for x, m in part) / k for part, k in zip(parts, w)]
-        var = [sum(x * (m - u) ** 2 for x, m in part) / k for part, u, k in zip(parts, mean, w)]
-        if not all(var):
-            return t
-        a = 1 / var[0] - 1 / var[1]
-        h = mean[0] / var[0] - mean[1] / var[1]
-        c = mean[0] ** 2 / var[0] - mean[1] ** 2 / var[1] + math.log10(var[0] * w[1] ** 2 / (var[1] * w[0] ** 2))
-        disc = h * h - a * c
-        if disc < 0:
-            return t
-        new = (h + math.sqrt(disc)) / a if a else c / (2 * h)
-        if abs(new - t) < 1e-9:
-            return new
-        t = new
-    return t
+    """Least error of two Gaussians.  Steps go from bin to bin; the result is a bin's middle.  A side
+    without spread is an error."""
+    mid, f = np.array(_moments(b)[0]), np.array(b[2], float)
+    if len(mid) == 1:
+        return float(mid[0])
+    tiny, total = np.finfo(float).eps, f.sum()
+    at, before = _bin(b, float((mid * f).sum() / total)), -2
+    for _ in range(10_000):
+        if at == before:
+            break
+        weight, first, second = (float((mid**k * f)[: at + 1].sum()) for k in range(3))
+        rest = [float((mid**k * f).sum()) - x for k, x in enumerate((weight, first, second))]
+        if weight < tiny:
+            raise ValueError("Kittler-Illingworth: nothing at or below the threshold")
+        if rest[0] < tiny:
+            break
+        low, high = first / weight, rest[1] / rest[0]
+        v, w = second / weight - low * low, rest[2] / rest[0] - high * high
+        if v < tiny or abs(w) < tiny:
+            raise ValueError("Kittler-Illingworth: a side has no spread")
+        a, h = 1 / v - 1 / w, low / v - high / w
+        c = low * low / v - high * high / w + math.log10(v * rest[0] ** 2 / (w * weight**2))
+        root = h * h - a * c
+        if root < tiny:
+            break
+        if abs(a) < tiny:
+            at = _bin(b, -c / h)
+        else:
+            before, at = at, _bin(b, (h + math.sqrt(root)) / a)
+    return float(mid[at])
 
 
 def _renyi(b: Bins) -> float:

@@ -277,23 +277,25 @@ l2 AS (SELECT *, CASE WHEN peak - low >= high - peak THEN low ELSE peak END AS a
 l3 AS (SELECT l2.*, (SELECT f FROM bs WHERE k = a) AS fa, (SELECT f FROM bs WHERE k = z) AS fz FROM l2),
 best AS (SELECT k FROM bs, l3 WHERE k BETWEEN a AND z ORDER BY round(fa + (fz - fa) / greatest(z - a, 1) * (k - a) - f, 9) DESC, k LIMIT 1)
 SELECT round(m, 6) AS threshold FROM bs, best WHERE bs.k = least(best.k + 1, 63)""")
-rule("huang", """, ends AS (SELECT min(k) AS a, max(k) AS z FROM bs WHERE f > 0),
+BIN = "(SELECT CASE WHEN {v} < min(a) THEN 0 WHEN {v} >= max(b) THEN 63 ELSE max(k) FILTER (a <= {v}) END FROM h)"
+rule("huang", f""", ends AS (SELECT min(k) AS a, max(k) AS z FROM bs WHERE f > 0),
 cuts AS (SELECT k AS t FROM bs, ends WHERE k >= a AND k < z),
-sides AS (SELECT t, bs.k > t AS side, floor(sum(bs.k * f) / sum(f) + 0.5) AS mean FROM cuts, bs GROUP BY 1, 2 HAVING sum(f) > 0),
-terms AS (SELECT sides.t, f, 1 / (1 + abs(bs.k - mean) / (z - a)) AS mu FROM sides, bs, ends WHERE (bs.k > sides.t) = side),
+sides AS (SELECT t, bs.k > t AS side, floor(sum(CASE WHEN bs.k > 0 THEN m * f ELSE 0 END) / sum(f) + 0.5) AS mean FROM cuts, bs GROUP BY 1, 2 HAVING sum(f) > 0),
+centred AS (SELECT sides.*, {BIN.format(v="mean")} AS middle FROM sides),
+terms AS (SELECT t, f, 1 / (1 + abs(bs.k - middle) / CAST(z - ends.a AS DOUBLE)) AS mu FROM centred, bs, ends WHERE (bs.k > t) = side),
 fuzzy AS (SELECT t, sum(CASE WHEN mu < 1 THEN -(mu * ln(mu) + (1 - mu) * ln(1 - mu)) * f ELSE 0 END) AS fz FROM terms GROUP BY t)
 SELECT round(m, 6) AS threshold FROM fuzzy JOIN bs ON bs.k = t ORDER BY round(fz, 9), t LIMIT 1""")
-rule("li", """, b AS (SELECT least(min(a), 0) AS shift FROM h),
-it AS (WITH RECURSIVE r(n, t, before) AS (SELECT 0, any_value(mm / n), CAST(NULL AS DOUBLE) FROM bs UNION ALL
-  SELECT n + 1, (back - fore) / (ln(back) - ln(fore)) + shift, t FROM (SELECT r.n, r.t, shift, (SELECT sum(f * m) / sum(f) FROM bg WHERE m <= r.t) - shift AS back, (SELECT sum(f * m) / sum(f) FROM bg WHERE m > r.t) - shift AS fore
-    FROM r, b WHERE r.n < 200 AND (r.before IS NULL OR abs(r.t - r.before) >= 0.5)) WHERE back > 0 AND fore > 0 AND back <> fore) SELECT * FROM r)
-SELECT round(t, 6) AS threshold FROM it ORDER BY n DESC LIMIT 1""")
-rule("kittler_illingworth", """, it AS (WITH RECURSIVE r(n, t, before) AS (SELECT 0, any_value(mm / n), CAST(NULL AS DOUBLE) FROM bs UNION ALL
-  SELECT n + 1, (h + sqrt(disc)) / a, t FROM (SELECT *, h * h - a * c AS disc FROM (SELECT n, t, 1 / v0 - 1 / v1 AS a, u0 / v0 - u1 / v1 AS h, u0 * u0 / v0 - u1 * u1 / v1 + log10(v0 * w1 * w1 / (v1 * w0 * w0)) AS c
+rule("li", f""", b AS (SELECT least(min(a), 0) AS shift FROM h),
+it AS (WITH RECURSIVE r(n, t, before, cut) AS (SELECT 0, any_value(mm / n), CAST(NULL AS DOUBLE), 0 FROM bs UNION ALL
+  SELECT n + 1, trunc(x + CASE WHEN x < 0 THEN -0.5 ELSE 0.5 END) + shift, t, cut FROM (SELECT n, t, shift, cut, (back - fore) / (ln(back) - ln(fore)) AS x FROM (SELECT n, t, shift, cut, coalesce((SELECT sum(f * m) / sum(f) FROM bg WHERE k <= cut), 0) - shift AS back, coalesce((SELECT sum(f * m) / sum(f) FROM bg WHERE k > cut), 0) - shift AS fore
+    FROM (SELECT r.n, r.t, {BIN.format(v="trunc(r.t + 0.5)")} AS cut FROM r WHERE r.n < 200 AND (r.before IS NULL OR abs(r.t - r.before) > 0.5)), b))) SELECT * FROM r)
+SELECT round(m, 6) AS threshold FROM it JOIN bs ON bs.k = it.cut ORDER BY it.n DESC LIMIT 1""")
+rule("kittler_illingworth", f""", it AS (WITH RECURSIVE r(n, t, before) AS (SELECT 0, (SELECT {BIN.format(v="(SELECT any_value(mm / n) FROM bs)")}), -2 UNION ALL
+  SELECT n + 1, {BIN.format(v="((lean + sqrt(disc)) / c2)")}, t FROM (SELECT *, lean * lean - c2 * c AS disc FROM (SELECT n, t, 1 / v0 - 1 / v1 AS c2, u0 / v0 - u1 / v1 AS lean, u0 * u0 / v0 - u1 * u1 / v1 + log10(v0 * w1 * w1 / (v1 * w0 * w0)) AS c
     FROM (SELECT n, t, w0, w1, u0, u1, q0 / w0 - u0 * u0 AS v0, q1 / w1 - u1 * u1 AS v1 FROM (SELECT n, t, w0, w1, s0 / w0 AS u0, s1 / w1 AS u1, q0, q1
-      FROM (SELECT r.n, r.t, (SELECT sum(f) FROM bg WHERE m <= r.t) AS w0, (SELECT sum(f) FROM bg WHERE m > r.t) AS w1, (SELECT sum(f * m) FROM bg WHERE m <= r.t) AS s0, (SELECT sum(f * m) FROM bg WHERE m > r.t) AS s1,
-        (SELECT sum(f * m * m) FROM bg WHERE m <= r.t) AS q0, (SELECT sum(f * m * m) FROM bg WHERE m > r.t) AS q1 FROM r WHERE r.n < 300 AND (r.before IS NULL OR abs(r.t - r.before) >= 1e-9)))) WHERE v0 > 1e-9 AND v1 > 1e-9)) WHERE disc >= 0) SELECT * FROM r)
-SELECT round(t, 6) AS threshold FROM it ORDER BY n DESC LIMIT 1""")
+      FROM (SELECT r.n, r.t, (SELECT sum(f) FROM bg WHERE k <= r.t) AS w0, (SELECT sum(f) FROM bg WHERE k > r.t) AS w1, (SELECT sum(f * m) FROM bg WHERE k <= r.t) AS s0, (SELECT sum(f * m) FROM bg WHERE k > r.t) AS s1,
+        (SELECT sum(f * m * m) FROM bg WHERE k <= r.t) AS q0, (SELECT sum(f * m * m) FROM bg WHERE k > r.t) AS q1 FROM r WHERE r.n < 300 AND r.t <> r.before) WHERE w1 > 0)))) WHERE disc > 0) SELECT * FROM r)
+SELECT round(m, 6) AS threshold FROM it JOIN bs ON bs.k = it.t ORDER BY it.n DESC LIMIT 1""")
 
 # More chained and circular filters
 AROUND = over_box("{value}", 1, 1).split(" SELECT CAST(x")[0] + ", lap AS (SELECT x, y, any_value(v) AS v, sum(n) FILTER (abs(dx) + abs(dy) = 1) - 4 * any_value(v) AS p FROM w GROUP BY x, y)"
