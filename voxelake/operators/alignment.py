@@ -202,7 +202,7 @@ def _tasks(transform, moving: Moving, sums: _Sums):
     return run
 
 
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def add_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, key = None, None
     for b in batches:
         for row in b.to_pylist():
@@ -229,7 +229,7 @@ def _total(points: DataFrame, moving: Moving, transform, sums: _Sums) -> dict[in
         rows = points.mapInArrow(placed, "image_id long, p array<double>, f double, " + ", ".join(f"{a} int" for a in axes)).join(moving.cells, ["image_id", *axes])
     kinds = "image_id long, chunk int, sums binary"
     out: dict[int, list] = {}
-    for r in rows.mapInArrow(_tasks(transform, moving, sums), kinds).groupBy("image_id", "chunk").applyInArrow(_add, kinds).collect():
+    for r in rows.mapInArrow(_tasks(transform, moving, sums), kinds).groupBy("image_id", "chunk").applyInArrow(add_sums, kinds).collect():
         out.setdefault(r.image_id, []).append((r.chunk, np.frombuffer(r.sums)))
     return {i: np.concatenate([v for _, v in sorted(parts, key=lambda x: x[0])]) for i, parts in out.items()}
 
@@ -255,7 +255,7 @@ def evaluate(points: DataFrame, moving: Moving, transform, metric: str = "mean_s
     out = {}
     if metric == "mean_squares":
         for i, s in _total(points, moving, transform, _Sums(metric)).items():
-            out[i] = Value(s[1] / s[0], transform.gradient(s[2:].reshape(-1, 1))[:, 0] / s[0], int(s[0]))
+            out[i] = Value(float(s[1] / s[0]), transform.gradient(s[2:].reshape(-1, 1))[:, 0] / s[0], int(s[0]))
     elif metric == "correlation":
         for i, s in _total(points, moving, transform, _Sums(metric)).items():
             n, f, m, ff, mm, fm = s[:6]
@@ -265,7 +265,7 @@ def evaluate(points: DataFrame, moving: Moving, transform, metric: str = "mean_s
                 out[i] = Value(0.0, np.zeros(len(g)), int(n))
                 continue
             slope = -2 * both / (left * right) * (fg - f / n * g - both / right * (mg - m / n * g))
-            out[i] = Value(-both * both / (left * right), slope, int(n))
+            out[i] = Value(float(-both * both / (left * right)), slope, int(n))
     else:
         low, high = points.agg(F.min("f"), F.max("f")).first()
         if low is None:

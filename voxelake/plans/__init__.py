@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from ..operators import labels, pixelwise, reduce, window
 from ..sources import tables
-from . import basic, further, spatial, transforms
+from . import alignments, basic, further, spatial, transforms
 
 
 def queries() -> dict:
-    return {name: query for name, (query, _) in {**basic.QUERIES, **spatial.QUERIES, **transforms.QUERIES, **further.QUERIES}.items()} | {"flagship": flagship}
+    return {name: query for name, (query, _) in {**basic.QUERIES, **spatial.QUERIES, **transforms.QUERIES, **further.QUERIES, **alignments.QUERIES}.items()} | {"flagship": flagship}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in {**basic.QUERIES, **spatial.QUERIES, **transforms.QUERIES, **further.QUERIES}.items() if sql}
+    return {name: sql for name, (_, sql) in {**basic.QUERIES, **spatial.QUERIES, **transforms.QUERIES, **further.QUERIES, **alignments.QUERIES}.items() if sql}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

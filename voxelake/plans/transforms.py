@@ -10,6 +10,7 @@ from ..operators import growing as gr
 from ..operators import noise
 from ..operators import registration as reg
 from ..operators import resample as rs
+from ..operators.lines import discrete_gaussian
 from ..operators.pixelwise import component
 from ..raster import Geometry
 from ..sources import generators as gen
@@ -66,18 +67,10 @@ p AS (SELECT dx, dy, avg(pow(m.v - q.v, 2)) AS value FROM (SELECT unnest([0, 1])
 SELECT CAST(dx AS DOUBLE) AS dx, CAST(dy AS DOUBLE) AS dy, CAST(value AS DOUBLE) AS value FROM p ORDER BY value, dx, dy LIMIT 1""")
 
 
-def blobs(spark, shift):
-    g = Geometry((24, 24))
-    return [gen.gaussian_source(spark, g, (4, 4), (11 + k * shift[0], 12 + k * shift[1]), 100) for k in (0, 1)]
+def smoothed(spark, sf_dir):
+    return discrete_gaussian(real(spark, sf_dir), 4.0)
 
 
-def blob_translation(spark, sf_dir):
-    at, _ = reg.register_translation(*blobs(spark, (2, -1.5)))
-    return spark.createDataFrame([tuple(float(round(x)) if abs(x - round(x)) < 0.2 else round(x, 1) for x in at)], "dx double, dy double")
-
-
-table("registration_gradient_descent", blob_translation, None)
-
 # Region growing
 table("watershed", lambda s, d: cells(gr.watershed(quantity(s, d), 100)), None)
 table("confidence_connected", lambda s, d: cells(gr.confidence_connected(quantity(s, d), [(4, 4)], 1.0, 2)), None)
@@ -107,8 +100,8 @@ for _name, _fn in {
     table(_name, lambda s, d, f=_fn: cells(f(real(s, d))), None)
 for _name, _fn in {"wiener_deconvolution": dif.wiener_deconvolution, "tikhonov_deconvolution": dif.tikhonov_deconvolution, "richardson_lucy_deconvolution": lambda a, b: dif.richardson_lucy(a, b, 2), "landweber_deconvolution": lambda a, b: dif.landweber(a, b, 0.5, 2)}.items():
     table(_name, lambda s, d, f=_fn: cells(f(real(s, d), box_kernel(s, d))), None)
-table("demons_registration", lambda s, d: cells(component(dif.demons(*blobs(s, (1, 0)), iterations=3), 0)), None)
-table("level_set", lambda s, d: cells(dif.level_set(gen.generate(s, Geometry((16, 16)), lambda p: F.sqrt(F.pow(p[0] - 8, 2) + F.pow(p[1] - 8, 2)) - 3), gen.constant_image(s, Geometry((16, 16)), 1.0), iterations=3)), None)
+table("demons_registration", lambda s, d: cells(component(dif.demons(smoothed(s, d), geo.cyclic_shift(smoothed(s, d), (0, 1)), iterations=3), 0)), None)
+table("level_set", lambda s, d: cells(dif.level_set(smoothed(s, d).map(lambda v: (v - 1270) / 100), rows(s, d, "float64").map(lambda v: v / 50), iterations=3)), None)
 
 # Generators
 POINTS = "SELECT i * 0.5 - 1 AS px, j * 2 + 3 AS py, i, j FROM (SELECT unnest(range(16)) AS i), (SELECT unnest(range(9)) AS j)"
