@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import alignment as al
+from ..operators import bias
 from ..operators import parametric as pm
 from ..operators import resample as rs
 from ..operators import superpixels as sp
@@ -100,3 +101,8 @@ def found(want: pm.MatrixTransform, start: pm.MatrixTransform, **options):
 
 table("registration_lbfgs", found(pm.MatrixTransform("affine", 2, (1.02, 0.03, -0.02, 0.98, 0.4, 0.3), (5.5, 5.5)), pm.MatrixTransform("affine", 2, centre=(5.5, 5.5)), rounds=20), None)
 table("registration_gradient_descent", found(pm.MatrixTransform("translation", 2, (0.5, -0.75)), pm.MatrixTransform("translation", 2), optimizer="regular_step", step=0.5, shortest=0.01, rounds=25), None)
+
+
+# Bias correction; tests compare it with plain loops
+table("n4_bias_field", lambda s, d: cells(bias.n4_bias_field(real(s, d), levels=(4, 3), controls=(4, 5))[1]), None)
+table("n4_bias_field_correction", lambda s, d: cells(bias.n4_bias_field(real(s, d), levels=(4, 3), controls=(4, 5))[0]), None)
