@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -11,8 +13,9 @@ from ..operators import parametric as pm
 from ..operators import resample as rs
 from ..operators import superpixels as sp
 from ..operators.lines import discrete_gaussian
-from ..staging import staged
-from .basic import CELLS, LIMITS, cells, real, rows
+from ..sources import parts
+from ..staging import shared_dir, staged
+from .basic import CELLS, LIMITS, cells, cells_sql, real, rows
 
 QUERIES: dict = {}
 
@@ -106,3 +109,13 @@ table("registration_gradient_descent", found(pm.MatrixTransform("translation", 2
 # Bias correction; tests compare it with plain loops
 table("n4_bias_field", lambda s, d: cells(bias.n4_bias_field(real(s, d), levels=(4, 3), controls=(4, 5))[1]), None)
 table("n4_bias_field_correction", lambda s, d: cells(bias.n4_bias_field(real(s, d), levels=(4, 3), controls=(4, 5))[0]), None)
+
+
+# A file in parts: the quantities as a TIFF file, of which a box is read
+def tiff_region(spark, sf_dir):
+    folder = f"{shared_dir(spark)}/voxelake/{uuid.uuid4().hex}"
+    parts.write_tiff(real(spark, sf_dir).map(lambda v: v, "int32"), folder, "deflate", rows=8).collect()
+    return cells(parts.read_tiff(spark, folder, [[2, 9], [5, 60]]))
+
+
+table("tiff_region", tiff_region, cells_sql("v").replace("CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y", "CAST(x - 2 AS BIGINT) AS x, CAST(y - 5 AS BIGINT) AS y") + " WHERE x BETWEEN 2 AND 9 AND y BETWEEN 5 AND 60")
