@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import alignment as al
-from ..operators import bias
+from ..operators import bias, contours
 from ..operators import parametric as pm
 from ..operators import resample as rs
 from ..operators import superpixels as sp
@@ -119,3 +119,12 @@ def tiff_region(spark, sf_dir):
 
 
 table("tiff_region", tiff_region, cells_sql("v").replace("CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y", "CAST(x - 2 AS BIGINT) AS x, CAST(y - 5 AS BIGINT) AS y") + " WHERE x BETWEEN 2 AND 9 AND y BETWEEN 5 AND 60")
+
+
+# Contour lines of the smoothed quantities
+def lines(spark, sf_dir):
+    found = contours.contour_lines(discrete_gaussian(real(spark, sf_dir), 2.0), 1270.0)
+    return found.select("contour", "position", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+table("contour_extractor_2d", lines, None)
