@@ -209,6 +209,16 @@ def test_substring_repeated_and_null_ids(spark):
     assert sorted(got.n_removed) == [0, 0, 0, 40, 80]
 
 
+def test_substring_many_copies_under_one_id(spark):
+    """5,000 copies of a text under one id, behind a document that has it: work follows the copies."""
+    a, other = prose(400), prose(30)
+    docs = spark.createDataFrame([(1, a + " " + other), (2, other)], "doc_id long, text string").union(spark.range(5000).selectExpr("7L as doc_id", f"'{a}' as text"))
+    began = time.time()
+    got = substring.remove_repeats(docs).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 430, 0, 1), (2, 30, 30, 1), (7, 400, 400, 5000)]
+    assert time.time() - began < 60
+
+
 def test_substring_of_very_long_and_null_rows(spark):
     a, long = prose(40), "same " * 60_000 + "x" * 300_000
     rows = [(1, "first line\n" + a + "\n last  line\n"), (2, "head\n" + a + "\n tail  line\n"), (3, long), (4, None), (None, "")]
@@ -394,6 +404,12 @@ def test_merkle_likeness_by_the_tree():
             assert merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(b)) == pytest.approx(brute_likeness(a, b), abs=0.01)
 
 
+def test_merkle_unrelated_long_texts_are_unlike():
+    words = [f"{chr(97 + i % 26)}{i}" for i in range(5000)]
+    a, b = ("".join(" ".join(r.choices(words, k=5)) + ". " for _ in range(100_000)) for r in (random.Random(1), random.Random(2)))
+    assert merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(b)) < 0.001
+
+
 def test_merkle_equal_nodes_are_not_descended_into():
     """A node's hash decides: what stands below equal nodes is never looked at."""
     a = merkle.fingerprint("".join(prose(12) + ".\n" for _ in range(40)))

@@ -3,7 +3,7 @@
 A paragraph is a line; a section ends with a paragraph whose hash is a multiple of four, so
 that an edit moves only the section it is in; a paragraph's leaves are its clauses.  The
 fingerprint is the root (128 bits) followed by the tree: each section's and paragraph's hash
-(32 bits) before what it holds, and the leaves' (20 bits).  Two fingerprints are compared
+(32 bits) before what it holds, and the leaves' (32 bits in five characters).  Two fingerprints are compared
 from the root down: equal roots mean equal texts, equal nodes count whole, and only branches
 that differ are descended into.  The share of leaves under equal nodes is the likeness.
 """
@@ -26,8 +26,11 @@ from .common import slices
 
 #: A leaf ends with the end of a sentence or a line, or after this many characters.
 LEAF_CHARS = 48
-#: Hex digits of a section's or paragraph's hash, and of a leaf's.
+#: Hex digits of a section's or paragraph's hash, and characters of a leaf's: five digits to the
+#: base 85 hold 32 bits.
 NODE, LEAF = 8, 5
+_DIGITS = [chr(c) for c in range(33, 127) if chr(c) not in ",/:="][:85]
+_TWO = [a + b for a in _DIGITS for b in _DIGITS]
 SECTION_EVERY = 4
 #: Documents that one range bucket should hold, and the most buckets.
 BUCKET_ROWS = 4000
@@ -37,6 +40,13 @@ _leaves = re.compile(r"[^.!?;|\n]{1,%d}[.!?;|\n]*|[.!?;|\n]+" % LEAF_CHARS).find
 _digest = xxhash.xxh32_intdigest
 
 
+def _leaf(text: str) -> str:
+    h = _digest(text.encode("utf-8", "surrogatepass"))
+    h, low = divmod(h, 7225)
+    high, middle = divmod(h, 7225)
+    return _DIGITS[high] + _TWO[middle] + _TWO[low]
+
+
 def fingerprint(text: str) -> str:
     """``root:section/section...``; a section is its hash, ``=`` and its paragraphs joined by
     ``,``; a paragraph is its hash and its leaves' side by side."""
@@ -45,7 +55,7 @@ def fingerprint(text: str) -> str:
     def close_paragraph() -> bool:
         node = _digest("".join(leaves))
         branch.append(f"{node:08x}")
-        paragraphs.append(branch[-1] + "".join(leaf[:LEAF] for leaf in leaves))
+        paragraphs.append(branch[-1] + "".join(leaves))
         leaves.clear()
         return node % SECTION_EVERY == 0
 
@@ -56,7 +66,7 @@ def fingerprint(text: str) -> str:
         branch.clear()
 
     for leaf in _leaves(text):
-        leaves.append(f"{_digest(leaf.encode('utf-8', 'surrogatepass')):08x}")
+        leaves.append(_leaf(leaf))
         if leaf[-1] == "\n" and close_paragraph():
             close_section()
     if leaves:

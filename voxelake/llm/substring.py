@@ -335,7 +335,9 @@ def remove_repeats(documents: DataFrame, columns: list[str] | None = None) -> Da
     th = F.xxhash64("text") if repeated_ids else F.lit(0).cast("long")
     docs = documents.select(F.struct(*(columns or ["doc_id"])).alias("row"), ids.alias("ord"), th.alias("th"), "text")
 
-    passages = staged(docs.select("ord", "th", "text").mapInArrow(_passages, PASSAGE))
+    # copies under one id start at the same places: one of them stands for all until the last join
+    texts = staged(docs.select("ord", "th", "text").distinct()) if repeated_ids else docs.select("ord", "th", "text")
+    passages = staged(texts.mapInArrow(_passages, PASSAGE))
     open_rows = passages.where(~F.col("copy")).drop("copy")
     total = open_rows.count()
     hot = frequent(open_rows, "key", max(HOT_ROWS, total // HOT_SHARE)) if total > HOT_ROWS else []
@@ -354,8 +356,7 @@ def remove_repeats(documents: DataFrame, columns: list[str] | None = None) -> Da
     if hot:
         listed = listed.unionByName(crowded)
     listed = listed.groupBy("ord", "th").agg(F.collect_list(F.struct("s", "n", "key", "kind")).alias("wanted"))
-    cut = docs.select("ord", "th", "text").distinct() if repeated_ids else docs.select("ord", "th", "text")
-    cut = staged(cut.join(listed, ["ord", "th"]).mapInArrow(_cut, "key long, key2 long, ord long, th long, s int, words string"))
+    cut = staged(texts.join(listed, ["ord", "th"]).mapInArrow(_cut, "key long, key2 long, ord long, th long, s int, words string"))
     matched = cut.where("words is not null").repartition(int(n), "key").sortWithinPartitions("key", "ord", "s").mapInArrow(_match, "ord long, th long, s int, e int")
     windows = cut.where("words is null").select("key", "key2", "ord", "th", "s")
     first = windows.groupBy("key", "key2").agg(F.min(F.struct("ord", "s")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
