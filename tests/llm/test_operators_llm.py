@@ -607,3 +607,23 @@ def test_urls_of_repeated_null_and_very_long_rows(spark):
     rows = [(None, "https://a.net/fr/x"), (None, "https://a.net/fr/x"), (1, None), (1, None), (2, "https://h.org/" + "a" * 500_000 + "/casino"), (3, "casino"), (4, "https://h.org/free\x00win")]
     got = urls.judge(spark.createDataFrame([(*r, "r") for r in rows], "page_id long, url string, rule string")).collect()
     assert sorted((r.page_id or 0, r.rule or "", r.verdict) for r in got) == [(0, "net/fr/", "block")] * 2 + [(1, "", "allow")] * 2 + [(2, "", "block"), (3, "", "block"), (4, "", "block")]
+
+
+def test_stock_phrases_and_repeated_words_take_no_longer():
+    """20,000 items with one opening against 200 places of it; one word over and over; copies of short items."""
+    opening = "which of the following statements is true about"
+    items = [(str(i), f"{opening} thing{i} " + " ".join(f"w{(i * k) % 97}" for k in range(12))) for i in range(20_000)] + [(f"s{i}", "just a short item") for i in range(5000)]
+    auto = decontaminate.Automaton(items)
+    words = []
+    for k in range(200):
+        words += items[k * 100][1].split()[: 13 if k % 2 else 12] + [f"x{k}"] + ["just", "a", "short", "item"] * (k % 3)
+    began = time.time()
+    hit, found = auto.scan(words)
+    assert time.time() - began < 2
+    names = {auto.ids[k] for k in found}
+    assert names == {str(k * 100) for k in range(1, 200, 2)} | {f"s{i}" for i in range(5000)} and hit.sum() == 100 * 13 + 4 * sum(k % 3 for k in range(200))
+    auto = decontaminate.Automaton([("a", "same " * 1000), ("b", "same " * 12 + "end")])
+    began = time.time()
+    hit, found = auto.scan(["same"] * 20_000 + ["end"])
+    assert time.time() - began < 2 and hit.all() and {auto.ids[k] for k in found} == {"a", "b"}
+    assert not auto.scan(["same"] * 12)[0].any()

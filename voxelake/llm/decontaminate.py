@@ -30,6 +30,8 @@ from .common import ALNUM_WORD, alnum_words, ascii_lower, slices, staged, texts
 
 WINDOW = 13
 SEED = 5
+#: Places of a seed in the benchmark beyond which its windows are looked up instead.
+CROWD = 16
 #: Benchmark text, in characters, that one automaton may hold (about 40 bytes each in a worker);
 #: more text of items that stand in the corpus makes more automata, and a pass for each.
 AUTOMATON_CHARS = 8_000_000
@@ -44,31 +46,55 @@ def seed_starts(n_words: int, n: int = WINDOW, seed: int = SEED) -> range:
 
 class Automaton:
     """Seeds of some benchmark items; ``items`` are (id as text, text) pairs; items of null id
-    are hit but never named."""
+    are hit but never named.
+
+    A seed of few owners is followed in each of them.  A seed of more than CROWD owners (a stock
+    phrase, one word over and over) leads to a table of the windows around it in its owners: a
+    document's window is looked up once, whatever the number of items that share the seed.
+    """
 
     def __init__(self, items: list[tuple[str | None, str]], n: int = WINDOW):
-        self.n, seed = n, min(SEED, n)
+        self.n, self.seed = n, min(SEED, n)
         self.ids = sorted({i for i, _ in items if i is not None})
         number = {i: k for k, i in enumerate(self.ids)}
         owners: dict[str, list[tuple[int, int]]] = {}
+        whole: dict[str, set[int]] = {}
         self.words: list[list[str]] = []
         self.number: list[int] = []
         for item, text in items:
             words = alnum_words(ascii_lower(text))
             if not words:
                 continue
+            if len(words) < n:
+                whole.setdefault(" ".join(words), set()).add(number.get(item, -1))
+                continue
             self.words.append(words)
             self.number.append(number.get(item, -1))
-            starts = seed_starts(len(words), n, seed) if len(words) >= n else [0]
-            size = seed if len(words) >= n else len(words)
-            for at in starts:
-                owners.setdefault(" ".join(words[at : at + size]), []).append((len(self.words) - 1, at))
+            for at in seed_starts(len(words), n, self.seed):
+                owners.setdefault(" ".join(words[at : at + self.seed]), []).append((len(self.words) - 1, at))
+        #: Windows of crowded seeds by hash: where one stands in an item, and all items that hold it.
+        self.windows: dict[int, list[tuple[int, int, set[int]]]] = {}
         self.trie = ahocorasick.Automaton()
-        for w, own in owners.items():
-            self.trie.add_word(f" {w} ", (len(w) + 1, own))
-        if owners:
+        for w in owners.keys() | whole.keys():
+            own = owners.get(w, [])
+            if len(own) > CROWD:
+                for k, at in own:
+                    self._keep_windows(k, at)
+            self.trie.add_word(f" {w} ", (w, whole.get(w), own if len(own) <= CROWD else None))
+        self.empty = not owners and not whole
+        if not self.empty:
             self.trie.make_automaton()
-        self.empty = not owners
+
+    def _keep_windows(self, k: int, at: int) -> None:
+        item = self.words[k]
+        for s in range(max(0, at - self.n + self.seed), min(at, len(item) - self.n) + 1):
+            window = item[s : s + self.n]
+            groups = self.windows.setdefault(_hash(window), [])
+            known = next((g for g in groups if self.words[g[0]][g[1] : g[1] + self.n] == window), None)
+            if known is None:
+                groups.append((k, s, {self.number[k]}))
+            else:
+                known[2].add(self.number[k])
 
     def scan(self, words: list[str]) -> tuple[np.ndarray, set[int]]:
         """Which words are hit, and the numbers of the items found."""
@@ -80,20 +106,39 @@ class Automaton:
         if matches:
             starts = np.flatnonzero(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
             done: dict[tuple[int, int], int] = {}  # how far each item was followed at each offset
-            for end, (length, owners) in matches:
-                p = int(np.searchsorted(starts, end - length))
-                for k, at in owners:
+            tried, named = np.zeros(len(words), bool), set()  # windows looked up, and owners named
+            for end, (seed, whole, own) in matches:
+                p = int(np.searchsorted(starts, end - len(seed) - 1))
+                if whole:
+                    hit[p : p + seed.count(" ") + 1] = True
+                    if seed not in named:
+                        named.add(seed)
+                        found |= whole
+                if own is None:
+                    for a in range(max(0, p - self.n + self.seed), min(p, len(words) - self.n) + 1):
+                        if not tried[a]:
+                            tried[a] = True
+                            self._look_up(words[a : a + self.n], a, hit, found, named)
+                for k, at in own or ():
                     if p < done.get((k, p - at), 0):
                         continue
                     item = self.words[k]
                     a, z = self._follow(item, at, words, p)
                     done[k, p - at] = z
-                    if z - a >= min(self.n, len(item)):
+                    if z - a >= self.n:
                         hit[a:z] = True
-                        if self.number[k] >= 0:
-                            found.add(self.number[k])
+                        found.add(self.number[k])
+        found.discard(-1)
         return hit, found
 
+    def _look_up(self, window: list[str], a: int, hit: np.ndarray, found: set[int], named: set) -> None:
+        for k, s, owners in self.windows.get(_hash(window), ()):
+            if self.words[k][s : s + self.n] == window:
+                hit[a : a + self.n] = True
+                if (k, s) not in named:
+                    named.add((k, s))
+                    found |= owners
+
     @staticmethod
     def _follow(item: list[str], at: int, words: list[str], p: int) -> tuple[int, int]:
         """The words around ``p`` that equal those of the item around ``at``: from, to."""
