@@ -15,7 +15,9 @@ NAMES = """log sqrt atan2 divide modulus add_wraps_uint8 cast_uint8_saturates gr
 median_projection_x standard_deviation_projection_y histogram otsu_threshold hash_image flip slice shrink bin_shrink mirror_pad wrap_pad paste join_series mean
 box_sigma median rank gradient_magnitude laplacian zero_crossing grayscale_erode_ball white_top_hat binary_dilate voting_binary connected_component relabel_component
 double_threshold binary_fillhole label_statistics label_overlap_measures label_voting label_image_to_label_map change_label_label_map distance_map hausdorff_distance
-fft_round_trip resample_translation_linear warp metric_mean_squares metric_neighborhood_correlation label_map_to_rgb label_map_overlay label_map_contour_overlay gaussian_source mha_round_trip png_round_trip""".split()
+fft_round_trip resample_translation_linear warp metric_mean_squares metric_neighborhood_correlation label_map_to_rgb label_map_overlay label_map_contour_overlay gaussian_source mha_round_trip png_round_trip
+li_threshold huang_threshold kittler_illingworth_threshold vector_connected_component slic_clusters slic_residual bspline_displacement metric_gradient_mean_squares metric_gradient_correlation
+metric_gradient_bspline tiff_region compose_displacement_fields displacement_jacobian""".split()
 
 
 def plain(df):

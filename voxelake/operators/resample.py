@@ -228,13 +228,10 @@ def displacement_field(like: Raster, transform: Affine) -> Raster:
 
 
 def jacobian_determinant(field: Raster) -> Raster:
-    """Determinant of identity plus the gradient of a 2-D displacement field."""
-    from .window import gradient
+    """Determinant of identity plus the gradient of a displacement field."""
+    from . import fields
 
-    parts = [gradient(Raster(field.df.withColumn("v", F.col("v")[k]), field.geometry, PIXELS["float64"])) for k in range(2)]
-    rows = parts[0].zip(parts[1])
-    value = (1 + F.col("v0")[0]) * (1 + F.col("v1")[1]) - F.col("v0")[1] * F.col("v1")[0]
-    return Raster(rows.select(*field.keys, value.alias("v")), field.geometry, PIXELS["float64"])
+    return fields.jacobian_determinant(field)
 
 
 def write_transform(t: Affine) -> str:

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..operators import alignment as al
 from ..operators import bias, contours
+from ..operators import fields as fl
 from ..operators import parametric as pm
 from ..operators import resample as rs
 from ..operators import superpixels as sp
 from ..operators.lines import discrete_gaussian
+from ..raster import PIXELS, Raster
 from ..sources import parts
 from ..staging import shared_dir, staged
 from .basic import CELLS, LIMITS, cells, cells_sql, real, rows
@@ -128,3 +130,23 @@ def lines(spark, sf_dir):
 
 
 table("contour_extractor_2d", lines, None)
+
+
+# Displacement fields from the quantities
+def shifts(r, a: int, b: int) -> Raster:
+    """Vectors from the remainders of the values."""
+    v = F.col("v").cast("long")
+    return Raster(r.df.select(*r.keys, F.array((v % a) / 10 - 0.3, (v % b) / 10 - 0.2).alias("v")), r.geometry, PIXELS["float64"])
+
+
+def components(r: Raster):
+    return r.df.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), *[F.round(F.col("v")[k], 6).alias(n) for k, n in enumerate(("dx", "dy"))])
+
+
+table("compose_displacement_fields", lambda s, d: components(fl.compose(shifts(real(s, d), 7, 5), shifts(real(s, d), 4, 6))), CELLS + LIMITS + """,
+near AS (SELECT *, floor(px) AS fx, floor(py) AS fy FROM (SELECT x, y, dx, dy, x + dx AS px, y + dy AS py FROM (SELECT x, y, (v % 7) / 10.0::DOUBLE - 0.3 AS dx, (v % 5) / 10.0::DOUBLE - 0.2 AS dy FROM q)), l),
+read AS (SELECT n.x, n.y, any_value(dx) AS dx, any_value(dy) AS dy, any_value(px >= -0.5 AND px < nx - 0.5 AND py >= -0.5 AND py < ny - 0.5) AS inside,
+  sum(w * ((b.v % 4) / 10.0::DOUBLE - 0.3)) AS ux, sum(w * ((b.v % 6) / 10.0::DOUBLE - 0.2)) AS uy
+  FROM (SELECT *, (CASE i WHEN 1 THEN px - fx ELSE 1 - px + fx END) * (CASE j WHEN 1 THEN py - fy ELSE 1 - py + fy END) AS w, least(greatest(fx + i, 0), nx - 1) AS bx, least(greatest(fy + j, 0), ny - 1) AS b_y FROM near, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j)) n JOIN q b ON b.x = bx AND b.y = b_y GROUP BY n.x, n.y)
+SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, round(dx + CASE WHEN inside THEN ux ELSE 0 END, 6) AS dx, round(dy + CASE WHEN inside THEN uy ELSE 0 END, 6) AS dy FROM read""")
+table("invert_displacement_field", lambda s, d: components(fl.invert_displacement_field(shifts(real(s, d), 7, 5), 4)[0]), None)
