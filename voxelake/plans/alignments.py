@@ -54,10 +54,10 @@ moved AS (SELECT x, y, sum(w * (((a + 6 * b) * 37) % 17 / 20.0::DOUBLE - 0.4)) A
 
 def spline_displacement(spark, sf_dir):
     r = real(spark, sf_dir)
-    return pm.displaced(r, spline(r).table(spark)).select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.round(F.col("d")[0], 6).alias("dx"), F.round(F.col("d")[1], 6).alias("dy"))
+    return pm.displaced(r, spline(r).table(spark)).select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), (F.round(F.col("d")[0], 6) + 0.0).alias("dx"), (F.round(F.col("d")[1], 6) + 0.0).alias("dy"))
 
 
-table("bspline_displacement", spline_displacement, CELLS + LIMITS + LATTICE + " SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, round(dx, 6) AS dx, round(dy, 6) AS dy FROM moved")
+table("bspline_displacement", spline_displacement, CELLS + LIMITS + LATTICE + " SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, round(dx, 6) + 0.0 AS dx, round(dy, 6) + 0.0 AS dy FROM moved")
 
 
 # Metrics with gradients: the quantities against the numbers of rows
@@ -140,7 +140,7 @@ def shifts(r, a: int, b: int) -> Raster:
 
 
 def components(r: Raster):
-    return r.df.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), *[F.round(F.col("v")[k], 6).alias(n) for k, n in enumerate(("dx", "dy"))])
+    return r.df.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), *[(F.round(F.col("v")[k], 5) + 0.0).alias(n) for k, n in enumerate(("dx", "dy"))])
 
 
 table("compose_displacement_fields", lambda s, d: components(fl.compose(shifts(real(s, d), 7, 5), shifts(real(s, d), 4, 6))), CELLS + LIMITS + """,
@@ -148,5 +148,5 @@ near AS (SELECT *, floor(px) AS fx, floor(py) AS fy FROM (SELECT x, y, dx, dy, x
 read AS (SELECT n.x, n.y, any_value(dx) AS dx, any_value(dy) AS dy, any_value(px >= -0.5 AND px < nx - 0.5 AND py >= -0.5 AND py < ny - 0.5) AS inside,
   sum(w * ((b.v % 4) / 10.0::DOUBLE - 0.3)) AS ux, sum(w * ((b.v % 6) / 10.0::DOUBLE - 0.2)) AS uy
   FROM (SELECT *, (CASE i WHEN 1 THEN px - fx ELSE 1 - px + fx END) * (CASE j WHEN 1 THEN py - fy ELSE 1 - py + fy END) AS w, least(greatest(fx + i, 0), nx - 1) AS bx, least(greatest(fy + j, 0), ny - 1) AS b_y FROM near, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j)) n JOIN q b ON b.x = bx AND b.y = b_y GROUP BY n.x, n.y)
-SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, round(dx + CASE WHEN inside THEN ux ELSE 0 END, 6) AS dx, round(dy + CASE WHEN inside THEN uy ELSE 0 END, 6) AS dy FROM read""")
+SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, round(dx + CASE WHEN inside THEN ux ELSE 0 END, 5) + 0.0 AS dx, round(dy + CASE WHEN inside THEN uy ELSE 0 END, 5) + 0.0 AS dy FROM read""")
 table("invert_displacement_field", lambda s, d: components(fl.invert_displacement_field(shifts(real(s, d), 7, 5), 4)[0]), None)
