@@ -57,7 +57,7 @@ def test_pipeline_meets_brute_force(spark):
 def test_contract():
     assert 4 <= len(corpus_pipeline.STAGES) <= 5 and "pipeline" in __spark_entry__.queries()
     names = [n for n in __spark_entry__.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("stage", range(4))
