@@ -36,6 +36,7 @@ def array(r, image=0):
     lambda r: diffusion.adaptive_histogram_equalization(r, (1, 1)), lambda r: diffusion.histogram_matching(r, r.map(lambda v: v * 3 + 1)),
     lambda r: growing.confidence_connected(r, [(2, 2)], 1.0, 1), lambda r: labels.label_voting([r.map(lambda v: F.floor(v / 30)), r.map(lambda v: F.floor(v / 40))]),
     lambda r: reduce.rescale_intensity(r, 0, 1), lambda r: labels.connected_component(r.map(lambda v: F.when(v > 50, 1).otherwise(0))), morphology.grayscale_fillhole,
+    lambda r: reduce.scalar_image_kmeans(r, [10, 60, 500])[0],
 ])
 def test_an_image_does_not_change_its_neighbours(spark, fn):
     a, b = rng.integers(0, 100, (5, 6)).astype(float), rng.integers(0, 1000, (5, 6)).astype(float)

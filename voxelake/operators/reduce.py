@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..raster import PIXELS, Geometry, Raster
+from ..staging import staged
 
 
 def statistics(r: Raster) -> DataFrame:
@@ -423,19 +424,22 @@ def hash_image(r: Raster, function: str = "md5") -> DataFrame:
     return r.df.groupBy("image_id").agg((F.md5(text) if function == "md5" else F.sha1(text)).alias("digest"))
 
 
-def scalar_image_kmeans(r: Raster, means: list[float], rounds: int = 100) -> tuple[Raster, list[float]]:
-    """Lloyd's rounds over the counts of distinct values; label by nearest final mean.
+def scalar_image_kmeans(r: Raster, means: list[float], rounds: int = 100) -> tuple[Raster, DataFrame]:
+    """Lloyd's rounds over the counts of distinct values of each image, from the same ``means``: the
+    number of the nearest final mean (ties: the first), and image_id, means.
 
-    The driver holds one mean for each class; each round is one aggregation.
+    A class without values keeps its mean.  A round joins one row for each image to the counts.
     """
-    counts = r.df.groupBy(F.col("v").cast("double").alias("v")).count()
-    means = [float(m) for m in means]
+    counts = staged(r.df.groupBy("image_id", F.col("v").cast("double").alias("v")).count())
+    now = staged(counts.select("image_id").distinct().withColumn("means", F.array(*[F.lit(float(m)) for m in means])))
+    nearest = lambda v: F.array_min(F.transform("means", lambda m, k: F.struct(F.abs(v - m).alias("d"), k.alias("k"))))["k"]
     for _ in range(rounds):
-        near = F.array_min(F.array(*[F.struct(F.abs(F.col("v") - m).alias("d"), F.lit(k).alias("k")) for k, m in enumerate(means)]))["k"]
-        new = {x.k: x.m for x in counts.groupBy(near.alias("k")).agg((F.sum(F.col("v") * F.col("count")) / F.sum("count")).alias("m")).collect()}
-        moved = [new.get(k, m) for k, m in enumerate(means)]
-        if moved == means:
+        found = counts.join(now, "image_id").groupBy("image_id", nearest(F.col("v")).alias("k")).agg((F.sum(F.col("v") * F.col("count")) / F.sum("count")).alias("m"))
+        found = found.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "m"))).alias("found"))
+        moved = F.transform("means", lambda m, k: F.coalesce(F.element_at("found", k), m))
+        new = staged(now.join(found, "image_id").select("image_id", moved.alias("means"), (moved != F.col("means")).alias("moved")))
+        now = new.drop("moved")
+        if new.where("moved").isEmpty():
             break
-        means = moved
-    near = F.array_min(F.array(*[F.struct(F.abs(F.col("v").cast("double") - m).alias("d"), F.lit(k).alias("k")) for k, m in enumerate(means)]))["k"]
-    return r.map(near, "uint8"), means
+    rows = r.df.join(now, "image_id").withColumn("v", nearest(F.col("v").cast("double")))
+    return r.with_rows(rows, pixel="uint8"), now

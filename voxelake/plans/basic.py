@@ -163,7 +163,10 @@ for _name in red.RULES:
     if _name != "otsu":
         table(f"{_name}_threshold", lambda s, d, n=_name: red.histogram_threshold(quantity(s, d), n, 64)[1].select(F.round("threshold", 6).alias("threshold")), None)
 table("otsu_multiple_thresholds", lambda s, d: cells(red.otsu_multiple_thresholds(quantity(s, d), 2, 64)[0]), None)
-table("scalar_image_kmeans", lambda s, d: cells(red.scalar_image_kmeans(quantity(s, d), [1000, 1300, 1600])[0]), None)
+NEAR = {k: " AND ".join(f"abs(v - m{k}) {'<' if j < k else '<='} abs(v - m{j})" for j in (1, 2, 3) if j != k) for k in (1, 2, 3)}
+table("scalar_image_kmeans", lambda s, d: cells(red.scalar_image_kmeans(quantity(s, d), [1000, 1300, 1600])[0]),
+      CELLS + ", it AS (WITH RECURSIVE r(n, m1, m2, m3) AS (SELECT 0, 1000.0::DOUBLE, 1300.0::DOUBLE, 1600.0::DOUBLE UNION ALL SELECT n + 1, " + ", ".join(f"coalesce((SELECT avg(v) FROM q WHERE {near}), m{k})" for k, near in NEAR.items()) + " FROM r WHERE n < 100) SELECT * FROM r WHERE n = 100) "
+      + f"SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CASE WHEN {NEAR[1]} THEN 0.0::DOUBLE WHEN {NEAR[2]} THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS v FROM q, it")
 table("hash_image", lambda s, d: red.hash_image(quantity(s, d)).select("digest"), CELLS + " SELECT md5(string_agg(CAST(v AS VARCHAR), ',' ORDER BY y, x)) AS digest FROM q")
 
 # Index remaps
