@@ -1,6 +1,7 @@
 """Operators against brute force on small tables with nulls, ties, empty and repeated rows."""
 
 import hashlib
+import pickle
 import random
 import re
 import time
@@ -288,6 +289,36 @@ def test_toxicity_learns_what_only_a_pair_tells(monkeypatch):
         assert score == pytest.approx(1 / (1 + np.exp(-raw)))
 
 
+def test_toxicity_sends_the_driver_few_bytes_a_term(spark, monkeypatch):
+    """The training rows reach the driver packed, the model leaves it without its look-up table, and
+    it is the model of the plain terms."""
+    own = random.Random(9)
+    words = ["".join(own.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(3000)]
+    rows = [(i, " ".join(own.choices(words, k=400) + ["insult"] * (i % 2)), "en", "s", 1, 1, "h", 5, 6) for i in range(90)]
+    rows += [(90, None, *rows[0][2:]), (91, "", *rows[0][2:]), (92, "very " * 70_000, *rows[0][2:])]
+    kept = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    d = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    marks = spark.createDataFrame([(r[0], r[0] % 2, r[0] % 2) for r in rows], "doc_id long, quality int, toxic int")
+    owner, bucket, x = toxicity.features([r[1] or "" for r in kept])
+    got, to_arrow = [], type(d).toArrow
+    monkeypatch.setattr(type(d), "toArrow", lambda self: got.append(to_arrow(self)) or got[-1])
+    model = toxicity.train(d, marks)
+    assert [t.num_rows for t in got] == [len(kept)] and got[0].nbytes < 4 * len(bucket)
+    sent = pickle.dumps(model)
+    assert len(sent) < 60 * len(model.buckets) + 1000
+    want = toxicity.fit(np.searchsorted(owner, np.arange(len(kept) + 1)), bucket, x, np.array([r[0] % 2 for r in kept]))
+    texts = [r[1] or "" for r in rows]
+    for m in (model, pickle.loads(sent)):
+        assert m.bias == want.bias and all(np.array_equal(getattr(m, k), getattr(want, k)) for k in ("buckets", "w", "v"))
+        assert np.array_equal(m.scores(texts), want.scores(texts))
+
+
+def test_packed_terms_come_back():
+    for bucket, count in (([], []), ([0], [1]), ([5, 6, toxicity.BUCKETS - 1], [1, 70_000, 3_000_000])):
+        got = toxicity.unpacked(toxicity.packed(np.array(bucket, np.int64), np.array(count, np.int64)))
+        assert [a.tolist() for a in got] == [bucket, count]
+
+
 def test_quality_density_by_the_formula(spark):
     """The score is the difference of two normal log-densities, computed by plain inverse and determinant."""
     rows, marks = labelled()

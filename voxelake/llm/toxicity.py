@@ -13,7 +13,8 @@ company.  Weights are kept sparse by a proximal step instead, factors by decay.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,8 @@ STEMS = (4, 5)
 REJECT = 0.7
 
 
-def features(batch_texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed terms of each text: number of the text, bucket, value 1 + ln(count)/2; sorted."""
+def counts(batch_texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed terms of each text: number of the text, bucket, count; sorted."""
     b = TextBatch([t.lower() for t in batch_texts])
     start, stop, owner = b.runs(b.letters())
     none = np.zeros(0, np.int64)
@@ -49,7 +50,32 @@ def features(batch_texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
             h = b.hashes(start[long], stop[long] if stem is None else start[long] + stem) ^ np.uint64(0 if stem is None else stem)
             keys.append(owner[long] * BUCKETS + (h % np.uint64(BUCKETS)).astype(np.int64))
     key, count = np.unique(np.concatenate(keys), return_counts=True)
-    return key // BUCKETS, key % BUCKETS, (1 + 0.5 * np.log(np.maximum(count, 1))).astype(np.float32)
+    return key // BUCKETS, key % BUCKETS, count
+
+
+def values(count: np.ndarray) -> np.ndarray:
+    """The value of a term that stands so often: 1 + ln(count)/2."""
+    return (1 + 0.5 * np.log(np.maximum(count, 1))).astype(np.float32)
+
+
+def features(batch_texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed terms of each text: number of the text, bucket, value; sorted."""
+    owner, bucket, count = counts(batch_texts)
+    return owner, bucket, values(count)
+
+
+def packed(bucket: np.ndarray, count: np.ndarray) -> bytes:
+    """A row's sorted terms in about two bytes each: the gaps between buckets, then the counts, as
+    32-bit numbers whose first, second, third and fourth bytes stand together, deflated."""
+    numbers = np.concatenate((np.diff(bucket, prepend=0), count)).astype("<u4")
+    return zlib.compress(numbers.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(terms: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and counts of a ``packed`` row."""
+    planes = np.frombuffer(zlib.decompress(terms), np.uint8).reshape(4, -1)
+    gaps, count = np.ascontiguousarray(planes.T).view("<u4").reshape(2, -1)
+    return np.cumsum(gaps, dtype=np.int64), count
 
 
 def _in_pairs(owner: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
@@ -74,6 +100,10 @@ class Model:
         self.row = np.full(BUCKETS, -1, np.int32)
         self.row[buckets] = np.arange(len(buckets))
 
+    def __reduce__(self):
+        """``row`` is not sent, but made again from the buckets."""
+        return Model, (self.bias, self.buckets, self.w, self.v)
+
     def scores(self, batch_texts: list[str]) -> np.ndarray:
         """Probability of toxicity of each text."""
         owner, bucket, x = features(batch_texts)
@@ -90,17 +120,34 @@ def fit(cuts: np.ndarray, bucket: np.ndarray, x: np.ndarray, y: np.ndarray, rows
     """Stochastic gradient on the logistic loss, both classes weighted alike.
 
     ``bucket`` and ``x`` are the terms of all rows, those of row ``i`` from ``cuts[i]`` to
-    ``cuts[i + 1]``; ``y`` are the rows' classes.  Terms of a single row are left out.  Each
-    step touches only the terms of its rows.  Weights follow the regularised leader (a weight
-    stays zero until its evidence passes ``sparse``), factors follow adaptive steps with
-    decay.  The factors join after LINEAR_PASSES, to explain what the weights leave.
+    ``cuts[i + 1]``; ``y`` are the rows' classes.
+    """
+
+    def take(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = cuts[r + 1] - cuts[r]
+        idx = np.arange(size.sum()) + np.repeat(cuts[r] - np.cumsum(size) + size, size)
+        return size, bucket[idx], x[idx]
+
+    return fit_rows(take, y, rows, factors, seed)
+
+
+def fit_rows(take: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], y: np.ndarray, rows: int = 128, factors: int = FACTORS, seed: int = 11) -> Model:
+    """``fit`` on rows that ``take`` gives by their numbers: how many terms each has, and the
+    buckets and values of those terms, row after row.  Only ``rows`` of them are held at a time.
+
+    Terms of a single row are left out.  Each step touches only the terms of its rows.  Weights
+    follow the regularised leader (a weight stays zero until its evidence passes ``sparse``),
+    factors follow adaptive steps with decay.  The factors join after LINEAR_PASSES, to explain
+    what the weights leave.
     """
     alpha, sparse, rate, decay, start = 0.15, 10.0, 0.05, 0.05, 0.03
     n, positive = len(y), int(y.sum())
     if not 0 < positive < n:
         return Model(30.0 if positive else -30.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, factors)))
-    shared = np.bincount(bucket, minlength=BUCKETS) > 1
-    buckets = np.flatnonzero(shared)
+    held_by = np.zeros(BUCKETS, np.int32)
+    for a in range(0, n, rows):
+        held_by += np.bincount(take(np.arange(a, min(a + rows, n)))[1], minlength=BUCKETS).astype(np.int32)
+    buckets = np.flatnonzero(held_by > 1)
     place = np.full(BUCKETS, -1, np.int32)
     place[buckets] = np.arange(len(buckets))
     rng = np.random.default_rng(seed)
@@ -115,10 +162,8 @@ def fit(cuts: np.ndarray, bucket: np.ndarray, x: np.ndarray, y: np.ndarray, rows
             v = rng.normal(0, start, v.shape)
         for a in range(0, n, rows):
             r = shuffled[a : a + rows]
-            size = cuts[r + 1] - cuts[r]
-            own = np.repeat(np.arange(len(r)), size)
-            idx = np.arange(len(own)) + np.repeat(cuts[r] - np.cumsum(size) + size, size)
-            at, xs = place[bucket[idx]], x[idx].astype(float)
+            size, at, xs = take(r)
+            own, at, xs = np.repeat(np.arange(len(r)), size), place[at], xs.astype(float)
             pair, known = _in_pairs(own, xs, len(r)), at >= 0
             own, xs, pair = own[known], xs[known], pair[known]
             ids, j = np.unique(at[known], return_inverse=True)
@@ -144,11 +189,10 @@ def fit(cuts: np.ndarray, bucket: np.ndarray, x: np.ndarray, y: np.ndarray, rows
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
-        owner, bucket, x = features(texts(b))
-        cuts = np.searchsorted(owner, np.arange(b.num_rows + 1)).astype(np.int32)
-        at = pa.ListArray.from_arrays(pa.array(cuts), pa.array(bucket.astype(np.int32)))
-        xs = pa.ListArray.from_arrays(pa.array(cuts), pa.array(x))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), at, xs], names=["doc_id", "label", "at", "x"])
+        owner, bucket, count = counts(texts(b))
+        cuts = np.searchsorted(owner, np.arange(b.num_rows + 1)).tolist()
+        terms = [packed(bucket[i:j], count[i:j]) for i, j in zip(cuts, cuts[1:])]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(terms, pa.binary())], names=["doc_id", "label", "terms"])
 
 
 def labelled(labels: DataFrame, column: str, sample: int) -> DataFrame:
@@ -163,7 +207,8 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     """Fit on at most ``sample`` labelled rows of each class.
 
     Only the hashed terms of the sampled rows, and the rows' classes, reach the driver: at
-    most 2 * sample rows, whose texts have at most BUCKETS different terms each.
+    most 2 * sample rows, whose texts have at most BUCKETS different terms each.  They come
+    packed and stay so; each step unpacks those of its own rows.
 
     Null texts are empty; of rows with one doc_id the one of least text counts; without
     rows of both classes the score is constant (1 if all rows are toxic, else 0).
@@ -171,11 +216,15 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     chosen = F.broadcast(labelled(labels, "toxic", sample))  # at most 2 * sample ids
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
     docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
-    rows = staged(docs.mapInArrow(_extract, "doc_id long, label int, at array<int>, x array<float>"))
-    got = rows.orderBy("doc_id").select("label", "at", "x").toArrow().combine_chunks()
-    y, at = got.column("label").to_numpy(), got.column("at").combine_chunks()
-    x = got.column("x").combine_chunks().flatten().to_numpy()
-    return fit(np.concatenate(([0], np.cumsum(at.value_lengths().to_numpy()))), at.flatten().to_numpy(), x, y)
+    rows = staged(docs.mapInArrow(_extract, "doc_id long, label int, terms binary"))
+    got = rows.orderBy("doc_id").select("label", "terms").toArrow()
+    y, terms = got.column("label").to_numpy(), got.column("terms")
+
+    def take(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        parts = [unpacked(terms[i].as_buffer()) for i in r.tolist()]
+        return np.array([len(b) for b, _ in parts]), np.concatenate([b for b, _ in parts]), values(np.concatenate([c for _, c in parts]))
+
+    return fit_rows(take, y)
 
 
 def _scorer(model):
