@@ -6,7 +6,8 @@ import math
 import numpy as np
 import pytest
 
-from voxelake.operators import resample
+from voxelake import staging
+from voxelake.operators import growing, resample
 from voxelake.raster import Geometry, from_table
 
 WINDOWS = {
@@ -77,3 +78,59 @@ def test_windowed_resampling_over_tiles(spark, monkeypatch, kernel):
     expected = np.array([[interpolated(a, (0.5 * x + 0.1 * y + 0.3, -0.2 * x + 1.2 * y + 1.7), kernel) for y in range(20)] for x in range(30)])
     assert np.allclose(values(out), expected, atol=1e-9)
     assert rows_made(out.df) <= 15 * 17 * 23
+
+
+def arrival(f, h, seed, stop):
+    """Sweeps over all voxels until no arrival time falls."""
+    t = np.full(f.shape, np.inf)
+    t[seed] = 0.0
+    while True:
+        before = t.copy()
+        for i in np.ndindex(f.shape):
+            if not f[i] > 0:
+                continue
+            near = []
+            for k in range(f.ndim):
+                beside = [t[tuple(x + (o if j == k else 0) for j, x in enumerate(i))] for o in (-1, 1) if 0 <= i[k] + o < f.shape[k]]
+                near.append((min(beside, default=np.inf), 1 / h[k] ** 2))
+            for n in range(1, f.ndim + 1):
+                for used in itertools.combinations(near, n):
+                    if any(np.isinf(x) for x, _ in used):
+                        continue
+                    a, b = sum(w for _, w in used), sum(x * w for x, w in used)
+                    disc = b * b - a * (sum(x * x * w for x, w in used) - 1 / f[i] ** 2)
+                    root = (b + math.sqrt(max(disc, 0.0))) / a
+                    if disc >= 0 and root <= stop and all(root >= x for x, _ in used):
+                        t[i] = min(t[i], root)
+        if np.array_equal(before, t):
+            return t
+
+
+@pytest.mark.parametrize("shape", [(9, 14), (5, 4, 6)])
+def test_fast_marching_over_tiles(spark, monkeypatch, shape):
+    """Tiles of a few voxels, a wall with a gap, speeds of zero and NaN, spacing and a stop."""
+    monkeypatch.setattr(growing, "TILE_VOXELS", 18, raising=False)
+    f = np.random.default_rng(2).uniform(0.2, 2, shape)
+    f[2, 1:] = 0.0
+    f[-1, 2] = np.nan
+    f[(-1, *[0] * (len(shape) - 1))] = -1.0
+    h = (0.7, 1.0, 1.6)[: len(shape)]
+    speed = raster(spark, f)
+    speed = speed.with_rows(speed.df, Geometry(shape, h))
+    seed = (4, *[3] * (len(shape) - 1))
+    for stop in (np.inf, 3.0):
+        t = values(growing.fast_marching(speed, [seed], stop))
+        assert np.allclose(t, arrival(f, h, seed, stop), rtol=1e-9)
+
+
+def test_fast_marching_passes_a_long_tile_in_one_round(spark, monkeypatch):
+    rounds = []
+
+    def counted(df):
+        rounds.append(1)
+        assert len(rounds) <= 3, "a round for every few voxels"
+        return staging.staged(df)
+
+    monkeypatch.setattr(growing, "staged", counted)
+    t = values(growing.fast_marching(raster(spark, np.full((2, 300), 2.0)), [(0, 0)]))
+    assert np.allclose(t[0], np.arange(300) / 2) and t[1, 0] == 0.5
