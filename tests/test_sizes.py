@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -134,3 +135,25 @@ def test_fast_marching_passes_a_long_tile_in_one_round(spark, monkeypatch):
     monkeypatch.setattr(growing, "staged", counted)
     t = values(growing.fast_marching(raster(spark, np.full((2, 300), 2.0)), [(0, 0)]))
     assert np.allclose(t[0], np.arange(300) / 2) and t[1, 0] == 0.5
+
+
+def test_bspline_coefficients_take_memory_of_the_line(spark):
+    """A line's equations are not a square matrix; the spline passes through the voxels."""
+    from voxelake.operators import lines
+
+    kernels, along = [], lines.along
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(lines, "along", lambda r, a, kernel: kernels.append(kernel) or along(r, a, kernel))
+        coefficients = values(resample.bspline_coefficients(raster(spark, np.arange(35.0).reshape(5, 7) ** 2)))
+    padded = np.pad(coefficients, 1, mode="edge")
+    through = padded[:-2] + 4 * padded[1:-1] + padded[2:]
+    assert np.allclose((through[:, :-2] + 4 * through[:, 1:-1] + through[:, 2:]) / 36, np.arange(35.0).reshape(5, 7) ** 2)
+    for n in (1, 2, 3, 4):
+        line = np.arange(1.0, n + 1)[None] ** 2
+        c = np.pad(kernels[0](line)[0], 1, mode="edge")
+        assert np.allclose((c[:-2] + 4 * c[1:-1] + c[2:]) / 6, line[0])
+    tracemalloc.start()
+    kernels[0](np.ones((2, 3000)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2_000_000
