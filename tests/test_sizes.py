@@ -13,6 +13,7 @@ from voxelake.raster import Geometry, from_table
 
 WINDOWS = {
     "lanczos": lambda t: np.sinc(t),
+    "welch": lambda t: 1 - t * t,
 }
 
 
@@ -68,7 +69,7 @@ def interpolated(a, c, kernel):
     return total / share if kernel == "gaussian" else total
 
 
-@pytest.mark.parametrize("kernel", ["lanczos"])
+@pytest.mark.parametrize("kernel", ["lanczos", "welch"])
 def test_windowed_resampling_over_tiles(spark, monkeypatch, kernel):
     """Small tiles, crowded tiles and missing voxels give what a loop gives, and no row for each pair of voxels."""
     monkeypatch.setattr("voxelake.operators.window.BLOCK_VOXELS", 100)
