@@ -70,7 +70,7 @@ def interpolated(a, c, kernel):
     return total / share if kernel == "gaussian" else total
 
 
-@pytest.mark.parametrize("kernel", ["lanczos", "welch", "blackman"])
+@pytest.mark.parametrize("kernel", ["lanczos", "welch", "blackman", "gaussian"])
 def test_windowed_resampling_over_tiles(spark, monkeypatch, kernel):
     """Small tiles, crowded tiles and missing voxels give what a loop gives, and no row for each pair of voxels."""
     monkeypatch.setattr("voxelake.operators.window.BLOCK_VOXELS", 100)
