@@ -13,6 +13,7 @@ from voxelake.raster import Geometry, from_table
 
 WINDOWS = {
     "lanczos": lambda t: np.sinc(t),
+    "cosine": lambda t: math.cos(math.pi * t / 2),
     "hamming": lambda t: 0.54 + 0.46 * math.cos(math.pi * t),
     "blackman": lambda t: 0.42 + 0.5 * math.cos(math.pi * t) + 0.08 * math.cos(2 * math.pi * t),
     "welch": lambda t: 1 - t * t,
@@ -71,7 +72,7 @@ def interpolated(a, c, kernel):
     return total / share if kernel == "gaussian" else total
 
 
-@pytest.mark.parametrize("kernel", ["lanczos", "welch", "blackman", "gaussian", "hamming"])
+@pytest.mark.parametrize("kernel", ["lanczos", "welch", "blackman", "gaussian", "hamming", "cosine"])
 def test_windowed_resampling_over_tiles(spark, monkeypatch, kernel):
     """Small tiles, crowded tiles and missing voxels give what a loop gives, and no row for each pair of voxels."""
     monkeypatch.setattr("voxelake.operators.window.BLOCK_VOXELS", 100)
