@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import struct
 import tracemalloc
 
 import numpy as np
@@ -10,6 +11,7 @@ import pytest
 from voxelake import staging
 from voxelake.operators import growing, resample
 from voxelake.raster import Geometry, from_table
+from voxelake.sources import images
 
 WINDOWS = {
     "lanczos": lambda t: np.sinc(t),
@@ -161,3 +163,31 @@ def test_bspline_coefficients_take_memory_of_the_line(spark):
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 2_000_000
+
+
+@pytest.mark.parametrize("size", [(2, 40_000), (32_767, 1), (32_768, 1, 2)])
+def test_nifti_of_long_sides(size):
+    """Sides of over 16 bits are written as NIfTI-2, others as NIfTI-1; both are read again."""
+    a = np.random.default_rng(5).integers(-(2**31), 2**31, size[::-1]).astype(np.int32)
+    three = {"origin": (1.5, -2.25, 3.1), "direction": ((0, 1, 0), (1, 0, 0), (0, 0, 1))} if len(size) == 3 else {}
+    g = Geometry(size, (0.1, 2.0, 0.3)[: len(size)], **three)
+    data = images.encode_nifti(a, g, "int32")
+    b, back, pixel = images.decode_nifti(data)
+    assert np.array_equal(a, b) and pixel == "int32" and back.congruent(g)
+    if max(size) > 32_767:
+        assert data[:12] == struct.pack("<i", 540) + b"n+2\0\r\n\x1a\n" and struct.unpack_from("<8q", data, 16)[: len(size) + 1] == (len(size), *size)
+        assert struct.unpack_from("<q", data, 168) == (544,) and len(data) == 544 + a.nbytes
+    else:
+        assert data[:4] == struct.pack("<i", 348) and data[344:348] == b"n+1\0" and len(data) == 352 + a.nbytes
+
+
+def test_nifti_2_of_the_other_byte_order():
+    """A header of 540 bytes by the places that the format gives, big-endian."""
+    h = bytearray(544)
+    struct.pack_into(">i8shh8q", h, 0, 540, b"n+2\0\r\n\x1a\n", 512, 16, 3, 3, 2, 2, 1, 1, 1, 1)
+    struct.pack_into(">8dq", h, 104, 1, 0.5, 2, 4, 0, 0, 0, 0, 544)
+    struct.pack_into(">i", h, 348, 1)
+    struct.pack_into(">12d", h, 400, -0.5, 0, 0, -7, 0, -2, 0, -8, 0, 0, 4, 9)
+    a, g, pixel = images.decode_nifti(bytes(h) + np.arange(12, dtype=">u2").tobytes())
+    assert a.shape == (2, 2, 3) and a.ravel().tolist() == list(range(12)) and pixel == "uint16"
+    assert g.congruent(Geometry((3, 2, 2), (0.5, 2, 4), (7, 8, 9)))
