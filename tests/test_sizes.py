@@ -1,4 +1,4 @@
-"""Work at size: rows made, tiles, long lines and large grids."""
+"""Work at size: rows made, tiles, long lines, large grids, and a rule at its limit."""
 
 import itertools
 import math
@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from voxelake import staging
-from voxelake.operators import growing, resample
+from voxelake.operators import growing, reduce, resample
 from voxelake.raster import Geometry, from_table
 from voxelake.sources import images
 
@@ -191,3 +191,17 @@ def test_nifti_2_of_the_other_byte_order():
     a, g, pixel = images.decode_nifti(bytes(h) + np.arange(12, dtype=">u2").tobytes())
     assert a.shape == (2, 2, 3) and a.ravel().tolist() == list(range(12)) and pixel == "uint16"
     assert g.congruent(Geometry((3, 2, 2), (0.5, 2, 4), (7, 8, 9)))
+
+
+def test_intermodes_takes_what_a_thousand_smoothings_leave():
+    """The second lump meets the first just at the last smoothing, or one later; one bin is its own middle."""
+
+    def three(middle):
+        counts = [0] * 400
+        counts[60], counts[134], counts[330] = 1000, middle, 1000
+        return list(range(400)), list(range(1, 401)), counts
+
+    assert 60 < reduce.RULES["intermodes"](three(319)) < 330
+    with pytest.raises(ValueError, match="bimodal"):
+        reduce.RULES["intermodes"](three(320))
+    assert reduce.RULES["intermodes"](([4.0], [6.0], [7])) == 5.0
